@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from panelshock.operators import baseline, calendar, episodes, splits, weather
 from panelshock.operators.flow import FLOW_COLUMNS
+from panelshock.session import staged
 from panelshock.spec import DEFAULT
 
 REGION_ORDER = {"A": 0, "N": 1, "R": 2}
@@ -89,7 +90,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # a (date, region) holds one row per industry of the panel
     day = W.partitionBy("date", "MCT_SGG_CD")
-    return cells.select(
+    columns = cells.select(
         "date",
         "MCT_SGG_CD",
         "MCT_RY_CD",
@@ -101,6 +102,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("d_min").over(day).cast("double").alias("min_temp"),
         F.max("d_max").over(day).cast("double").alias("max_temp"),
     )
+    return staged(columns)
 
 
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +122,7 @@ def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_dates(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(date table with an arithmetic split of components, episodes, flags)."""
-    flags = episodes.daily_flags(source)
+    flags = staged(episodes.daily_flags(source))
     found = episodes.find_episodes(flags)
     dates = episodes.week_components(flags, found)
     slot = (3 * F.col("component_no")) % 7

@@ -33,7 +33,7 @@ def query(f: Query) -> Query:
     return f
 
 
-def tidy(df: DataFrame) -> DataFrame:
+def tidy(df: DataFrame, unrounded: tuple[str, ...] = ()) -> DataFrame:
     out = []
     for name, kind in df.dtypes:
         c = F.col(name)
@@ -41,7 +41,7 @@ def tidy(df: DataFrame) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd")
         elif kind.startswith("decimal"):
             c = c.cast("double")
-        elif kind in ("double", "float"):
+        elif kind in ("double", "float") and name not in unrounded:
             c = F.round(c, 6) + F.lit(0.0)
         out.append(c.alias(name))
     return df.select(*out)
@@ -65,7 +65,7 @@ def violations(checks: dict[str, DataFrame]) -> DataFrame:
 @query
 def daily_agg_null_poison(spark, sf):
     daily = cards.daily_aggregate(cards.parse_transactions(fx.card_text(spark, sf)))
-    return tidy(daily.withColumn("ts_at_text", parsing.plain_decimal_text(F.col("TS_AT"))))
+    return tidy(daily.withColumn("ts_at_text", parsing.plain_decimal_text(F.col("TS_AT"))), ("avg_price",))
 
 
 @query
@@ -100,7 +100,7 @@ def parse_coercion_counts(spark, sf):
 @query
 def first_keys_sample(spark, sf):
     daily = cards.daily_aggregate(cards.parse_transactions(fx.card_text(spark, sf)))
-    return tidy(daily.orderBy(*cards.KEY).limit(10))
+    return tidy(daily.orderBy(*cards.KEY).limit(10), ("avg_price",))
 
 
 # --- weather ------------------------------------------------------------------------------
@@ -169,7 +169,7 @@ def _joined(spark, sf):
 
 @query
 def panel_left_join(spark, sf):
-    return tidy(panel.panel_columns(_joined(spark, sf)))
+    return tidy(panel.panel_columns(_joined(spark, sf)), ("avg_price",))
 
 
 @query
