@@ -30,15 +30,19 @@ def exact_quantiles(
 
     Equal to ``percentile`` but without its per-group map of values in one task: equal values
     are counted first (spread by key and value), and only the cells that hold a wanted rank
-    are ordered. Groups without a value are absent."""
+    are ordered. Groups without a value, and NULL keys, are absent."""
     keys = list(keys)
     v = "__v"
+    present = F.col(v).isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    # the same null filters in both branches below let them share this exchange
     counted = (
         df.select(*keys, F.col(value).cast("double").alias(v))
-        .where(F.col(v).isNotNull())
+        .where(present)
         .groupBy(*keys, v)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__cell", _cell(F.col(v)))
+        .withColumn("__cell", F.coalesce(_cell(F.col(v)), F.lit(0).cast("long")))
     )
     in_order = W.partitionBy(*keys).orderBy("__cell") if keys else W.orderBy("__cell")
     whole_group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))

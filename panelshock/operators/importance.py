@@ -96,8 +96,7 @@ def permutation_importance(
         F.avg(F.abs(F.col("prediction") - F.col(actual))).alias("baseline_mae")
     )
     errors = permuted_errors(rows, keys, within, groups, repeats, scorer, actual, seed)
-    # one row per value of ``within``, the configured hazards
-    gains = errors.join(F.broadcast(base), within).withColumn("gain", F.col("mae") - F.col("baseline_mae"))
+    gains = errors.join(base, within).withColumn("gain", F.col("mae") - F.col("baseline_mae"))
     return gains.groupBy(*within, "feature_group").agg(
         F.max("n_rows").alias("n_rows"),
         F.max("baseline_mae").alias("baseline_mae"),

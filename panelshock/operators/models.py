@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelshock.operators.audits import require_allowed_features
 from panelshock.operators.boosting import HuberBoosting
 from panelshock.operators.preprocess import Preprocessor
-from panelshock.session import checkpoint
+from panelshock.session import staged
 from panelshock.spec import DEFAULT, SPLITS, PanelSpec
 
 SEED = 20261003
@@ -89,17 +89,6 @@ def require_all_splits(events: DataFrame, hazard: str) -> None:
         raise ValueError(f"no {hazard} event rows in {missing}")
 
 
-def fit_pipeline(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, fitter: Fitter):
-    """Preprocessing and model fitted on train rows; returns a scorer that adds ``prediction``."""
-    prepared = Preprocessor.fit(train, numeric, categorical)
-    fitted = fitter(prepared.apply(train).select("features", label), label)
-
-    def score(df: DataFrame) -> DataFrame:
-        return fitted.transform(prepared.apply(df)).drop("features")
-
-    return score
-
-
 def run_grid(
     panel: DataFrame,
     models: dict[str, Fitter],
@@ -108,23 +97,28 @@ def run_grid(
 ) -> tuple[DataFrame, dict[tuple[str, str, str], Callable[[DataFrame], DataFrame]]]:
     """Fit every hazard x feature set x model on the shared split.
 
-    Returns the long predictions table and the scorers. Event rows are written once to the
-    checkpoint folder, so no fit repeats the panel's joins and windows."""
+    Returns the long predictions table and the scorers, functions that add ``prediction``.
+    Per hazard, event rows are staged and preprocessing is fitted once for all sets."""
     feature_sets = feature_sets or FEATURE_SETS
     for chosen in feature_sets.values():
         require_allowed_features(chosen["numeric"] + chosen["categorical"], panel.columns)
+    numeric = list(dict.fromkeys(c for s in feature_sets.values() for c in s["numeric"]))
+    categorical = list(dict.fromkeys(c for s in feature_sets.values() for c in s["categorical"]))
     parts, scorers = [], {}
     for hazard in spec.hazards:
         label = f"Y1_{hazard}"
-        events = checkpoint(event_rows(panel, hazard, spec))
+        needed = list(dict.fromkeys([*spec.key, "split", label, *numeric, *categorical]))
+        events = staged(event_rows(panel, hazard, spec).select(*needed))
         require_all_splits(events, hazard)
-        train = events.where("split = 'train'")
+        prepared = Preprocessor.fit(events.where("split = 'train'"), numeric, categorical)
         for set_name, chosen in feature_sets.items():
+            vectors = staged(prepared.vectors(events, **chosen).select(*spec.key, "split", label, "features"))
+            train = vectors.where("split = 'train'").select("features", label)
             for model_name, fitter in models.items():
-                score = fit_pipeline(train, chosen["numeric"], chosen["categorical"], label, fitter)
-                scorers[hazard, set_name, model_name] = score
+                fitted = fitter(train, label)
+                scorers[hazard, set_name, model_name] = scorer(prepared, chosen, fitted)
                 parts.append(
-                    score(events).select(
+                    fitted.transform(vectors).select(
                         F.col(spec.date).alias("date"),
                         F.col(spec.region).alias("region"),
                         F.col(spec.industry).alias("industry"),
@@ -140,3 +134,12 @@ def run_grid(
     for part in parts[1:]:
         predictions = predictions.unionByName(part)
     return predictions, scorers
+
+
+def scorer(prepared: Preprocessor, chosen: dict[str, list[str]], fitted) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``prediction`` to rows with the raw feature columns."""
+
+    def score(df: DataFrame) -> DataFrame:
+        return fitted.transform(prepared.vectors(df, **chosen)).drop("features")
+
+    return score

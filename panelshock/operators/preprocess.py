@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelshock.functions.ordering import exact_quantiles
+from panelshock.session import staged
 
 
 def numeric_statistics(train: DataFrame, numeric: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
@@ -22,9 +23,9 @@ def numeric_statistics(train: DataFrame, numeric: Sequence[str], within: Sequenc
     )
     keys = [*within, "feature"]
     medians = exact_quantiles(long, keys, "value", {"median": 0.5})
-    # one row per configured feature (and hazard)
+    # a first pass, one row per feature, staged so that the planner sees the size
     filled = (
-        long.join(F.broadcast(medians), keys, "left")
+        long.join(staged(medians), keys, "left")
         .withColumn("median", F.coalesce("median", F.lit(0.0)))
         .withColumn("filled", F.coalesce("value", "median"))
     )
@@ -49,10 +50,9 @@ def category_modes(train: DataFrame, categorical: Sequence[str], within: Sequenc
 
 @dataclass
 class Preprocessor:
-    """Fitted constants and the encoder; ``apply`` adds the ``features`` vector."""
+    """Constants and encoders fitted once on train rows; ``vectors`` serves any subset of the
+    fitted columns."""
 
-    numeric: list[str]
-    categorical: list[str]
     constants: dict[str, tuple[float, float, float]]
     modes: dict[str, str | None]
     encoder: PipelineModel
@@ -61,30 +61,32 @@ class Preprocessor:
     def fit(cls, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Preprocessor:
         # one row per feature reaches the driver
         stats = {r["feature"]: (r["median"], r["mean"], r["sd"]) for r in numeric_statistics(train, numeric).collect()}
-        modes = {r["feature"]: r["mode"] for r in category_modes(train, categorical).collect()}
-        fitted = cls(list(numeric), list(categorical), stats, modes, None)
+        found = {r["feature"]: r["mode"] for r in category_modes(train, categorical).collect()}
+        modes = {c: found.get(c) for c in categorical}
         indexed = [f"__index_{c}" for c in categorical]
-        onehot = [f"__onehot_{c}" for c in categorical]
         stages = [
             StringIndexer(
                 inputCols=[f"__cat_{c}" for c in categorical], outputCols=indexed,
                 handleInvalid="keep", stringOrderType="alphabetAsc",
             ),
-            OneHotEncoder(inputCols=indexed, outputCols=onehot, dropLast=True),
-            VectorAssembler(inputCols=[*[f"__num_{c}" for c in numeric], *onehot], outputCol="features"),
+            OneHotEncoder(inputCols=indexed, outputCols=[f"__onehot_{c}" for c in categorical], dropLast=True),
         ]
-        fitted.encoder = Pipeline(stages=stages).fit(fitted._scaled(train))
-        return fitted
+        encoder = Pipeline(stages=stages).fit(train.select(*[_category(c, modes).alias(f"__cat_{c}") for c in categorical]))
+        return cls(stats, modes, encoder)
 
-    def _scaled(self, df: DataFrame) -> DataFrame:
-        columns = {}
-        for c in self.numeric:
+    def vectors(self, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+        """Add ``features``: scaled numerics, then one-hot categories; an unseen category is
+        all zeros."""
+        scaled = {}
+        for c in numeric:
             median, mean, sd = self.constants[c]
-            columns[f"__num_{c}"] = (F.coalesce(F.col(c).cast("double"), F.lit(median)) - mean) / (sd or 1.0)
-        for c in self.categorical:
-            columns[f"__cat_{c}"] = F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c) or ""))
-        return df.withColumns(columns)
+            scaled[f"__num_{c}"] = (F.coalesce(F.col(c).cast("double"), F.lit(median)) - mean) / (sd or 1.0)
+        texts = {f"__cat_{c}": _category(c, self.modes) for c in self.modes}
+        encoded = self.encoder.transform(df.withColumns({**scaled, **texts}))
+        parts = [*scaled, *[f"__onehot_{c}" for c in categorical]]
+        helpers = [f"__{kind}_{c}" for c in self.modes for kind in ("cat", "index", "onehot")]
+        return VectorAssembler(inputCols=parts, outputCol="features").transform(encoded).drop(*helpers, *scaled)
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        helpers = [f"__{kind}_{c}" for c in self.categorical for kind in ("cat", "index", "onehot")]
-        return self.encoder.transform(self._scaled(df)).drop(*helpers, *[f"__num_{c}" for c in self.numeric])
+
+def _category(c: str, modes: dict[str, str | None]) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(modes[c] or ""))

@@ -15,6 +15,7 @@ from panelshock.functions.ordering import exact_quantiles
 from panelshock.functions.scalars import clip
 from panelshock.functions.stats import regression_scores
 from panelshock.operators.audits import enforce
+from panelshock.session import staged
 
 RUN = ("disaster_type", "model", "feature_set")
 EPISODE = ("disaster_type", "episode_id", "split")
@@ -49,9 +50,9 @@ def train_means(predictions: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 def regression_metrics(predictions: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Per run and split: n, mae, rmse, r2 and the same scores of the constant train mean.
 
-    Runs number hazards x models x feature sets, fixed by the configured grid, so the train
-    means are broadcast. Rows fold on the map side to one per run and split."""
-    scored = predictions.join(F.broadcast(train_means(predictions, keys)), list(keys), "left")
+    The train means are a first pass, staged: the planner sees their size and broadcasts them
+    under its threshold. Rows fold on the map side to one per run and split."""
+    scored = predictions.join(staged(train_means(predictions, keys)), list(keys), "left")
     y, p, m = F.col("actual_y1"), F.col("predicted_y1"), F.col("train_mean")
     return scored.groupBy(*keys, "split").agg(
         *regression_scores(y, p), *regression_scores(y, m, "_train_mean", count=False)
@@ -197,8 +198,8 @@ def train_bounds(predictions: DataFrame, keys: Sequence[str] = ("disaster_type",
 
 
 def _test_with_bounds(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # one row of bounds per configured hazard
-    bounds = F.broadcast(train_bounds(predictions, keys))
+    # a first pass over train rows, staged so that the planner sees the size
+    bounds = staged(train_bounds(predictions, keys))
     return predictions.where("split = 'test'").join(bounds, list(keys))
 
 

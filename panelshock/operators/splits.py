@@ -129,10 +129,10 @@ def assign_split(date_table: DataFrame, assignment: DataFrame) -> DataFrame:
 def attach_split(panel: DataFrame, split_dates: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Panel rows with week, component and split.
 
-    The date table has one row per calendar day (36,525 per century), a bound that does not
-    grow with the panel, so it is broadcast and the panel is not shuffled."""
+    The date table has one row per calendar day. Pass it staged: the planner then knows its
+    size and broadcasts it under the session's threshold, so the panel is not shuffled."""
     dates = split_dates.select(F.col("date").alias(spec.date), "week", "component", "split")
-    return panel.join(F.broadcast(dates), spec.date)
+    return panel.join(dates, spec.date)
 
 
 def split_leaks(assigned: DataFrame, fields: tuple[str, ...] = ("date", "week", "component")) -> DataFrame:

@@ -137,7 +137,8 @@ def rolling_exposure(hourly: DataFrame, threshold: float = RAIN_THRESHOLD_MM, ho
 
     A window belongs to the day of its last hour. The frame runs over an hour number, so a
     missing hour breaks it. Days without a row between the first and last day of a region
-    appear with no valid window."""
+    appear with no valid window: each day unfolds over the gap to the next one. One exchange
+    by region serves the frames, the daily fold and the gaps."""
     hour_number = F.unix_date("date") * 24 + F.col("hour")
     frame = W.partitionBy("region").orderBy("hour_number").rangeBetween(-(hours - 1), 0)
     windows = hourly.withColumn("hour_number", hour_number).select(
@@ -151,26 +152,30 @@ def rolling_exposure(hourly: DataFrame, threshold: float = RAIN_THRESHOLD_MM, ho
         F.count("window_sum").cast("int").alias("rain_3h_valid_windows"),
         F.count("rain").alias("valid_hours"),
     )
-    spine = days.groupBy("region").agg(F.sequence(F.min("date"), F.max("date")).alias("days"))
-    return (
-        spine.select("region", F.explode("days").alias("date"))
-        .join(days, ["region", "date"], "left")
-        .select(
-            "region",
-            "date",
-            exposure_flag(F.col("rain_3h_max_mm"), threshold, F.col("valid_hours") == 24).alias("heavy_rain"),
-            F.col("rain_3h_max_mm").cast("double").alias("rain_3h_max_mm"),
-            F.coalesce("rain_3h_valid_windows", F.lit(0)).alias("rain_3h_valid_windows"),
-        )
+    following = F.lead("date").over(W.partitionBy("region").orderBy("date"))
+    until = F.coalesce(F.date_sub(following, 1), F.col("date"))
+    filled = days.withColumn("until", until).select(
+        "*", F.explode(F.sequence("date", "until")).alias("day")
+    )
+    observed = F.col("day") == F.col("date")
+    peak = F.when(observed, F.col("rain_3h_max_mm"))
+    return filled.select(
+        "region",
+        F.col("day").alias("date"),
+        exposure_flag(peak, threshold, observed & (F.col("valid_hours") == 24)).alias("heavy_rain"),
+        peak.cast("double").alias("rain_3h_max_mm"),
+        F.when(observed, F.col("rain_3h_valid_windows")).otherwise(0).alias("rain_3h_valid_windows"),
     )
 
 
 def calendar_spine(df: DataFrame, date: str, regions: Sequence[str], region: str = "MCT_SGG_CD") -> DataFrame:
-    """Every day from the first to the last date of ``df`` for every listed region. Grows
-    from the one row of bounds by two explodes; no join."""
-    bounds = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi")).where("lo is not null")
-    days = bounds.select(F.explode(F.sequence("lo", "hi")).alias("date"))
-    return days.select("date", F.explode(F.array(*[F.lit(r) for r in regions])).alias(region))
+    """Every day from the first to the last date of ``df`` for every listed region.
+
+    The calendar is a scalar, and each region unfolds it: the listed regions are spread over
+    tasks and no join is needed."""
+    calendar = df.agg(F.sequence(F.min(date), F.max(date)).alias("days")).scalar()
+    listed = df.sparkSession.createDataFrame([(r,) for r in regions], f"{region} string")
+    return listed.select(F.explode(calendar).alias("date"), region)
 
 
 def daily_weather(

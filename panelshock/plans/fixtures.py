@@ -126,7 +126,8 @@ def split_dates(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = episodes.find_episodes(flags)
     dates = episodes.week_components(flags, found)
     slot = (3 * F.col("component_no")) % 7
-    return dates.withColumn("split", F.when(slot < 5, "train").when(slot == 5, "validation").otherwise("test")), found, flags
+    split = F.when(slot < 5, "train").when(slot == 5, "validation").otherwise("test")
+    return staged(dates.withColumn("split", split)), found, flags
 
 
 def featured_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +152,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         ]
     )
     rows = featured.select("*", F.inline(cases)).where("actual_y1 is not null")
-    return rows, found
+    return staged(rows), found
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +191,7 @@ def saved_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of one run with their episodes."""
     scored, found = predictions(spark, sf_dir)
     chosen = scored.where("model = 'Ridge' and feature_set = 'B_plus_past_sales'")
-    return episodes.attach_episode(chosen, found)
+    return staged(episodes.attach_episode(chosen, found))
 
 
 def hourly_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +213,7 @@ def hourly_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weather.hourly_observations(hourly_text(spark, sf_dir), "station", "ts", "rain", STATION_REGIONS)
+    return staged(weather.hourly_observations(hourly_text(spark, sf_dir), "station", "ts", "rain", STATION_REGIONS))
 
 
 def _station_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelshock.functions.parsing import strict_date
 from panelshock.operators import audits, baseline, calendar, cards, episodes, flow, panel, report, splits, weather
-from panelshock.session import checkpoint
+from panelshock.session import staged
 from panelshock.sources import readers
 from panelshock.spec import DEFAULT, PanelSpec
 
@@ -31,7 +31,9 @@ def build_weather(
     audits.enforce(
         audits.mixed_station_files(hourly_raw, readers.FILE, weather.STATION), "several stations in an hourly file"
     )
-    hourly = weather.hourly_observations(hourly_raw, weather.STATION, weather.DAY, readers.RAIN, rain_stations)
+    hourly = staged(
+        weather.hourly_observations(hourly_raw, weather.STATION, weather.DAY, readers.RAIN, rain_stations)
+    )
     audits.enforce(weather.duplicate_hours(hourly), "duplicate hourly timestamps")
     heat = weather.heat_warnings(heat_raw, warning_stations)
     cold = weather.cold_warnings(cold_raw, warning_stations)
@@ -45,9 +47,10 @@ def build_weather(
 
 
 def build_panel(card: DataFrame, daily_weather: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """Card aggregate with its day's weather; key audits before, row-count audit after."""
-    card = panel.normalise_keys(card, spec.entity)
-    daily_weather = panel.normalise_keys(daily_weather, [spec.region])
+    """Card aggregate with its day's weather; key audits before, row-count audit after. Both
+    sides are staged, so raw files are parsed once for the audits and the join."""
+    card = staged(panel.normalise_keys(card, spec.entity))
+    daily_weather = staged(panel.normalise_keys(daily_weather, [spec.region]))
     audits.enforce(audits.null_rows(card, [spec.date, spec.region]), "null join keys in the card table")
     audits.enforce(audits.null_rows(daily_weather, [spec.date, spec.region]), "null join keys in the weather table")
     audits.enforce(audits.duplicate_keys(card, spec.key), "duplicate date-region-industry keys")
@@ -76,23 +79,25 @@ def build_impact(
 ) -> ImpactTables:
     """Episodes, leak-free split, targets and calendar features of a panel, audited.
 
-    The split is searched once and checkpointed, so every later read sees the same one."""
+    The small tables are staged: the split is searched once, every later read sees the same
+    one, and the planner knows the sizes it joins."""
     audits.require_columns(source, [*spec.key, spec.measure, *spec.hazards])
     audits.enforce(audits.null_rows(source, [*spec.key, spec.measure]), "null key, date or measure")
     audits.enforce(audits.duplicate_keys(source, spec.key), "duplicate date-region-industry keys")
     audits.enforce(episodes.flag_conflicts(source, spec), "event flag differs between industries")
-    flags = checkpoint(episodes.daily_flags(source, spec))
-    found = checkpoint(episodes.find_episodes(flags, spec))
-    dates = checkpoint(episodes.week_components(flags, found, spec.date))
+    flags = staged(episodes.daily_flags(source, spec))
+    found = staged(episodes.find_episodes(flags, spec))
+    dates = staged(episodes.week_components(flags, found, spec.date))
     stats = episodes.component_stats(dates, flags, spec)
     assignment = splits.search_split(source.sparkSession, stats, restarts, seed, spec=spec)
-    split_dates = checkpoint(splits.assign_split(dates, assignment))
+    split_dates = staged(splits.assign_split(dates, assignment))
     events = flags.withColumnRenamed(spec.date, "date").join(split_dates.select("date", "split"), "date")
     audits.enforce(splits.empty_hazard_splits(events, spec), "a hazard is absent from a split")
     assigned = splits.attach_split(source, split_dates, spec)
     audits.enforce(splits.split_leaks(assigned), "a date, week or component is in two splits")
     audits.enforce(splits.episode_leaks(assigned, found, spec), "an episode is in two splits")
     if profile is not None:
+        profile = staged(profile)
         audits.enforce(flow.profile_collisions(profile), "duplicate region-month-weekday keys")
         assigned = flow.join_flow(assigned, profile, spec)
     featured = calendar.add_calendar_features(baseline.add_targets(assigned, spec), spec)

@@ -20,6 +20,7 @@ from panelshock.operators import (
 )
 from panelshock.plans import fixtures as fx
 from panelshock.plans.pipelines import build_impact
+from panelshock.session import staged
 from panelshock.spec import DEFAULT
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,7 +165,7 @@ def calendar_spine_join(spark, sf):
 def _joined(spark, sf):
     card = panel.normalise_keys(fx.panel(spark, sf).select("date", "MCT_SGG_CD", "MCT_RY_CD", "TS_AT", "USE_CNT"), ["MCT_SGG_CD", "MCT_RY_CD"])
     card = card.withColumn("avg_price", F.col("TS_AT").cast("double") / F.col("USE_CNT"))
-    return panel.join_weather(card, fx.weather_days(spark, sf))
+    return panel.join_weather(card, staged(fx.weather_days(spark, sf)))
 
 
 @query
@@ -389,7 +390,7 @@ def flow_audits(spark, sf):
 
 @query
 def panel_flow_join(spark, sf):
-    profile = flow.flow_profile(flow.mapped_flow(fx.flow_text(spark, sf), fx.FLOW_PREFIXES), by_year=True)
+    profile = staged(flow.flow_profile(flow.mapped_flow(fx.flow_text(spark, sf), fx.FLOW_PREFIXES), by_year=True))
     joined = flow.join_flow(fx.panel(spark, sf), profile)
     return tidy(
         joined.select("date", "MCT_SGG_CD", "MCT_RY_CD", "month", "weekday", F.round("flow_pop_weekday", 2).alias("flow_pop_weekday"))
@@ -606,7 +607,7 @@ def exact_quantiles_by_supplier(spark, sf):
 def _fit_on_temperature(spark, sf, fitter):
     """One standardised feature, so the closed form is plain SQL."""
     rows, _ = fx.event_rows(spark, sf)
-    rows = models.checkpoint(rows.select("disaster_type", "split", "actual_y1", "avg_temp"))
+    rows = staged(rows.select("disaster_type", "split", "actual_y1", "avg_temp"))
     assembler = VectorAssembler(inputCols=["x"], outputCol="features")
     parts = []
     for hazard in DEFAULT.hazards:
@@ -645,7 +646,7 @@ def split_search(spark, sf):
 
 def _model_panel(spark, sf):
     source = fx.panel(spark, sf)
-    profile = flow.flow_profile(flow.mapped_flow(fx.flow_text(spark, sf), fx.FLOW_PREFIXES), by_year=True)
+    profile = staged(flow.flow_profile(flow.mapped_flow(fx.flow_text(spark, sf), fx.FLOW_PREFIXES), by_year=True))
     dates, _, _ = fx.split_dates(source)
     assigned = flow.join_flow(splits.attach_split(source, dates), profile)
     return calendar.add_calendar_features(baseline.add_targets(assigned))
