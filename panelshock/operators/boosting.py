@@ -19,12 +19,15 @@ from panelshock.session import checkpoint
 CLIP_QUANTILE = 0.9
 CHECKPOINT_EVERY = 10
 SKETCH_ACCURACY = 100_000
+# up to this many train rows, a value map per group fits one task
+ONE_TASK_ROWS = 1_000_000
 
 
-def _quantile(df: DataFrame, keys: list[str], value: str, q: float, exact: bool) -> DataFrame:
-    if exact:
+def _quantile(df: DataFrame, keys: list[str], value: str, q: float, method: str) -> DataFrame:
+    if method == "cells":
         return exact_quantiles(df, keys, value, {"q": q})
-    return df.groupBy(*keys).agg(F.percentile_approx(value, q, SKETCH_ACCURACY).alias("q"))
+    found = F.percentile(value, q) if method == "map" else F.percentile_approx(value, q, SKETCH_ACCURACY)
+    return df.groupBy(*keys).agg(found.alias("q"))
 
 
 @dataclass
@@ -50,22 +53,25 @@ class HuberBoosting:
         quantile, fit a tree to them, set each leaf to its median residual plus the mean
         clipped distance from it.
 
-        Quantiles are exact by default; ``exact=False`` takes bounded sketches of one pass
-        each, the choice for very large train sets."""
+        Quantiles are exact by default: one task's value map while the counted train rows are
+        few, ordered cells beyond. ``exact=False`` takes bounded sketches of one pass each, the
+        choice for very large train sets."""
         rows = checkpoint(train.select("features", F.col(label).cast("double").alias("y")))
-        start = float(_quantile(rows, [], "y", 0.5, exact).first()["q"])
+        few = rows.count() <= ONE_TASK_ROWS
+        method = "sketch" if not exact else "map" if few else "cells"
+        start = float(_quantile(rows, [], "y", 0.5, method).first()["q"])
         rows = rows.withColumn("f", F.lit(start))
         model = cls(start, rate, [])
         for stage in range(stages):
             residual = rows.withColumn("r", F.col("y") - F.col("f"))
             size = residual.withColumn("size", F.abs("r"))
-            limit = float(_quantile(size, [], "size", CLIP_QUANTILE, exact).first()["q"])
+            limit = float(_quantile(size, [], "size", CLIP_QUANTILE, method).first()["q"])
             tree = DecisionTreeRegressor(
                 featuresCol="features", labelCol="target", predictionCol="__tree", leafCol="leaf",
                 maxDepth=depth, maxBins=256, seed=seed,
             ).fit(residual.withColumn("target", _clipped(F.col("r"), limit)))
             placed = tree.transform(residual).withColumn("leaf", F.col("leaf").cast("int"))
-            values = _leaf_values(placed, limit, exact)
+            values = _leaf_values(placed, limit, method)
             model.trees.append((tree, values))
             rows = placed.select("features", "y", (F.col("f") + rate * lookup("leaf", values)).alias("f"))
             if (stage + 1) % CHECKPOINT_EVERY == 0 and stage + 1 < stages:
@@ -92,15 +98,10 @@ def _clipped(c: Column, limit: float) -> Column:
     return F.greatest(F.lit(-limit), F.least(F.lit(limit), c))
 
 
-def _leaf_values(placed: DataFrame, limit: float, exact: bool) -> dict[int, float]:
-    """A depth-limited tree has 2^depth leaves, so the medians are a tiny broadcast."""
-    medians = _quantile(placed, ["leaf"], "r", 0.5, exact)
-    distance = F.col("r") - F.col("q")
-    rows = (
-        placed.select("leaf", "r")
-        .join(F.broadcast(medians), "leaf")
-        .groupBy("leaf", "q")
-        .agg(F.avg(_clipped(distance, limit)).alias("shift"))
-        .collect()
-    )
-    return {int(r["leaf"]): float(r["q"] + r["shift"]) for r in rows}
+def _leaf_values(placed: DataFrame, limit: float, method: str) -> dict[int, float]:
+    """A tree of limited depth has at most 2^depth leaves: their medians are literals."""
+    found = _quantile(placed, ["leaf"], "r", 0.5, method).collect()
+    medians = {int(r["leaf"]): float(r["q"]) for r in found}
+    distance = F.col("r") - lookup("leaf", medians)
+    shifts = placed.groupBy("leaf").agg(F.avg(_clipped(distance, limit)).alias("shift")).collect()
+    return {int(r["leaf"]): medians[int(r["leaf"])] + float(r["shift"]) for r in shifts}
