@@ -8,8 +8,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelshock.functions.parsing import lookup
 from panelshock.operators.audits import require_allowed_features
 from panelshock.operators.boosting import HuberBoosting
+from panelshock.operators.importance import REPORT_GROUPS, permutation_importance, single_features
 from panelshock.operators.preprocess import Preprocessor
 from panelshock.session import staged
 from panelshock.spec import DEFAULT, SPLITS, PanelSpec
@@ -143,3 +145,43 @@ def scorer(prepared: Preprocessor, chosen: dict[str, list[str]], fitted) -> Call
         return fitted.transform(prepared.vectors(df, **chosen)).drop("features")
 
     return score
+
+
+def grid_importance(
+    panel: DataFrame,
+    scorers: dict[tuple[str, str, str], Callable[[DataFrame], DataFrame]],
+    feature_sets: dict[str, dict[str, list[str]]],
+    repeats: int = 5,
+    seed: int = SEED,
+    spec: PanelSpec = DEFAULT,
+) -> DataFrame:
+    """Permutation importance of every feature of every fitted run on its test rows."""
+    parts = []
+    for hazard in spec.hazards:
+        label = f"Y1_{hazard}"
+        test = staged(event_rows(panel, hazard, spec).where("split = 'test'").withColumn("disaster_type", F.lit(hazard)))
+        for (fitted_hazard, set_name, model_name), score in scorers.items():
+            if fitted_hazard != hazard:
+                continue
+            features = [*feature_sets[set_name]["numeric"], *feature_sets[set_name]["categorical"]]
+            rows = test.select("disaster_type", *dict.fromkeys([*spec.key, label, *features]))
+            found = permutation_importance(
+                rows, spec.key, single_features(features), repeats, score, label, ("disaster_type",), seed
+            )
+            parts.append(
+                found.select(
+                    "disaster_type",
+                    F.lit(model_name).alias("model"),
+                    F.lit(set_name).alias("feature_set"),
+                    F.col("feature_group").alias("feature"),
+                    F.coalesce(lookup("feature_group", REPORT_GROUPS), F.lit("other")).alias("feature_group"),
+                    "importance_mean",
+                    F.col("importance_sd_pop").alias("importance_std"),
+                    F.col("n_rows").alias("n_test_rows"),
+                    "permutation_repeats",
+                )
+            )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -96,6 +96,17 @@ def hourly_observations(
     )
 
 
+def unknown_stations(raw: DataFrame, station: str, stations: dict[str, str]) -> DataFrame:
+    """Station ids outside the mapping, with their rows."""
+    known = lookup(clean_text(F.col(station).cast("string")), stations)
+    return raw.where(known.isNull()).groupBy(station).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def regions_without_hours(hourly: DataFrame, regions: Sequence[str]) -> DataFrame:
+    listed = hourly.sparkSession.createDataFrame([(r,) for r in regions], "region string")
+    return listed.join(hourly.select("region").distinct(), "region", "left_anti")
+
+
 def duplicate_hours(hourly: DataFrame) -> DataFrame:
     return duplicate_keys(hourly, ["region", "date", "hour"])
 

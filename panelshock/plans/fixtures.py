@@ -120,6 +120,19 @@ def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` per date and customer: as many series as customers."""
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(
+            F.col("o_orderdate").cast("date").alias("date"),
+            (F.col("o_custkey") % 7).cast("string").alias("MCT_SGG_CD"),
+            F.col("o_custkey").cast("string").alias("MCT_RY_CD"),
+        )
+        .agg(F.sum(money("o_totalprice")).alias("TS_AT"))
+    )
+
+
 def split_dates(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(date table with an arithmetic split of components, episodes, flags)."""
     flags = staged(episodes.daily_flags(source))

@@ -226,6 +226,8 @@ NAMED = {
     "wide_panel": f"""
       SELECT CAST(o_orderdate AS DATE) AS date, CAST(c_nationkey AS VARCHAR) AS MCT_SGG_CD, c_mktsegment AS MCT_RY_CD, sum({TOTAL}) AS sales
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3""",
+    "customer_days": f"""
+      SELECT CAST(o_orderdate AS DATE) AS date, CAST(o_custkey AS VARCHAR) AS MCT_RY_CD, sum({TOTAL}) AS sales FROM orders GROUP BY 1, 2""",
     "october_wide": f"""
       SELECT * FROM (SELECT *, count(sales) FILTER (WHERE month(date) = 10) OVER w AS october_n,
           CAST(sum(sales) FILTER (WHERE month(date) = 10) OVER w AS DOUBLE) / count(sales) FILTER (WHERE month(date) = 10) OVER w AS october_mean
@@ -493,6 +495,18 @@ ORACLE: dict[str, str] = {
       FROM panel JOIN dates USING (date)"""),
     "calendar_lag_rolling": sql(f"""
       SELECT {day()} AS date, MCT_SGG_CD, MCT_RY_CD, lag1, lag7, {r('rolling7')} AS rolling7, {r('rolling28')} AS rolling28 FROM lagged"""),
+    "customer_lag_rolling": sql(f"""
+      SELECT {day('p.date')} AS date, p.MCT_RY_CD, CAST(p.sales AS DOUBLE) AS TS_AT, CAST(a.sales AS DOUBLE) AS lag1, CAST(b.sales AS DOUBLE) AS lag7,
+        {r('CASE WHEN count(p.sales) OVER w7 = 7 THEN CAST(sum(p.sales) OVER w7 AS DOUBLE) / 7 END')} AS rolling7,
+        {r('CASE WHEN count(p.sales) OVER w28 = 28 THEN CAST(sum(p.sales) OVER w28 AS DOUBLE) / 28 END')} AS rolling28
+      FROM customer_days p LEFT JOIN customer_days a ON a.MCT_RY_CD = p.MCT_RY_CD AND a.date = p.date - 1
+      LEFT JOIN customer_days b ON b.MCT_RY_CD = p.MCT_RY_CD AND b.date = p.date - 7
+      WINDOW w7 AS (PARTITION BY p.MCT_RY_CD ORDER BY p.date RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING),
+        w28 AS (PARTITION BY p.MCT_RY_CD ORDER BY p.date RANGE BETWEEN INTERVAL 28 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)"""),
+    "customer_october_baseline": sql(f"""
+      SELECT {day()} AS date, MCT_RY_CD, {r('m')} AS october_mean, n AS october_n, {r('100.0 * (CAST(sales AS DOUBLE) - m) / m')} AS Y
+      FROM customer_days JOIN (SELECT MCT_RY_CD, CAST(sum(sales) AS DOUBLE) / count(*) AS m, count(*) AS n FROM customer_days
+        WHERE month(date) = 10 GROUP BY MCT_RY_CD) o USING (MCT_RY_CD)"""),
     "lag_audit": sql(
         " UNION ALL ".join(
             f"SELECT '{c}' AS feature, count(*) AS \"rows\", count({c}) AS present, CAST(0 AS BIGINT) AS mismatches FROM lagged"

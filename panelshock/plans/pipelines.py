@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelshock.functions.parsing import strict_date
+from panelshock.functions.scalars import month_of, weekday_of
 from panelshock.operators import audits, baseline, calendar, cards, episodes, flow, panel, report, splits, weather
 from panelshock.session import staged
 from panelshock.sources import readers
-from panelshock.spec import DEFAULT, PanelSpec
+from panelshock.spec import DEFAULT, RATIOS, PanelSpec
 
 
 def build_card_panel(raw: DataFrame) -> DataFrame:
@@ -23,17 +24,24 @@ def build_card_panel(raw: DataFrame) -> DataFrame:
 
 def build_weather(
     heat_raw: DataFrame, cold_raw: DataFrame, hourly_raw: DataFrame,
-    warning_stations: dict[str, str], rain_stations: dict[str, str],
+    warning_stations: dict[str, str], rain_stations: dict[str, str], only_known_stations: bool = False,
 ) -> DataFrame:
-    """Raw warning and hourly text to daily weather with the rolling exposure."""
+    """Raw warning and hourly text to daily weather with the rolling exposure.
+
+    Hourly rows of unmapped stations are skipped, or refused with ``only_known_stations``."""
     for raw in (heat_raw, cold_raw):
         audits.enforce(weather.missing_stations(raw, warning_stations, readers.FILE), "station missing in a warning file")
     audits.enforce(
         audits.mixed_station_files(hourly_raw, readers.FILE, weather.STATION), "several stations in an hourly file"
     )
+    if only_known_stations:
+        unknown = weather.unknown_stations(hourly_raw, weather.STATION, rain_stations)
+        audits.enforce(unknown, "unexpected station in an hourly file")
     hourly = staged(
         weather.hourly_observations(hourly_raw, weather.STATION, weather.DAY, readers.RAIN, rain_stations)
     )
+    regions = sorted(set(rain_stations.values()))
+    audits.enforce(weather.regions_without_hours(hourly, regions), "region without hourly observations")
     audits.enforce(weather.duplicate_hours(hourly), "duplicate hourly timestamps")
     heat = weather.heat_warnings(heat_raw, warning_stations)
     cold = weather.cold_warnings(cold_raw, warning_stations)
@@ -41,7 +49,6 @@ def build_weather(
         audits.duplicate_keys(weather.warnings_union(heat, cold), ["date", "MCT_SGG_CD"]),
         "duplicate date-region key in warning rows",
     )
-    regions = sorted(set(rain_stations.values()))
     daily = weather.daily_weather(heat, cold, hourly, regions)
     return weather.attach_exposure(daily, weather.rolling_exposure(hourly))
 
@@ -93,7 +100,9 @@ def build_impact(
     split_dates = staged(splits.assign_split(dates, assignment))
     events = flags.withColumnRenamed(spec.date, "date").join(split_dates.select("date", "split"), "date")
     audits.enforce(splits.empty_hazard_splits(events, spec), "a hazard is absent from a split")
-    assigned = splits.attach_split(source, split_dates, spec)
+    assigned = splits.attach_split(source, split_dates, spec).withColumns(
+        {"month": month_of(spec.date), "weekday": weekday_of(spec.date)}
+    )
     audits.enforce(splits.split_leaks(assigned), "a date, week or component is in two splits")
     audits.enforce(splits.episode_leaks(assigned, found, spec), "an episode is in two splits")
     if profile is not None:
@@ -107,6 +116,48 @@ def build_impact(
     return ImpactTables(featured, found, split_dates, bases)
 
 
+def flow_metadata(raw: DataFrame, prefixes: dict[str, str], joined: DataFrame) -> DataFrame:
+    """One row about the flow feature: files, ignored prefixes, coverage per file, and panel
+    rows with and without a value. ``raw`` comes from ``read_flow``. Lists are bounded by the
+    number of files and of prefixes."""
+    coverage = flow.flow_coverage(flow.mapped_flow(raw, prefixes), readers.FILE)
+    ignored = flow.unknown_prefixes(raw, prefixes).agg(F.array_sort(F.collect_list("prefix")).alias("v"))
+    files = readers.source_manifest(raw).agg(F.array_sort(F.collect_list("file")).alias("v"))
+    per_file = coverage.agg(F.array_sort(F.collect_list(F.struct(*coverage.columns))).alias("v"))
+    return joined.agg(
+        F.count("flow_pop_weekday").alias("matched_feature_rows"),
+        F.count_if(F.col("flow_pop_weekday").isNull()).alias("unmatched_feature_rows"),
+    ).select(
+        files.scalar().alias("source_files"),
+        F.create_map(*[F.lit(x) for item in prefixes.items() for x in item]).alias("prefix_to_region"),
+        ignored.scalar().alias("ignored_block_prefixes"),
+        per_file.scalar().alias("coverage"),
+        "*",
+    )
+
+
+def run_config(spark: SparkSession, seed: int, feature_sets: dict[str, dict[str, list[str]]], models: list[str]) -> DataFrame:
+    """One row of the choices that define a modelling run."""
+    sets = [(name, [*s["numeric"], *s["categorical"]]) for name, s in feature_sets.items()]
+    row = (seed, dict(RATIOS), dict(sets), sorted(audits.FORBIDDEN_FEATURES), dict(calendar.LAGS), dict(calendar.ROLLING), list(models))
+    return spark.createDataFrame(
+        [row],
+        "seed long, ratios map<string,double>, feature_sets map<string,array<string>>, excluded_features array<string>, "
+        "lag_days map<string,int>, rolling_days map<string,int>, models array<string>",
+    )
+
+
+def analysis_config(saved: DataFrame, refit: DataFrame) -> DataFrame:
+    """One row per hazard: train bounds and rows, and how closely a refit reproduces the saved
+    predictions."""
+    key = ["disaster_type", "date", "region", "industry"]
+    difference = report.prediction_difference(saved, refit, key).select("max_absolute_difference")
+    train = saved.where("split = 'train'").groupBy("disaster_type").agg(F.count(F.lit(1)).alias("train_n"))
+    return report.train_bounds(saved).join(train, "disaster_type").withColumn(
+        "saved_prediction_max_absolute_difference", difference.scalar()
+    )
+
+
 def response_report(predictions: DataFrame, found: DataFrame, model: str, feature_set: str) -> dict[str, DataFrame]:
     """Every summary table of one model's saved predictions."""
     audits.enforce(episodes.overlapping_episodes(found), "overlapping episodes")

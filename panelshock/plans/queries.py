@@ -273,6 +273,18 @@ def calendar_lag_rolling(spark, sf):
     return tidy(featured.select("date", "MCT_SGG_CD", "MCT_RY_CD", "lag1", "lag7", "rolling7", "rolling28"))
 
 
+@query
+def customer_lag_rolling(spark, sf):
+    featured = calendar.add_calendar_features(fx.customer_panel(spark, sf))
+    return tidy(featured.select("date", "MCT_RY_CD", "TS_AT", "lag1", "lag7", "rolling7", "rolling28"))
+
+
+@query
+def customer_october_baseline(spark, sf):
+    kept = baseline.october_baseline(fx.customer_panel(spark, sf), minimum_days=1)
+    return tidy(kept.select("date", "MCT_RY_CD", "october_mean", "october_n", "Y"))
+
+
 @query
 def lag_audit(spark, sf):
     return calendar.audit_calendar_features(calendar.add_calendar_features(fx.panel(spark, sf)))

@@ -86,6 +86,10 @@ def test_weather_audits_raise(spark, raw_weather):
         readers.read_heat_warnings(spark, f"{raw_weather}/COLD_*")
     with pytest.raises(ValueError, match="station missing"):
         pipelines.build_weather(heat, cold, hourly, {**WARNING, "U": "u"}, RAIN)
+    with pytest.raises(ValueError, match="unexpected station"):
+        pipelines.build_weather(heat, cold, hourly, WARNING, {"400": "s"}, only_known_stations=True)
+    with pytest.raises(ValueError, match="without hourly"):
+        pipelines.build_weather(heat, cold, hourly, WARNING, {**RAIN, "9": "u"})
     with pytest.raises(ValueError, match="duplicate hourly"):
         pipelines.build_weather(heat, cold, hourly.union(hourly), WARNING, RAIN)
     with pytest.raises(ValueError, match="several stations"):
@@ -114,6 +118,10 @@ def test_flow_and_bom(spark, tmp_path):
     assert got.columns == [*readers.FLOW_READ, "source_file"]
     profile = flow.flow_profile(flow.mapped_flow(got, {"11111": "a"}))
     assert profile.where("weekday = 6").first().flow_pop_weekday == 6.0
+    panel = spark.createDataFrame([(day("2025-07-06"), "a", "x"), (day("2025-08-06"), "a", "x")], "date date, MCT_SGG_CD string, MCT_RY_CD string")
+    facts = pipelines.flow_metadata(got, {"11111": "a"}, flow.join_flow(panel, profile)).first()
+    assert (facts.matched_feature_rows, facts.unmatched_feature_rows, facts.ignored_block_prefixes) == (1, 1, [])
+    assert facts.coverage[0].matched_blocks == 1 and facts.source_files[0].endswith("flow_202507.csv")
     with pytest.raises(FileNotFoundError):
         readers.read_flow(spark, f"{tmp_path}/absent_*.csv")
 
@@ -174,6 +182,11 @@ def test_impact_models_and_report(spark):
     assert out["episode_summary"].agg(F.max("actual_y1_row_mean")).first()[0] < 0
     assert out["outlier_sensitivity"].count() == 6
     assert out["region_episode_summary"].count() <= 12
+    found = {r.disaster_type: r for r in pipelines.analysis_config(scored, scored).collect()}
+    assert set(found) == {"heatwave", "cold_wave"}
+    assert found["heatwave"].saved_prediction_max_absolute_difference == 0.0 and found["heatwave"].train_p01 < found["heatwave"].train_p99
+    config = pipelines.run_config(spark, 1, sets, ["Ridge"]).first()
+    assert config.rolling_days == {"rolling7": 7, "rolling28": 28} and "TS_AT" in config.excluded_features
 
 
 def test_impact_audits_raise(spark):

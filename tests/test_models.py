@@ -180,3 +180,17 @@ def test_permutation_exchanges_whole_groups(spark):
     assert got["ab"].importance_mean == pytest.approx(expected, rel=0.1)
     once = importance.permutation_importance(df, ["k"], {"c": ("c",)}, 1, scorer).first()
     assert once.importance_sd == 0.0
+
+
+def test_grid_importance_covers_every_feature(rows):
+    events = rows.withColumn("heatwave", F.lit(1)).withColumn("TS_AT", F.lit(1.0))
+    # one row per key, as the panel guarantees
+    events = events.withColumn("MCT_RY_CD", F.concat_ws("/", "MCT_RY_CD", F.format_string("%.12f", "avg_temp")))
+    spec = models.PanelSpec(hazards={"heatwave": (7,)})
+    sets = {"T": {"numeric": NUMERIC, "categorical": ["MCT_SGG_CD"]}}
+    _, scorers = models.run_grid(events, {"Ridge": models.ridge}, sets, spec)
+    got = {r.feature: r for r in models.grid_importance(events, scorers, sets, repeats=3, spec=spec).collect()}
+    assert set(got) == {"lag1", "avg_temp", "MCT_SGG_CD"}
+    assert got["avg_temp"].importance_mean > got["MCT_SGG_CD"].importance_mean > 0
+    assert (got["lag1"].feature_group, got["MCT_SGG_CD"].feature_group) == ("past_sales", "region")
+    assert (got["lag1"].n_test_rows, got["lag1"].permutation_repeats) == (sum(r[5] == "test" for r in DATA), 3)
