@@ -5,8 +5,12 @@ of aggregations over the train rows; nothing but a few constants per stage reach
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +25,9 @@ CHECKPOINT_EVERY = 10
 SKETCH_ACCURACY = 100_000
 # up to this many train rows, a value map per group fits one task
 ONE_TASK_ROWS = 1_000_000
+RULE = re.compile(r"If \(feature (\d+) (<=|in) (.+)\)$")
+# a leaf value, or (feature, threshold or left categories, left, right)
+Node = float | tuple
 
 
 def _quantile(df: DataFrame, keys: list[str], value: str, q: float, method: str) -> DataFrame:
@@ -32,11 +39,11 @@ def _quantile(df: DataFrame, keys: list[str], value: str, q: float, method: str)
 
 @dataclass
 class HuberBoosting:
-    """Fitted start value, rate, trees and their leaf values."""
+    """Fitted start value, rate, and per stage a tree with its leaf values."""
 
     start: float
     rate: float
-    trees: list[tuple[DecisionTreeRegressionModel, dict[int, float]]]
+    trees: list[Node]
 
     @classmethod
     def fit(
@@ -72,26 +79,55 @@ class HuberBoosting:
             ).fit(residual.withColumn("target", _clipped(F.col("r"), limit)))
             placed = tree.transform(residual).withColumn("leaf", F.col("leaf").cast("int"))
             values = _leaf_values(placed, limit, method)
-            model.trees.append((tree, values))
+            model.trees.append(_tree_rules(tree, values))
             rows = placed.select("features", "y", (F.col("f") + rate * lookup("leaf", values)).alias("f"))
             if (stage + 1) % CHECKPOINT_EVERY == 0 and stage + 1 < stages:
                 rows = checkpoint(rows)
         return model
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction``; trees run as column expressions over ``features``."""
-        names = []
-        out = df
-        for i, (tree, values) in enumerate(self.trees):
-            name = f"__leaf_{i}"
-            names.append(name)
-            tree.setLeafCol(name).setPredictionCol(f"__tree_{i}")
-            out = tree.transform(out).drop(f"__tree_{i}")
-            out = out.withColumn(name, lookup(F.col(name).cast("int"), values))
-        total = F.lit(self.start)
-        for name in names:
-            total = total + self.rate * F.col(name)
-        return out.withColumn("prediction", total).drop(*names)
+        """Add ``prediction``: all trees over one Arrow batch of vectors at a time. One column
+        expression per tree would outgrow generated code at 200 stages."""
+        start, rate, trees = self.start, self.rate, self.trees
+
+        @F.pandas_udf("double")
+        def predict(features: pd.Series) -> pd.Series:
+            total = np.full(len(features), start)
+            if len(features):
+                x = np.vstack(features.to_numpy())
+                for tree in trees:
+                    total += rate * _evaluate(tree, x)
+            return pd.Series(total)
+
+        return df.withColumn("prediction", predict(vector_to_array("features")))
+
+
+def _evaluate(node: Node, x: np.ndarray) -> np.ndarray:
+    if not isinstance(node, tuple):
+        return np.full(len(x), node)
+    feature, rule, left, right = node
+    goes_left = np.isin(x[:, feature], rule) if isinstance(rule, list) else x[:, feature] <= rule
+    return np.where(goes_left, _evaluate(left, x), _evaluate(right, x))
+
+
+def _tree_rules(tree: DecisionTreeRegressionModel, values: dict[int, float]) -> Node:
+    """The tree's printed rules with our leaf values; leaves count from left to right. A leaf
+    that no train row reaches keeps 0."""
+    lines = iter(line.strip() for line in tree.toDebugString.splitlines()[1:] if line.strip())
+    leaves = iter(range(2**tree.depth))
+
+    def read() -> Node:
+        line = next(lines)
+        rule = RULE.match(line)
+        if rule is None:
+            return values.get(next(leaves), 0.0)
+        feature, kind, text = int(rule[1]), rule[2], rule[3]
+        limit = float(text) if kind == "<=" else [float(c) for c in text.strip("{}").split(",")]
+        left = read()
+        next(lines)  # the Else line repeats the rule
+        return (feature, limit, left, read())
+
+    return read()
 
 
 def _clipped(c: Column, limit: float) -> Column:

@@ -395,7 +395,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN uses <> 0 THEN CAST(sale AS DOUBLE) / CAST(uses AS DOUBLE) END AS avg_price
       FROM card_daily ORDER BY ymd, region, industry LIMIT 10"""),
     "warning_rows": sql(f"""
-      SELECT {day()} AS date, region AS MCT_SGG_CD, heatwave, heat_alert_status, heat_impact_forecast, {r('avg_temp')} AS avg_temp,
+      SELECT {day()} AS date, region AS MCT_SGG_CD, heatwave, heat_alert_status, heat_impact_forecast, avg_temp,
         min_temp, max_temp, cold_wave, cold_alert_status, cold_impact_forecast FROM warnings"""),
     "hourly_to_daily_complete": sql(f"""
       SELECT region, {day()} AS date, {r('rainfall')} AS rainfall, rain_observation_hours, rain_valid_hours, rainfall_complete FROM rain_days"""),
@@ -410,7 +410,7 @@ ORACLE: dict[str, str] = {
       SELECT region, {day()} AS date, heavy_rain, {r('rain_3h_max_mm')} AS rain_3h_max_mm, rain_3h_valid_windows FROM exposure"""),
     "daily_weather": sql(f"""
       SELECT {day('s.date')} AS date, s.region AS MCT_SGG_CD, heatwave, heat_alert_status, heat_impact_forecast, CAST(NULL AS INTEGER) AS heavy_rain,
-        cold_wave, cold_alert_status, cold_impact_forecast, {r('avg_temp')} AS avg_temp, min_temp, max_temp, {r('rainfall')} AS rainfall,
+        cold_wave, cold_alert_status, cold_impact_forecast, avg_temp, min_temp, max_temp, {r('rainfall')} AS rainfall,
         rain_observation_hours, rain_valid_hours, rainfall_complete
       FROM all_spine s LEFT JOIN warnings w ON w.date = s.date AND w.region = s.region
       LEFT JOIN rain_days d ON d.date = s.date AND d.region = s.region"""),
@@ -421,13 +421,13 @@ ORACLE: dict[str, str] = {
       LEFT JOIN rain_days d ON d.date = s.date AND d.region = s.region
       LEFT JOIN exposure x ON x.date = s.date AND x.region = s.region"""),
     "calendar_spine_join": sql(f"""
-      SELECT {day()} AS date, MCT_SGG_CD, heatwave, cold_wave, heavy_rain, {r('avg_temp')} AS avg_temp, {r('min_temp')} AS min_temp,
-        {r('max_temp')} AS max_temp, rainfall, rain_observation_hours, rain_valid_hours, rainfall_complete, rain_3h_max_mm, rain_3h_valid_windows
+      SELECT {day()} AS date, MCT_SGG_CD, heatwave, cold_wave, heavy_rain, avg_temp, min_temp,
+        max_temp, rainfall, rain_observation_hours, rain_valid_hours, rainfall_complete, rain_3h_max_mm, rain_3h_valid_windows
       FROM weather_days"""),
     "panel_left_join": sql(f"""
       SELECT {day()} AS date, MCT_SGG_CD, MCT_RY_CD, CAST(sales AS DOUBLE) AS TS_AT, units AS USE_CNT,
-        CAST(sales AS DOUBLE) / units AS avg_price, heatwave, heavy_rain, cold_wave, {r('avg_temp')} AS avg_temp,
-        {r('min_temp')} AS min_temp, {r('max_temp')} AS max_temp, rainfall, rain_observation_hours, rain_valid_hours,
+        CAST(sales AS DOUBLE) / units AS avg_price, heatwave, heavy_rain, cold_wave, avg_temp,
+        min_temp, max_temp, rainfall, rain_observation_hours, rain_valid_hours,
         rainfall_complete, rain_3h_max_mm, rain_3h_valid_windows
       FROM joined"""),
     "panel_left_join_match_rate": sql(f"""

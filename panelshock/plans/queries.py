@@ -1,7 +1,7 @@
 """Registered queries: each runs an operator over whole given tables.
 
 ``tidy`` only shapes the answer for comparison: dates as ISO text, decimals as double,
-doubles to six places."""
+doubles to six places unless one exact division makes them."""
 
 from __future__ import annotations
 
@@ -25,6 +25,7 @@ from panelshock.spec import DEFAULT
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+TEMPERATURES = ("avg_temp", "min_temp", "max_temp")
 EVENT_KEY = ("disaster_type", "date", "MCT_SGG_CD", "MCT_RY_CD")
 SCORER_GROUPS = {"weather": ("avg_temp",), "lag": ("lag1", "lag7"), "rolling": ("rolling7",)}
 
@@ -111,7 +112,7 @@ def first_keys_sample(spark, sf):
 def warning_rows(spark, sf):
     heat = weather.heat_warnings(fx.heat_text(spark, sf), fx.STATION_REGIONS)
     cold = weather.cold_warnings(fx.cold_text(spark, sf), fx.STATION_REGIONS)
-    return tidy(weather.warnings_union(heat, cold))
+    return tidy(weather.warnings_union(heat, cold), TEMPERATURES)
 
 
 @query
@@ -138,7 +139,7 @@ def daily_weather(spark, sf):
         hourly,
         sorted(fx.STATION_REGIONS.values()),
     )
-    return tidy(daily)
+    return tidy(daily, TEMPERATURES)
 
 
 @query
@@ -156,7 +157,7 @@ def daily_weather_with_exposure(spark, sf):
 
 @query
 def calendar_spine_join(spark, sf):
-    return tidy(fx.weather_days(spark, sf))
+    return tidy(fx.weather_days(spark, sf), TEMPERATURES)
 
 
 # --- panel --------------------------------------------------------------------------------
@@ -170,7 +171,7 @@ def _joined(spark, sf):
 
 @query
 def panel_left_join(spark, sf):
-    return tidy(panel.panel_columns(_joined(spark, sf)), ("avg_price",))
+    return tidy(panel.panel_columns(_joined(spark, sf)), ("avg_price", *TEMPERATURES))
 
 
 @query

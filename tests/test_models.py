@@ -3,7 +3,7 @@ import pytest
 from conftest import day
 from pyspark.sql import functions as F
 
-from panelshock.operators import importance, models, preprocess
+from panelshock.operators import boosting, importance, models, preprocess
 from panelshock.operators.boosting import HuberBoosting
 
 rng = np.random.default_rng(11)
@@ -145,6 +145,20 @@ def test_huber_boosting_equals_direct_computation(spark, monkeypatch, one_task):
         assert got[a, b, c] == pytest.approx(e, abs=1e-9)
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 4])
+def test_printed_rules_follow_the_fitted_leaves(rows, prepared, depth):
+    """Binary columns are split as categories; rows must reach the leaf Spark assigns."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    vectors = prepared.vectors(rows, NUMERIC, CATEGORICAL)
+    tree = DecisionTreeRegressor(labelCol="Y1_heatwave", leafCol="leaf", maxDepth=depth, maxBins=256).fit(vectors)
+    model = HuberBoosting(0.0, 1.0, [boosting._tree_rules(tree, {i: float(i) for i in range(2**depth)})])
+    got = model.transform(tree.transform(vectors).drop("prediction")).select("leaf", "prediction").collect()
+    assert all(r.leaf == r.prediction for r in got)
+    assert len({r.leaf for r in got}) > depth
+    assert model.transform(vectors.limit(0)).count() == 0
+
+
 def test_grid_fits_every_combination(spark, rows):
     events = rows.withColumn("heatwave", F.lit(1)).withColumn("TS_AT", F.lit(1.0))
     spec = models.PanelSpec(hazards={"heatwave": (7,)})
