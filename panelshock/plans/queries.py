@@ -40,7 +40,7 @@ def tidy(df: DataFrame, unrounded: tuple[str, ...] = ()) -> DataFrame:
     for name, kind in df.dtypes:
         c = F.col(name)
         if kind == "date":
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = c.cast("string")
         elif kind.startswith("decimal"):
             c = c.cast("double")
         elif kind in ("double", "float") and name not in unrounded:

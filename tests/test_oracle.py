@@ -1,11 +1,13 @@
 """Every registered query against its SQL, value by value, on the smallest tables."""
 
+import functools
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from panelshock.plans import fixtures
 
 TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 MODEL_QUERIES = {"model_grid_linear", "forest_metrics", "squared_boosting_metrics", "huber_boosting_metrics", "split_search", "impact_pipeline"}
@@ -19,6 +21,16 @@ def duck(sf_dir):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_inputs():
+    """Build each staged input once for all checks."""
+    patch = pytest.MonkeyPatch()
+    for name in ("panel", "hourly", "event_rows", "saved_run"):
+        patch.setattr(fixtures, name, functools.cache(getattr(fixtures, name)))
+    yield
+    patch.undo()
+
+
 def ordered(rows):
     return sorted((tuple(r) for r in rows), key=lambda r: tuple((v is not None, str(v)) for v in r))
 
