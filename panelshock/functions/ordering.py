@@ -12,15 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CELL_OFFSET, CELLS_PER_E_FOLD = 100.0, 1000.0
+CELL_OFFSET, CELLS_PER_E_FOLD, FINE_CELLS = 100.0, 1000.0, 4096.0
 HASH_PREFIX = 3
 
 
-def _cell(value: Column) -> Column:
-    # linear near zero, 0.1 % wide elsewhere: at most about 10^5 cells over the range of a double
+def _cells(value: Column) -> dict[str, Column]:
+    """A coarse and a fine cell, both monotone in the value.
+
+    The coarse one is linear near zero and 0.1 % wide elsewhere, about 10^5 cells over the
+    range of a double; the fine one cuts it into equal parts."""
     scaled = value * F.lit(CELL_OFFSET)
     magnitude = F.log(F.abs(scaled) + F.sqrt(scaled * scaled + 1))
-    return F.floor(F.signum(scaled) * magnitude * CELLS_PER_E_FOLD)
+    place = F.signum(scaled) * magnitude * CELLS_PER_E_FOLD
+    zero = F.lit(0).cast("long")
+    return {
+        "__coarse": F.coalesce(F.floor(place), zero),
+        "__fine": F.coalesce(F.floor((place - F.floor(place)) * FINE_CELLS), zero),
+    }
 
 
 def exact_quantiles(
@@ -29,41 +37,57 @@ def exact_quantiles(
     """Linear-interpolated quantiles of ``value`` per ``keys``, one column per entry.
 
     Equal to ``percentile`` but without its per-group map of values in one task: equal values
-    are counted first (spread by key and value), and only the cells that hold a wanted rank
-    are ordered. Groups without a value, and NULL keys, are absent."""
+    are counted first (spread by key and value), then coarse cells are counted and only those
+    that hold a wanted rank are cut into fine cells, of which again only those with a wanted
+    rank are ordered by value. Groups without a value, and NULL keys, are absent."""
     keys = list(keys)
     v = "__v"
     present = F.col(v).isNotNull()
     for k in keys:
         present = present & F.col(k).isNotNull()
-    # the same null filters in both branches below let them share this exchange
+    # the same null filters in all branches below let them share this exchange
     counted = (
         df.select(*keys, F.col(value).cast("double").alias(v))
         .where(present)
         .groupBy(*keys, v)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__cell", F.coalesce(_cell(F.col(v)), F.lit(0).cast("long")))
-    )
-    in_order = W.partitionBy(*keys).orderBy("__cell") if keys else W.orderBy("__cell")
-    whole_group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    cells = counted.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__cn"))
-    cells = cells.select(
-        *keys,
-        "__cell",
-        (F.sum("__cn").over(in_order) - F.col("__cn")).alias("__before"),
-        F.sum("__cn").over(in_order).alias("__upto"),
-        F.sum("__cn").over(whole_group).alias("__total"),
+        .withColumns(_cells(F.col(v)))
     )
     position = {name: (F.col("__total") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
     wanted = F.lit(False)
     for p in position.values():
         for rank in (F.floor(p), F.ceil(p)):
             wanted = wanted | ((rank >= F.col("__before")) & (rank < F.col("__upto")))
-    hits = cells.where(wanted).drop("__upto")
-    inside = W.partitionBy(*keys, "__cell").orderBy(v)
+
+    coarse = counted.groupBy(*keys, "__coarse").agg(F.sum("__n").alias("__cn"))
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
+    upto = F.sum("__cn").over(group.orderBy("__coarse"))
+    coarse_hits = (
+        coarse.withColumns(
+            {"__upto": upto, "__before": upto - F.col("__cn"), "__total": F.sum("__cn").over(group)}
+        )
+        .where(wanted)
+        .select(*keys, "__coarse", "__before", "__total")
+    )
+
+    fine_keys = [*keys, "__coarse", "__before", "__total"]
+    fine = (
+        counted.join(coarse_hits, [*keys, "__coarse"])
+        .groupBy(*fine_keys, "__fine")
+        .agg(F.sum("__n").alias("__cn"))
+    )
+    within = F.sum("__cn").over(W.partitionBy(*keys, "__coarse").orderBy("__fine"))
+    fine_hits = (
+        fine.withColumn("__upto", F.col("__before") + within)
+        .withColumn("__before", F.col("__upto") - F.col("__cn"))
+        .where(wanted)
+        .select(*keys, "__coarse", "__fine", "__before", "__total")
+    )
+
+    cell = [*keys, "__coarse", "__fine"]
     ranked = (
-        counted.join(hits, [*keys, "__cell"])
-        .withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
+        counted.join(fine_hits, cell)
+        .withColumn("__end", F.col("__before") + F.sum("__n").over(W.partitionBy(*cell).orderBy(v)))
         .withColumn("__start", F.col("__end") - F.col("__n"))
     )
     out = []

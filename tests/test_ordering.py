@@ -28,6 +28,8 @@ def test_exact_quantiles_equal_numpy(spark):
             "ties": rng.integers(-3, 3, 800),
             "heavy tail": np.exp(rng.normal(0, 6, 900)),
             "narrow": 1e9 + rng.random(700),
+            "huge": np.append(rng.normal(0, 1, 50) * 1e300, [1e308, -1e308]),
+            "one cell": 1.7e9 + np.arange(500) / 64,
             "tiny": rng.normal(0, 1e-7, 300),
             "zeros": [0.0, -0.0, 0.0, 5.0],
         },
