@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +29,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, shared by all executors.
-
-    Only a local master, as in tests, gets a folder of its own when the setting is absent."""
+    """The folder named by ``spark.checkpoint.dir``, shared by all executors; where a session
+    does not set it, one inside the warehouse, which is shared as well."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="panelshock-")
+    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
