@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelshock.llm import decontaminate, digest_index, jaccard_join
+from panelshock.llm import (
+    decontaminate, digest_index, jaccard_join, language_id, quality, sentencepiece_codec, wordpiece_counts,
+)
 from panelshock.llm.workspace import Workspace, read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +21,19 @@ def query(f):
     return f
 
 
+@query
+def op1_quality_classifier(spark, sf):
+    scored = quality.score(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"), Workspace(spark, "op1"))
+    return scored.select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query
+def op3_token_counts(spark, sf):
+    return wordpiece_counts.token_counts(read_table(spark, sf, "documents"))
+
+
 @query
 def op6_exact_dedup(spark, sf):
     work = Workspace(spark, "op6")
@@ -36,6 +51,26 @@ def op7_benchmark_decontamination(spark, sf):
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
 
 
+@query
+def op8_sentencepiece(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    return both.select(
+        "doc_id",
+        F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.xxhash64("piece_ids").alias("ids_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 @query
 def op9_ngram_jaccard_join(spark, sf):
     return jaccard_join.similarity_classes(read_table(spark, sf, "documents"), Workspace(spark, "op9"))
+
+
+@query
+def op10_language_id(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    model = language_id.train(docs, Workspace(spark, "op10"))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
