@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelshock.llm.components import connected
+from panelshock.llm.keyfilter import key_filter
 from panelshock.llm.textbytes import mix, shingle_sets
 from panelshock.llm.workspace import Workspace
 
@@ -130,19 +131,7 @@ def _profiles(size: int, percent: int, frequencies):
     return run
 
 
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, sets in shingle_sets(batch.column("text"), size):
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "members"],
-                )
-
-    return run
-
-
-def _similar(percent: int):
+def similar_sets(percent: int):
     """Keep the pairs whose sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,31 +148,81 @@ def _similar(percent: int):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int, work: Workspace, label: str) -> DataFrame:
-    """The pairs (a, b) of representatives that are similar; sets are rebuilt from the texts of
-    the documents in question only."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = work.table(
-        docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, members binary"),
-        f"{label}-sets",
-    )
+def _wanted_sets(size: int, wanted):
+    """The sets of the documents that the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(wanted.value.holds(np.asarray(batch.column("doc_id")))))
+            for first, sets in shingle_sets(some.column("text"), size):
+                yield pa.record_batch(
+                    [some.column("doc_id").slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "members"],
+                )
+
+    return run
+
+
+def _index(wanted):
+    """(token, doc_id, spot) of the prefix shingles that the filter holds. A spot has the
+    set's size above 32 bits and the place of the shingle in its prefix below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = np.asarray(batch.column("prefix").value_lengths()).astype(np.int64)
+            tokens = np.asarray(batch.column("prefix").flatten())
+            ends = np.cumsum(lengths)
+            place = np.arange(len(tokens)) - np.repeat(ends - lengths, lengths)
+            keep = wanted.value.holds(tokens)
+            spot = (np.repeat(np.asarray(batch.column("n")), lengths) << 32) | place
+            owner = np.repeat(np.asarray(batch.column("doc_id")), lengths)
+            yield pa.record_batch([pa.array(tokens[keep]), pa.array(owner[keep]), pa.array(spot[keep])], ["token", "doc_id", "spot"])
+
+    return run
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
+def _links(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, size: int, percent: int, work: Workspace, label: str) -> DataFrame:
+    """The pairs (a, b) of representatives that are similar. Pairs must first share as many
+    prefix shingles as the smaller m of both; the sets of those that do are rebuilt from their
+    texts alone."""
+    ends = work.table(prefixes.join(_ends(pairs), "doc_id", "left_semi"), f"{label}-prefixes")
+    shared = F.size(F.array_intersect("a_prefix", "b_prefix"))
+    for side in ("a", "b"):
+        pairs = pairs.join(ends.select(*[F.col(c).alias(t) for c, t in (("doc_id", side), ("m", f"{side}_m"), ("prefix", f"{side}_prefix"))]), side)
+    pairs = work.table(pairs.where(shared >= F.least("a_m", "b_m")).select("a", "b"), f"{label}-checked")
+    ends = work.table(_ends(pairs), f"{label}-ends")
+    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(ends, ends.count()))
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_wanted_sets(size, wanted), "doc_id long, members binary")
+    sets = work.table(sets.join(ends, "doc_id", "left_semi"), f"{label}-sets")
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left_set")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right_set")), "b")
         .select("a", "b", "left_set", "right_set")
     )
-    out = work.table(both.mapInArrow(_similar(percent), "a long, b long").distinct(), f"{label}-links")
-    work.drop(f"{label}-sets")
+    out = work.table(both.mapInArrow(similar_sets(percent), "a long, b long").distinct(), f"{label}-links")
+    work.drop(f"{label}-sets", f"{label}-ends", f"{label}-prefixes", f"{label}-checked")
     return out
 
 
-def _reach(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
-    """Whether a match at these places can belong to a similar pair: no more shingles can be
-    shared than those before both, the match, and those after both."""
-    most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
+def _n(spot: str) -> Column:
+    return F.shiftright(spot, 32)
+
+
+def _place(spot: str) -> Column:
+    return F.col(spot).bitwiseAND(0xFFFFFFFF)
+
+
+def _reach(x: str, y: str, percent: int) -> Column:
+    """Whether a match at these spots can be the first of a similar pair: all that is shared
+    stands from there on. The first common shingle of every similar pair passes."""
+    most = F.least(_n(x) - _place(x), _n(y) - _place(y))
     return (
-        (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
-        & ((100 + percent) * most >= percent * (n1 + n2))
+        (100 * F.least(_n(x), _n(y)) >= percent * F.greatest(_n(x), _n(y)))
+        & ((100 + percent) * most >= percent * (_n(x) + _n(y)))
     )
 
 
@@ -216,27 +255,33 @@ def similarity_classes(
     ties = work.table(ties.where("a != b"), "ties")
 
     first = named.join(classes.select(*shape, F.col("rep").alias("doc_id")), [*shape, "doc_id"], "left_semi")
-    index = first.select("doc_id", "n", "m", F.posexplode("prefix").alias("place", "token"))
-    shared = (
-        index.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("place", "doc_id", "n")).alias("hub"))
-        .where("k > 1")
-        .select("token", F.col("hub.doc_id").alias("hub"), F.col("hub.place").alias("hub_place"), F.col("hub.n").alias("hub_n"))
+    prefixes = work.table(first.select("doc_id", "n", "m", "prefix"), "prefixes")
+    # only shingles of several prefixes are worth an index row
+    repeated = work.table(
+        prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"),
+        "repeated",
     )
-    postings = work.table(index.join(shared, "token"), "postings")
+    wanted = spark.sparkContext.broadcast(key_filter(repeated, repeated.count()))
+    index = prefixes.select("doc_id", "n", "prefix").mapInArrow(_index(wanted), "token long, doc_id long, spot long")
+    index = work.table(index.join(repeated, "token", "left_semi"), "index")
+    # the hub of a token is the document with the fewest rarer shingles
+    rank = F.shiftleft(_place("spot"), 40).bitwiseOR(F.xxhash64("doc_id").bitwiseAND((1 << 40) - 1))
+    hubs = index.groupBy("token").agg(F.min_by("doc_id", rank).alias("hub"), F.min_by("spot", rank).alias("hub_spot"))
+    postings = work.table(index.join(hubs, "token"), "postings")
+    work.drop("repeated", "index")
 
     pairs = work.table(
         postings.where("doc_id != hub")
-        .where(_reach(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place"), percent))
+        .where(_reach("spot", "hub_spot", percent))
         .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
         .distinct(),
         "hub-pairs",
     )
-    near_hubs = _links(texts, pairs, size, percent, work, "hub")
+    near_hubs = _links(texts, pairs, prefixes, size, percent, work, "hub")
     found = near_hubs.unionByName(ties)
     groups = connected(found, work, "hub-components")
     placed = postings.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "token", "doc_id", "n", "m", "place", "hub", F.coalesce("component", "doc_id").alias("component")
+        "token", "doc_id", "spot", "hub", F.coalesce("component", "doc_id").alias("component")
     )
     placed = work.table(placed, "placed")
     open_tokens = (
@@ -250,32 +295,27 @@ def similarity_classes(
         .select("token", "core")
     )
     rest = work.table(placed.drop("hub").join(open_tokens, "token"), "open")
-    columns = ("doc_id", "n", "m", "place", "component")
+    columns = ("doc_id", "spot", "component")
     x = rest.where("component != core").select("token", "core", *[F.col(c).alias(f"x_{c}") for c in columns])
     y = rest.select("token", *[F.col(c).alias(f"y_{c}") for c in columns])
     # each pair of components meets once per token: the side outside the hub's component leads
-    meet = (
-        x.join(y, "token")
-        .where(F.col("x_component") != F.col("y_component"))
-        .where((F.col("y_component") == F.col("core")) | (F.col("x_doc_id") < F.col("y_doc_id")))
-        .where(_reach(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place"), percent))
-    )
     across = (
-        meet.groupBy(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
-        .agg(F.count(F.lit(1)).alias("matches"), F.min(F.least("x_m", "y_m")).alias("wanted"))
-        .where("matches >= wanted")
-        .select("a", "b")
+        x.join(y, "token")
+        .where("x_component != y_component AND (y_component = core OR x_doc_id < y_doc_id)")
+        .where(_reach("x_spot", "y_spot", percent))
+        .select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
+        .distinct()
         .join(pairs, ["a", "b"], "left_anti")
     )
     across = work.table(across, "cross-pairs")
-    more = _links(texts, across, size, percent, work, "cross")
+    more = _links(texts, across, prefixes, size, percent, work, "cross")
     final = connected(found.unionByName(more), work, "components")
 
     naming = work.table(
         classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*shape, F.coalesce("component", "rep").alias("component")),
         "naming",
     )
-    work.drop("postings", "placed", "open", "hub-pairs", "cross-pairs")
+    work.drop("prefixes", "postings", "placed", "open", "hub-pairs", "cross-pairs")
     return (
         profiles.select("doc_id", *shape)
         .join(naming, shape, "left")
