@@ -5,6 +5,25 @@ CODE_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 WHITE_WORDS = rf"regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
+    "op5_line_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
+                       lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS lines
+            FROM documents
+        ), run AS (
+            SELECT doc_id, i, array_to_string(lines[i : i + 2], chr(10)) AS run
+            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM d WHERE len(lines) >= 3)
+        ), later AS (
+            SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM run) WHERE k > 1
+        ), gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later),
+        line AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
+        kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
+            FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op6_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,

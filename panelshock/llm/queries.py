@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelshock.llm import (
-    decontaminate, digest_index, jaccard_join, language_id, quality, sentencepiece_codec, wordpiece_counts,
+    decontaminate, digest_index, jaccard_join, language_id, line_dedup, masked_lm, paragraph_dedup, quality,
+    sentencepiece_codec, wordpiece_counts,
 )
 from panelshock.llm.workspace import Workspace, read_table
 
@@ -29,11 +30,30 @@ def op1_quality_classifier(spark, sf):
     )
 
 
+@query
+def op2_lm_scoring(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    return masked_lm.score(docs, masked_lm.train(docs, Workspace(spark, "op2")))
+
+
 @query
 def op3_token_counts(spark, sf):
     return wordpiece_counts.token_counts(read_table(spark, sf, "documents"))
 
 
+@query
+def op4_paragraph_dedup(spark, sf):
+    return paragraph_dedup.repeated_paragraphs(read_table(spark, sf, "documents"), Workspace(spark, "op4"))
+
+
+@query
+def op5_line_dedup(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    cleaned = line_dedup.without_runs(docs, line_dedup.repeated_runs(docs, Workspace(spark, "op5")))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return cleaned.select("doc_id", "n_lines", "n_removed", digest.alias("text_sha256"))
+
+
 @query
 def op6_exact_dedup(spark, sf):
     work = Workspace(spark, "op6")

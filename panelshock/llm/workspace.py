@@ -27,10 +27,16 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            place = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            place.getFileSystem(conf).delete(place, True)
+            self._delete(self.path(name))
+
+    def drop_all(self) -> None:
+        """Delete the job's folder, once its result has been written elsewhere."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
