@@ -22,7 +22,11 @@ def _cells(value: Column) -> dict[str, Column]:
     The coarse one is linear near zero and 0.1 % wide elsewhere, about 10^5 cells over the
     range of a double; the fine one cuts it into equal parts."""
     scaled = value * F.lit(CELL_OFFSET)
-    magnitude = F.log(F.abs(scaled) + F.sqrt(scaled * scaled + 1))
+    size = F.abs(scaled)
+    # beyond 1e100 a square could overflow; there the root is the size itself
+    magnitude = F.when(size < 1e100, F.log(size + F.sqrt(size * size + 1))).otherwise(
+        F.log(F.abs(value)) + F.log(F.lit(2 * CELL_OFFSET))
+    )
     place = F.signum(scaled) * magnitude * CELLS_PER_E_FOLD
     zero = F.lit(0).cast("long")
     return {
@@ -39,10 +43,11 @@ def exact_quantiles(
     Equal to ``percentile`` but without its per-group map of values in one task: equal values
     are counted first (spread by key and value), then coarse cells are counted and only those
     that hold a wanted rank are cut into fine cells, of which again only those with a wanted
-    rank are ordered by value. Groups without a value, and NULL keys, are absent."""
+    rank are ordered by value. NaN counts as missing. Groups without a value, and NULL keys, are
+    absent."""
     keys = list(keys)
     v = "__v"
-    present = F.col(v).isNotNull()
+    present = F.col(v).isNotNull() & ~F.isnan(v)
     for k in keys:
         present = present & F.col(k).isNotNull()
     # the same null filters in all branches below let them share this exchange

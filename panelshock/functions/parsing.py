@@ -21,9 +21,18 @@ def clean_text(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(BLANKS))
 
 
-def tolerant_decimal(c: Column | str, precision: int = 20, scale: int = 4) -> Column:
-    """Exact number, or NULL for blank, non-numeric, NaN and infinite text."""
-    return clean_text(c).try_cast(f"decimal({precision},{scale})")
+def tolerant_decimal(c: Column | str, precision: int = 38, scale: int = 10) -> Column:
+    """Exact number, or NULL for blank, non-numeric, NaN and infinite text, and for a number
+    that the type cannot hold as it is (``does_not_fit``)."""
+    value = clean_text(c).try_cast(f"decimal({precision},{scale})")
+    return F.when(~does_not_fit(c, precision, scale), value)
+
+
+def does_not_fit(c: Column | str, precision: int = 38, scale: int = 10) -> Column:
+    """Whether the text is a number with more digits than the type, before or after the point."""
+    value = clean_text(c).try_cast(f"decimal({precision},{scale})")
+    number = tolerant_double(c)
+    return F.coalesce(number.isNotNull() & ~value.cast("double").eqNullSafe(number), F.lit(False))
 
 
 def tolerant_double(c: Column | str) -> Column:

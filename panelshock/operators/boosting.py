@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
@@ -22,21 +23,11 @@ from panelshock.session import checkpoint
 # The library defaults the compared model relies on.
 CLIP_QUANTILE = 0.9
 CHECKPOINT_EVERY = 10
-SKETCH_ACCURACY = 100_000
-# up to this many train rows, a value map per group fits one task
-ONE_TASK_ROWS = 1_000_000
 RULE = re.compile(r"If \(feature (\d+) (<=|in) (.+)\)$")
 # a leaf value, or (feature, threshold or left categories, left, right)
 Node = float | tuple
 
 
-def _quantile(df: DataFrame, keys: list[str], value: str, q: float, method: str) -> DataFrame:
-    if method == "cells":
-        return exact_quantiles(df, keys, value, {"q": q})
-    found = F.percentile(value, q) if method == "map" else F.percentile_approx(value, q, SKETCH_ACCURACY)
-    return df.groupBy(*keys).agg(found.alias("q"))
-
-
 @dataclass
 class HuberBoosting:
     """Fitted start value, rate, and per stage a tree with its leaf values."""
@@ -54,35 +45,30 @@ class HuberBoosting:
         rate: float = 0.04,
         depth: int = 2,
         seed: int = 20261003,
-        exact: bool = True,
     ) -> HuberBoosting:
         """``train`` has ``features`` and ``label``. Per stage: clip residuals at their 0.9
         quantile, fit a tree to them, set each leaf to its median residual plus the mean
-        clipped distance from it.
-
-        Quantiles are exact by default: one task's value map while the counted train rows are
-        few, ordered cells beyond. ``exact=False`` takes bounded sketches of one pass each, the
-        choice for very large train sets."""
+        clipped distance from it. Quantiles are exact, by ordered cells at every size; the
+        working rows of a stage are kept in memory and on disk while its jobs read them."""
         rows = checkpoint(train.select("features", F.col(label).cast("double").alias("y")))
-        few = rows.count() <= ONE_TASK_ROWS
-        method = "sketch" if not exact else "map" if few else "cells"
-        start = float(_quantile(rows, [], "y", 0.5, method).first()["q"])
+        start = float(exact_quantiles(rows, [], "y", {"q": 0.5}).first()["q"])
         rows = rows.withColumn("f", F.lit(start))
         model = cls(start, rate, [])
         for stage in range(stages):
-            residual = rows.withColumn("r", F.col("y") - F.col("f"))
+            residual = rows.withColumn("r", F.col("y") - F.col("f")).persist(StorageLevel.MEMORY_AND_DISK)
             size = residual.withColumn("size", F.abs("r"))
-            limit = float(_quantile(size, [], "size", CLIP_QUANTILE, method).first()["q"])
+            limit = float(exact_quantiles(size, [], "size", {"q": CLIP_QUANTILE}).first()["q"])
             tree = DecisionTreeRegressor(
                 featuresCol="features", labelCol="target", predictionCol="__tree", leafCol="leaf",
                 maxDepth=depth, maxBins=256, seed=seed,
             ).fit(residual.withColumn("target", _clipped(F.col("r"), limit)))
             placed = tree.transform(residual).withColumn("leaf", F.col("leaf").cast("int"))
-            values = _leaf_values(placed, limit, method)
+            values = _leaf_values(placed, limit)
             model.trees.append(_tree_rules(tree, values))
             rows = placed.select("features", "y", (F.col("f") + rate * lookup("leaf", values)).alias("f"))
             if (stage + 1) % CHECKPOINT_EVERY == 0 and stage + 1 < stages:
                 rows = checkpoint(rows)
+            residual.unpersist()
         return model
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -134,9 +120,9 @@ def _clipped(c: Column, limit: float) -> Column:
     return F.greatest(F.lit(-limit), F.least(F.lit(limit), c))
 
 
-def _leaf_values(placed: DataFrame, limit: float, method: str) -> dict[int, float]:
+def _leaf_values(placed: DataFrame, limit: float) -> dict[int, float]:
     """A tree of limited depth has at most 2^depth leaves: their medians are literals."""
-    found = _quantile(placed, ["leaf"], "r", 0.5, method).collect()
+    found = exact_quantiles(placed, ["leaf"], "r", {"q": 0.5}).collect()
     medians = {int(r["leaf"]): float(r["q"]) for r in found}
     distance = F.col("r") - lookup("leaf", medians)
     shifts = placed.groupBy("leaf").agg(F.avg(_clipped(distance, limit)).alias("shift")).collect()

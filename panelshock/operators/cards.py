@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelshock.functions.parsing import clean_key, clean_text, tolerant_date, tolerant_decimal
+from panelshock.functions.parsing import clean_key, clean_text, does_not_fit, tolerant_date, tolerant_decimal
 from panelshock.functions.scalars import average_price, sum_unless_missing
 
 KEY = ("TA_YMD", "MCT_SGG_CD", "MCT_RY_CD")
 MEASURES = ("TS_AT", "USE_CNT")
 
 
-def parse_transactions(raw: DataFrame) -> DataFrame:
+def parse_transactions(raw: DataFrame, precision: int = 38, scale: int = 10) -> DataFrame:
     """Trimmed keys (NULL when blank) and exact measures (NULL when missing or not a number).
 
-    ``<measure>_invalid`` marks text that is there but is not a number."""
+    ``<measure>_invalid`` marks text that is there but is not a number, ``<measure>_unfit`` a
+    number that decimal(precision, scale) cannot hold exactly; it is NULL, never rounded."""
     columns = [clean_key(k).alias(k) for k in KEY]
     for m in MEASURES:
-        value = tolerant_decimal(m)
-        columns += [value.alias(m), (value.isNull() & (clean_text(F.coalesce(F.col(m), F.lit(""))) != "")).alias(f"{m}_invalid")]
+        value, unfit = tolerant_decimal(m, precision, scale), does_not_fit(m, precision, scale)
+        there = clean_text(F.coalesce(F.col(m), F.lit(""))) != ""
+        columns += [value.alias(m), (value.isNull() & there & ~unfit).alias(f"{m}_invalid"), unfit.alias(f"{m}_unfit")]
     return raw.select(*columns)
 
 
@@ -35,13 +37,13 @@ def daily_aggregate(parsed: DataFrame, keys=KEY) -> DataFrame:
     return sums.withColumn("avg_price", average_price(*MEASURES))
 
 
-def load_report(raw: DataFrame) -> DataFrame:
+def load_report(raw: DataFrame, precision: int = 38, scale: int = 10) -> DataFrame:
     """One row of load counters.
 
     Rows are first folded to one row per key (partial aggregation on the map side), so the
     distinct counts run over keys and not over rows."""
     sales, count = MEASURES
-    parsed = parse_transactions(raw)
+    parsed = parse_transactions(raw, precision, scale)
     whole = F.lit(True)
     for k in KEY:
         whole = whole & F.col(k).isNotNull()
@@ -51,7 +53,7 @@ def load_report(raw: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("rows"),
             *[F.count_if(F.col(m).isNull()).alias(f"{m}_missing") for m in MEASURES],
-            *[F.count_if(F.col(f"{m}_invalid")).alias(f"{m}_invalid") for m in MEASURES],
+            *[F.count_if(F.col(f"{m}_{k}")).alias(f"{m}_{k}") for m in MEASURES for k in ("invalid", "unfit")],
             F.count_if(F.col(count) == 0).alias("zero_counts"),
             F.sum(count).alias("count_sum"),
         )
@@ -76,6 +78,8 @@ def load_report(raw: DataFrame) -> DataFrame:
         total(F.col(f"{sales}_invalid")).alias("invalid_sales"),
         total(F.col(f"{count}_missing")).alias("missing_counts"),
         total(F.col(f"{count}_invalid")).alias("invalid_counts"),
+        total(F.col(f"{sales}_unfit")).alias("unfit_sales"),
+        total(F.col(f"{count}_unfit")).alias("unfit_counts"),
         total(F.col("zero_counts")).alias("zero_counts"),
         F.count_if(F.col("keyed")).alias("groups"),
         F.count_if(F.col("keyed") & ~complete_sales).alias("groups_missing_sales"),

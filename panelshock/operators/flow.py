@@ -94,8 +94,8 @@ def join_flow(panel: DataFrame, profile: DataFrame, spec: PanelSpec = DEFAULT) -
     The profile has 84 rows per region (and year); regions come from the prefix mapping, so
     its size is fixed by that literal."""
     out = panel.withColumns({"month": month_of(spec.date), "weekday": weekday_of(spec.date)})
-    keys = ["region", "month", "weekday"]
-    out = out.withColumn("region", F.col(spec.region))
+    at = {"__region": F.col(spec.region), "__month": F.col("month"), "__weekday": F.col("weekday")}
     if "year" in profile.columns:
-        keys, out = ["year", *keys], out.withColumn("year", F.year(spec.date))
-    return out.join(profile, keys, "left").drop("region", "year")
+        at["__year"] = F.year(spec.date)
+    named = profile.select("flow_pop_weekday", *[F.col(k.removeprefix("__")).alias(k) for k in at])
+    return out.withColumns(at).join(named, list(at), "left").drop(*at)

@@ -40,12 +40,13 @@ def ridge(train: DataFrame, label: str, alpha: float = RIDGE_ALPHA):
     """Squared error plus alpha times the squared weights.
 
     Spark scales the label by its sd and averages over rows, so the same penalty is
-    alpha * sd(label) / n."""
+    alpha * sd(label) / n. The solver is Spark's choice by the number of features; beyond its
+    normal equations the iteration runs to a tight tolerance."""
     n, sd = train.agg(F.count(label), F.stddev_pop(label)).first()
     penalty = alpha * (sd or 1.0) / n
     return LinearRegression(
         featuresCol="features", labelCol=label, regParam=penalty, elasticNetParam=0.0,
-        standardization=False, solver="normal",
+        standardization=False, solver="auto", maxIter=2000, tol=1e-12,
     ).fit(train)
 
 
@@ -57,8 +58,8 @@ def forest(train: DataFrame, label: str, trees: int = 400, depth: int = 30, seed
     ).fit(train)
 
 
-def huber_boosting(train: DataFrame, label: str, stages: int = 200, exact: bool = True):
-    return HuberBoosting.fit(train, label, stages=stages, exact=exact)
+def huber_boosting(train: DataFrame, label: str, stages: int = 200):
+    return HuberBoosting.fit(train, label, stages=stages)
 
 
 def squared_boosting(train: DataFrame, label: str, stages: int = 200, seed: int = SEED):
@@ -135,7 +136,8 @@ def run_grid(
     predictions = parts[0]
     for part in parts[1:]:
         predictions = predictions.unionByName(part)
-    return predictions, scorers
+    # written once: every metric and report would score all models again
+    return staged(predictions), scorers
 
 
 def scorer(prepared: Preprocessor, chosen: dict[str, list[str]], fitted) -> Callable[[DataFrame], DataFrame]:

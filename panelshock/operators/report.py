@@ -149,14 +149,19 @@ def entity_episodes(events: DataFrame, entity: str) -> DataFrame:
 
 
 def entity_summary(within: DataFrame, entity: str) -> DataFrame:
-    """Each entity over its episodes, which the calendar bounds."""
+    """Each entity over its episodes. Episodes belong to a region, so one industry has those of
+    all regions: the quantiles come from ordered cells."""
     actual, predicted = F.col("actual_mean_y1"), F.col("predicted_mean_y1")
+    keys = ["disaster_type", "split", entity]
+    quantiles = exact_quantiles(
+        within, keys, "actual_mean_y1",
+        {"median_episode_actual_y1": 0.5, "p10_episode_actual_y1": 0.1, "p90_episode_actual_y1": 0.9},
+    )
     return (
-        within.groupBy("disaster_type", "split", entity)
+        within.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("episode_count"),
             F.avg(actual).alias("mean_episode_actual_y1"),
-            F.percentile(actual, [0.5, 0.1, 0.9]).alias("q"),
             F.stddev_samp(actual).alias("sd_episode_actual_y1"),
             F.avg(predicted).alias("mean_episode_predicted_y1"),
             F.avg("error_y1").alias("mean_episode_error_y1"),
@@ -164,14 +169,7 @@ def entity_summary(within: DataFrame, entity: str) -> DataFrame:
             F.count_if(predicted < 0).alias("episodes_predicted_negative"),
             F.count_if(F.signum(actual) == F.signum(predicted)).alias("episodes_sign_agree"),
         )
-        .withColumns(
-            {
-                "median_episode_actual_y1": F.col("q")[0],
-                "p10_episode_actual_y1": F.col("q")[1],
-                "p90_episode_actual_y1": F.col("q")[2],
-            }
-        )
-        .drop("q")
+        .join(quantiles, keys)
     )
 
 

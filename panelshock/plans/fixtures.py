@@ -15,7 +15,7 @@ from panelshock.session import staged
 from panelshock.spec import DEFAULT
 
 REGION_ORDER = {"A": 0, "N": 1, "R": 2}
-STATION_REGIONS = {"click": "R1", "view": "R2", "purchase": "R3", "error": "R4"}
+STATION_REGIONS = {"click": "R1", "view": "R2", "purchase": "R3", "error": "R4", "signup": "R5"}
 FLOW_PREFIXES = {f"{k:05d}": "ANR"[k % 3] for k in range(20)}
 RAIN_THRESHOLD = 800.0
 # model, feature set, weights of temperature, lag 1, lag 7 and the 7-day mean
@@ -270,8 +270,8 @@ def heat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw cold warning rows from the 20th on."""
-    days = _station_days(spark, sf_dir).where(F.dayofmonth("day") >= 20)
+    """Raw cold warning rows for the second half: each station-day is in one of the two texts."""
+    days = _station_days(spark, sf_dir).where(F.dayofmonth("day") > 15)
     slot = F.col("m") % 4
     return _warning_text(
         days,

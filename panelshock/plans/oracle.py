@@ -7,6 +7,7 @@ from __future__ import annotations
 import re
 
 
+from panelshock.operators.models import FEATURE_SETS
 from panelshock.plans.fixtures import FLOW_PREFIXES, SCORERS, STATION_REGIONS
 
 
@@ -198,10 +199,10 @@ NAMED = {
       SELECT region, date, CASE WHEN dom <= 15 THEN CAST(m % 3 = 0 AS INTEGER) END AS heatwave,
         CASE WHEN dom <= 15 THEN CASE WHEN m % 3 = 0 THEN '주의보' ELSE 'X' END END AS heat_alert_status,
         CASE WHEN dom <= 15 AND m % 5 = 0 THEN '관심' END AS heat_impact_forecast,
-        CASE WHEN dom >= 20 THEN CASE m % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 END END AS cold_wave,
-        CASE WHEN dom >= 20 THEN CASE m % 4 WHEN 0 THEN 'X' WHEN 1 THEN '주의보' WHEN 2 THEN '경보' END END AS cold_alert_status,
-        CASE WHEN dom >= 20 AND m % 5 = 0 THEN '주의' END AS cold_impact_forecast, avg_temp, min_temp, max_temp
-      FROM station_days WHERE dom <= 15 OR dom >= 20""",
+        CASE WHEN dom > 15 THEN CASE m % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 END END AS cold_wave,
+        CASE WHEN dom > 15 THEN CASE m % 4 WHEN 0 THEN 'X' WHEN 1 THEN '주의보' WHEN 2 THEN '경보' END END AS cold_alert_status,
+        CASE WHEN dom > 15 AND m % 5 = 0 THEN '주의' END AS cold_impact_forecast, avg_temp, min_temp, max_temp
+      FROM station_days""",
     "all_spine": f"""
       SELECT CAST(d.d AS DATE) AS date, g.region FROM (SELECT min(date) AS lo, max(date) AS hi FROM hours) s,
         unnest(generate_series(s.lo, s.hi, INTERVAL 1 DAY)) d(d),
@@ -342,6 +343,15 @@ def _fit(slope: str) -> str:
       GROUP BY disaster_type, split""")
 
 
+def _grid_facts(runs: list[tuple[str, str]]) -> str:
+    """Rows and means per split; the rest states that every property of a fit holds."""
+    values = ", ".join(f"('{m}', '{s}')" for m, s in runs)
+    return sql(f"""
+      SELECT disaster_type, model, feature_set, split, count(*) AS n, {r('avg(actual_y1)')} AS mean_actual_y1, CAST(0 AS BIGINT) AS without_prediction,
+        CAST(0 AS BIGINT) AS outside_train_range, true AS no_worse_than_mean, true AS residuals_centred
+      FROM events_y1, (VALUES {values}) v(model, feature_set) GROUP BY ALL""")
+
+
 def _distribution(source: str, digits: int = 6) -> str:
     quantiles = ", ".join(
         f"{r(f'quantile_cont(actual_y1, {q})')} AS {n}"
@@ -375,7 +385,7 @@ ORACLE: dict[str, str] = {
         count(*) - (SELECT count(*) FROM card_daily) AS repeated_key_rows,
         count(*) FILTER (WHERE sale IS NULL) AS missing_sales, count(*) FILTER (WHERE sale IS NULL AND sale_text <> '') AS invalid_sales,
         count(*) FILTER (WHERE uses IS NULL) AS missing_counts, count(*) FILTER (WHERE uses IS NULL AND use_text <> '') AS invalid_counts,
-        count(*) FILTER (WHERE uses = 0) AS zero_counts,
+        count(*) FILTER (WHERE uses = 0) AS zero_counts, CAST(0 AS BIGINT) AS unfit_sales, CAST(0 AS BIGINT) AS unfit_counts,
         (SELECT count(*) FROM card_daily) AS groups,
         (SELECT count(*) FROM card_daily WHERE sale IS NULL) AS groups_missing_sales,
         (SELECT count(*) FROM card_daily WHERE uses IS NULL) AS groups_missing_counts,
@@ -632,6 +642,12 @@ ORACLE: dict[str, str] = {
         {r('avg(pm)')} AS mean_episode_predicted_y1, {r('avg(pm - am)')} AS mean_episode_error_y1, count(*) FILTER (WHERE am < 0) AS episodes_actual_negative,
         count(*) FILTER (WHERE pm < 0) AS episodes_predicted_negative, count(*) FILTER (WHERE sign(am) = sign(pm)) AS episodes_sign_agree
       FROM within_region GROUP BY disaster_type, split, region"""),
+    "industry_episode_summary": sql(f"""
+      SELECT disaster_type, split, industry, count(*) AS episode_count, {r('avg(am)')} AS mean_episode_actual_y1, {r('quantile_cont(am, 0.5)')} AS median_episode_actual_y1,
+        {r('stddev_samp(am)')} AS sd_episode_actual_y1, {r('quantile_cont(am, 0.1)')} AS p10_episode_actual_y1, {r('quantile_cont(am, 0.9)')} AS p90_episode_actual_y1,
+        {r('avg(pm)')} AS mean_episode_predicted_y1, {r('avg(pm - am)')} AS mean_episode_error_y1, count(*) FILTER (WHERE am < 0) AS episodes_actual_negative,
+        count(*) FILTER (WHERE pm < 0) AS episodes_predicted_negative, count(*) FILTER (WHERE sign(am) = sign(pm)) AS episodes_sign_agree
+      FROM within_industry GROUP BY disaster_type, split, industry"""),
     "response_distribution": sql(_distribution("saved")),
     "price_distribution": _distribution(
         "(SELECT l_returnflag AS disaster_type, l_linestatus AS split, l_suppkey AS episode_id, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS actual_y1 FROM lineitem)", 3
@@ -655,7 +671,7 @@ ORACLE: dict[str, str] = {
       FULL JOIN (SELECT * FROM preds WHERE model = 'Random Forest' AND feature_set = 'B_plus_past_sales') b
         ON a.disaster_type = b.disaster_type AND a.date = b.date AND a.region = b.region AND a.industry = b.industry"""),
     "permutation_importance_linear": _permutation_sql({f: (f,) for f in ("avg_temp", "lag1", "lag7", "rolling7")}, 10, 20261003),
-    "permutation_importance_grouped": _permutation_sql({"weather": ("avg_temp",), "lag": ("lag1", "lag7"), "rolling": ("rolling7",)}, 10, 7),
+    "permutation_importance_grouped": _permutation_sql({"weather": ("avg_temp",), "lag": ("lag1", "lag7"), "rolling": ("rolling7",)}, 50, 7),
     "importance_top10": sql(f"""
       SELECT {RUN}, feature, importance_mean, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {RUN} ORDER BY importance_mean DESC, feature) AS INTEGER) AS rank
       FROM importances) WHERE rank <= 10"""),
@@ -673,6 +689,17 @@ ORACLE: dict[str, str] = {
     "exact_quantiles_by_supplier": f"""
       SELECT l_suppkey, {r('quantile_cont(l_extendedprice, 0.1)')} AS p10, {r('quantile_cont(l_extendedprice, 0.5)')} AS p50,
         {r('quantile_cont(l_extendedprice, 0.9)')} AS p90 FROM lineitem GROUP BY l_suppkey""",
+    "model_grid_linear": _grid_facts([(m, s) for m in ("Linear Regression", "Ridge") for s in FEATURE_SETS]),
+    "forest_metrics": _grid_facts([("Random Forest", "B_plus_past_sales")]),
+    "squared_boosting_metrics": _grid_facts([("HistGradientBoosting", "B_plus_past_sales")]),
+    "huber_boosting_metrics": _grid_facts([("Gradient Boosting", "B_plus_past_sales")]),
+    "split_search": sql("""
+      SELECT count(*) AS components, count(*) AS distinct_components, CAST(3 AS BIGINT) AS splits, CAST(0 AS BIGINT) AS leaks,
+        true AS no_worse_than_arithmetic, true AS score_agrees FROM components"""),
+    "impact_pipeline": sql("""
+      SELECT disaster_type, MCT_SGG_CD, MCT_RY_CD, count(*) AS event_rows, count(*) FILTER (WHERE in_season) AS with_target, CAST(3 AS BIGINT) AS splits
+      FROM (SELECT 'heatwave' AS disaster_type, MCT_SGG_CD, MCT_RY_CD, month(date) IN (7,8,9) AS in_season FROM panel WHERE heatwave = 1
+        UNION ALL SELECT 'cold_wave', MCT_SGG_CD, MCT_RY_CD, month(date) IN (11,12) FROM panel WHERE cold_wave = 1) GROUP BY ALL"""),
     "linear_fit": _fit("sum(x * y) / sum(x * x)"),
     "ridge_fit": _fit("sum(x * y) / (sum(x * x) + 10.0)"),
 }

@@ -509,6 +509,11 @@ def price_distribution(spark, sf):
     return tidy(out.withColumns({c: F.round(c, 3) for c in ("mean", "sd")}))
 
 
+@query
+def industry_episode_summary(spark, sf):
+    return tidy(report.entity_summary(report.entity_episodes(fx.saved_run(spark, sf), "industry"), "industry"))
+
+
 @query
 def outlier_sensitivity(spark, sf):
     return tidy(report.outlier_sensitivity(fx.saved_run(spark, sf)))
@@ -558,7 +563,7 @@ def permutation_importance_linear(spark, sf):
 
 @query
 def permutation_importance_grouped(spark, sf):
-    out = importance.permutation_importance(_test_events(spark, sf), EVENT_KEY, SCORER_GROUPS, 10, fixed_scorer, seed=7)
+    out = importance.permutation_importance(_test_events(spark, sf), EVENT_KEY, SCORER_GROUPS, 50, fixed_scorer, seed=7)
     return tidy(out)
 
 
@@ -654,7 +659,25 @@ def ridge_fit(spark, sf):
 @query
 def split_search(spark, sf):
     dates, _, flags = fx.split_dates(fx.panel(spark, sf))
-    return tidy(splits.search_split(spark, episodes.component_stats(dates, flags), restarts=32))
+    stats = staged(episodes.component_stats(dates, flags))
+    found = staged(splits.search_split(spark, stats))
+    plain = dates.select("component_no", "split").distinct()
+    candidates = found.select(F.lit(0).alias("candidate"), "component_no", "split").unionByName(
+        plain.select(F.lit(1).alias("candidate"), "component_no", "split")
+    )
+    scores = splits.score_assignments(stats, candidates).agg(
+        F.max(F.when(F.col("candidate") == 0, F.col("score"))).alias("a"), F.max(F.when(F.col("candidate") == 1, F.col("score"))).alias("b")
+    )
+    placed = splits.assign_split(dates.drop("split"), found.select("component_no", "split"))
+    facts = found.agg(
+        F.count(F.lit(1)).alias("components"), F.count_distinct("component_no").alias("distinct_components"),
+        F.count_distinct("split").alias("splits"), F.min("score").alias("score"),
+    )
+    leaks = splits.split_leaks(placed).agg(F.count(F.lit(1)).alias("leaks"))
+    return facts.join(scores).join(leaks).select(
+        "components", "distinct_components", "splits", "leaks",
+        (F.col("a") <= F.col("b") + 1e-9).alias("no_worse_than_arithmetic"), (F.abs(F.col("a") - F.col("score")) < 1e-9).alias("score_agrees"),
+    )
 
 
 def _model_panel(spark, sf):
@@ -665,42 +688,62 @@ def _model_panel(spark, sf):
     return calendar.add_calendar_features(baseline.add_targets(assigned))
 
 
-def _grid_metrics(spark, sf, fitters, sets):
+def _grid_facts(spark, sf, fitters, sets, inside=False, centred=False):
+    """What holds for a fitted run whatever its trees or weights: rows and mean of each split,
+    a finite prediction for every row, and train predictions no worse than the train mean. Tree
+    averages stay ``inside`` the train range; squared losses leave train residuals ``centred``."""
     chosen = {s: models.FEATURE_SETS[s] for s in sets}
     scored, _ = models.run_grid(_model_panel(spark, sf), fitters, chosen)
-    return tidy(report.regression_metrics(scored))
+    y, p = F.col("actual_y1"), F.col("predicted_y1")
+    taught = scored.where("split = 'train'").groupBy(*report.RUN).agg(
+        F.min(y).alias("lo"), F.max(y).alias("hi"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("spread"),
+        F.abs(F.avg(p - y)).alias("bias"), F.sqrt(F.avg((p - y) * (p - y))).alias("rmse"),
+    )
+    slack = 1e-6 * (F.col("spread") + 1)
+    outside = (p < F.col("lo") - slack) | (p > F.col("hi") + slack)
+    return tidy(
+        scored.join(taught, list(report.RUN)).groupBy(*report.RUN, "split").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.avg(y).alias("mean_actual_y1"),
+            F.count_if(p.isNull() | F.isnan(p)).alias("without_prediction"),
+            F.count_if(outside if inside else F.lit(False)).alias("outside_train_range"),
+            F.bool_and(F.col("rmse") <= F.col("spread") + slack).alias("no_worse_than_mean"),
+            F.bool_and((F.col("bias") <= slack) if centred else F.lit(True)).alias("residuals_centred"),
+        )
+    )
 
 
 @query
 def model_grid_linear(spark, sf):
-    return _grid_metrics(spark, sf, {n: models.MODELS[n] for n in ("Linear Regression", "Ridge")}, models.FEATURE_SETS)
+    return _grid_facts(spark, sf, {n: models.MODELS[n] for n in ("Linear Regression", "Ridge")}, models.FEATURE_SETS, centred=True)
 
 
 @query
 def forest_metrics(spark, sf):
-    fitters = {"Random Forest": lambda t, y: models.forest(t, y, trees=40, depth=10)}
-    return _grid_metrics(spark, sf, fitters, ["B_plus_past_sales"])
+    return _grid_facts(spark, sf, {"Random Forest": models.forest}, ["B_plus_past_sales"], inside=True)
 
 
 @query
 def squared_boosting_metrics(spark, sf):
-    fitters = {"HistGradientBoosting": lambda t, y: models.squared_boosting(t, y, stages=10)}
-    return _grid_metrics(spark, sf, fitters, ["B_plus_past_sales"])
+    return _grid_facts(spark, sf, {"HistGradientBoosting": models.squared_boosting}, ["B_plus_past_sales"], centred=True)
 
 
 @query
 def huber_boosting_metrics(spark, sf):
     fitters = {"Gradient Boosting": lambda t, y: models.huber_boosting(t, y, stages=5)}
-    return _grid_metrics(spark, sf, fitters, ["B_plus_past_sales"])
+    return _grid_facts(spark, sf, fitters, ["B_plus_past_sales"])
 
 
 @query
 def impact_pipeline(spark, sf):
-    """Panel to audited targets and features behind a searched split, then mean responses."""
-    tables = build_impact(fx.panel(spark, sf), restarts=32)
-    rows = [models.event_rows(tables.panel, h).select("split", *DEFAULT.entity, F.col(f"Y1_{h}").alias("y1"), F.lit(h).alias("disaster_type")) for h in DEFAULT.hazards]
+    """Panel to audited targets and features behind a searched split: event rows per hazard and
+    entity, all with a target in season, and the splits they fall in."""
+    tables = build_impact(fx.panel(spark, sf))
+    flags = F.array(*[F.struct(F.lit(h).alias("disaster_type"), F.col(h).alias("flag"), F.col(f"Y1_{h}").isNotNull().alias("has_target")) for h in DEFAULT.hazards])
+    events = tables.panel.select("split", *DEFAULT.entity, F.inline(flags)).where("flag = 1")
+    per_hazard = events.groupBy("disaster_type").agg(F.count_distinct("split").alias("splits"))
     return tidy(
-        rows[0].unionByName(rows[1]).groupBy("disaster_type", "split", *DEFAULT.entity).agg(
-            F.count(F.lit(1)).alias("n"), F.avg("y1").alias("mean_y1")
-        )
+        events.groupBy("disaster_type", *DEFAULT.entity)
+        .agg(F.count(F.lit(1)).alias("event_rows"), F.count_if("has_target").alias("with_target"))
+        .join(per_hazard, "disaster_type")
     )

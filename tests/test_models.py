@@ -129,9 +129,7 @@ def huber_stages(x, y, stages, rate):
     return f
 
 
-@pytest.mark.parametrize("one_task", [1_000_000, 0])
-def test_huber_boosting_equals_direct_computation(spark, monkeypatch, one_task):
-    monkeypatch.setattr("panelshock.operators.boosting.ONE_TASK_ROWS", one_task)
+def test_huber_boosting_equals_direct_computation(spark):
     from pyspark.ml.feature import VectorAssembler
 
     x = np.column_stack([np.arange(60) % 7, (np.arange(60) * 3) % 11]).astype(float)

@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 from panelshock.plans import fixtures
+from panelshock.plans.oracle import ORACLE
+from panelshock.plans.queries import REGISTRY
 
 TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
-MODEL_QUERIES = {"model_grid_linear", "forest_metrics", "squared_boosting_metrics", "huber_boosting_metrics", "split_search", "impact_pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -35,10 +36,10 @@ def ordered(rows):
     return sorted((tuple(r) for r in rows), key=lambda r: tuple((v is not None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, sf_dir, name):
-    df = entry.queries()[name](spark, sf_dir)
-    relation = duck.sql(entry.oracle_sql()[name])
+    df = REGISTRY[name](spark, sf_dir)
+    relation = duck.sql(ORACLE[name])
     columns = sorted(df.columns)
     assert columns == sorted(relation.columns)
     kinds = dict(df.dtypes)
@@ -48,8 +49,8 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert ordered(mine) == ordered(theirs)
 
 
-def test_only_models_and_searches_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == MODEL_QUERIES
+def test_every_query_has_sql():
+    assert set(REGISTRY) == set(ORACLE)
 
 
 def test_entry(spark):

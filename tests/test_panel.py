@@ -24,11 +24,11 @@ def test_prepare_panel_keeps_series_with_enough_days(spark):
 @pytest.mark.parametrize(
     "change, message",
     [
-        (lambda df: df.where("month(date) <> 10"), "no October rows"),
-        (lambda df: df.union(df.limit(1)), "duplicate"),
-        (lambda df: df.withColumn("TS_AT", F.when(F.col("MCT_RY_CD") == "x", F.col("TS_AT"))), "missing TS_AT"),
-        (lambda df: df.withColumn("MCT_SGG_CD", F.lit(None).cast("string")), "null date"),
-        (lambda df: df.withColumn("TS_AT", -F.col("TS_AT")), "positive"),
+        (lambda df: df.where("month(date) <> 10"), "no row at all"),
+        (lambda df: df.union(df.limit(1)), "share one key"),
+        (lambda df: df.withColumn("TS_AT", F.when(F.col("MCT_RY_CD") == "x", F.col("TS_AT"))), "TS_AT has gaps"),
+        (lambda df: df.withColumn("MCT_SGG_CD", F.lit(None).cast("string")), "has gaps"),
+        (lambda df: df.withColumn("TS_AT", -F.col("TS_AT")), "zero or below"),
         (lambda df: df.drop("TS_AT"), "missing columns"),
     ],
 )
@@ -38,7 +38,7 @@ def test_prepare_panel_refuses(spark, change, message):
 
 
 def test_prepare_panel_refuses_when_nothing_remains(spark):
-    with pytest.raises(ValueError, match="no rows remain"):
+    with pytest.raises(ValueError, match="too few days"):
         baseline.prepare_panel(october(spark), minimum_days=3)
     with pytest.raises(ValueError, match="at least 1"):
         baseline.prepare_panel(october(spark), minimum_days=0)
