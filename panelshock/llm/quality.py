@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from panelshock.llm.textbytes import WHITE, slices, word_hashes, word_spans
 from panelshock.llm.workspace import Workspace, id_remainder
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 10
 ROUNDS, PAIR_ROUNDS, RATE, LEAVES, RIDGE = 150, 60, 0.1, 3, 5.0
 FEATURES = (
