@@ -26,6 +26,8 @@ DISTRIBUTION = {
 }
 BOUNDS = {"train_p01": 0.01, "train_p99": 0.99}
 SAMPLES = ("test_all", "test_inside_train_p01_p99", "test_winsorized_train_p01_p99")
+# Names of the two samples of the importance analysis.
+IMPORTANCE_SAMPLES = ("test_all", "test_inside_train_p01_p99")
 
 
 def select_run(predictions: DataFrame, model: str, feature_set: str) -> DataFrame:
@@ -201,6 +203,15 @@ def _test_with_bounds(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return predictions.where("split = 'test'").join(bounds, list(keys))
 
 
+def sample_rows(predictions: DataFrame, keys: Sequence[str] = ("disaster_type",)) -> DataFrame:
+    """Test rows under each sample of the importance analysis: all of them, and those whose
+    response lies inside the train bounds."""
+    inside = F.col("actual_y1").between(F.col("train_p01"), F.col("train_p99"))
+    names = F.array(F.lit(IMPORTANCE_SAMPLES[0]), F.when(inside, F.lit(IMPORTANCE_SAMPLES[1])))
+    rows = _test_with_bounds(predictions, keys).withColumn("sample", F.explode(F.array_compact(names)))
+    return rows.drop("train_p01", "train_p99")
+
+
 def outlier_rows(predictions: DataFrame, keys: Sequence[str] = ("disaster_type",)) -> DataFrame:
     """Test rows with their errors, the train bounds and whether they lie outside."""
     inside = F.col("actual_y1").between(F.col("train_p01"), F.col("train_p99"))

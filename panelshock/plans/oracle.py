@@ -335,6 +335,22 @@ def _permutation_sql(groups: dict[str, tuple[str, ...]], repeats: int, seed: int
     return head[: head.rindex("\nSELECT 1 FROM test_events")] + permuted(groups, repeats, seed)
 
 
+def _two_samples(single: dict[str, tuple[str, ...]], grouped: dict[str, tuple[str, ...]], seed: int) -> str:
+    """The permutation SQL over test rows under both samples."""
+    head = sql("SELECT 1 FROM test_events")
+    head = head[: head.rindex("\nSELECT 1 FROM test_events")] + """
+      , bound AS (SELECT disaster_type, quantile_cont(actual_y1, 0.01) AS lo, quantile_cont(actual_y1, 0.99) AS hi
+        FROM events_y1 WHERE split = 'train' GROUP BY disaster_type),
+      sampled AS (SELECT t.*, 'test_all' AS sample FROM test_events t
+        UNION ALL SELECT t.*, 'test_inside_train_p01_p99' FROM test_events t JOIN bound b ON b.disaster_type = t.disaster_type
+        WHERE t.actual_y1 BETWEEN b.lo AND b.hi)"""
+    parts = []
+    for kind, groups, repeats in (("single", single, 30), ("group", grouped, 50)):
+        body = re.sub(r"(\w\.)?disaster_type\b", r"\1disaster_type, \1sample", permuted(groups, repeats, seed).replace("test_events", "sampled"))
+        parts.append(f"SELECT *, '{kind}' AS kind FROM ({head}{body})")
+    return " UNION ALL ".join(parts)
+
+
 def _fit(slope: str) -> str:
     return sql(f"""
       SELECT disaster_type, split, count(*) AS n, {r('avg(p)')} AS mean_prediction, {r('max(p)')} AS max_prediction, {r('avg(abs(p - y))')} AS mae
@@ -703,3 +719,18 @@ ORACLE: dict[str, str] = {
     "linear_fit": _fit("sum(x * y) / sum(x * x)"),
     "ridge_fit": _fit("sum(x * y) / (sum(x * x) + 10.0)"),
 }
+
+# files are written from the same tables, so what is read back has the same answers
+ORACLE |= {
+    "card_files": ORACLE["daily_agg_null_poison"],
+    "warning_files": ORACLE["warning_rows"],
+    "hourly_files": ORACLE["hourly_to_daily_complete"],
+    "flow_files": ORACLE["flow_profile_unpivot"],
+    "result_csv_round_trip": f"SELECT *, true AS second_write_refused FROM ({ORACLE['episode_day_summary']})",
+    "refit_reproduction": sql("""
+      SELECT split, count(*) AS left_rows, count(*) AS right_rows, count(*) AS matched_rows, true AS reproduced FROM events_y1 GROUP BY split"""),
+    "importance_two_samples": _two_samples(
+        {f: (f,) for f in ("avg_temp", "lag1", "lag7", "rolling7")},
+        {"weather": ("avg_temp",), "lag": ("lag1", "lag7"), "rolling": ("rolling7",)}, 20261003,
+    ),
+}

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from panelshock.functions.parsing import strict_date
 from panelshock.functions.scalars import month_of, weekday_of
-from panelshock.operators import audits, baseline, calendar, cards, episodes, flow, panel, report, splits, weather
+from panelshock.operators import (
+    audits, baseline, calendar, cards, episodes, flow, importance, panel, report, splits, weather,
+)
 from panelshock.session import staged
 from panelshock.sources import readers
-from panelshock.spec import DEFAULT, RATIOS, PanelSpec
+from panelshock.spec import DEFAULT, RATIOS, SPLITS, PanelSpec
 
 
 def build_card_panel(raw: DataFrame) -> DataFrame:
@@ -158,6 +160,38 @@ def analysis_config(saved: DataFrame, refit: DataFrame) -> DataFrame:
     )
 
 
+def require_refit(saved: DataFrame, refit: DataFrame) -> DataFrame:
+    """Compare a refit with the saved predictions of the same run on every split; a row that
+    one side lacks or a difference above 1e-7 raises. Returns one row per split."""
+    key = ["disaster_type", "date", "region", "industry"]
+    parts = []
+    for split in SPLITS:
+        left, right = (df.where(F.col("split") == split) for df in (saved, refit))
+        report.require_reproduced(left, right, key)
+        parts.append(report.prediction_difference(left, right, key).select(F.lit(split).alias("split"), "*"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def importance_of_samples(
+    rows: DataFrame, keys: list[str], scorer: importance.Scorer,
+    single: dict[str, tuple[str, ...]], grouped: dict[str, tuple[str, ...]],
+    single_repeats: int = 30, grouped_repeats: int = 50, seed: int = 20261003,
+) -> DataFrame:
+    """Permutation importance of single features and of groups on both test samples.
+
+    ``rows`` has actual_y1, split, hazard and the features; ``scorer`` adds ``prediction``."""
+    samples = staged(report.sample_rows(rows))
+    within = ("disaster_type", "sample")
+    parts = [
+        importance.permutation_importance(samples, keys, groups, repeats, scorer, within=within, seed=seed).withColumn("kind", F.lit(kind))
+        for kind, groups, repeats in (("single", single, single_repeats), ("group", grouped, grouped_repeats))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def response_report(predictions: DataFrame, found: DataFrame, model: str, feature_set: str) -> dict[str, DataFrame]:
     """Every summary table of one model's saved predictions."""
     audits.enforce(episodes.overlapping_episodes(found), "overlapping episodes")

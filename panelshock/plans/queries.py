@@ -5,9 +5,11 @@ doubles to six places unless one exact division makes them."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ from panelshock.operators import (
     report, splits, weather,
 )
 from panelshock.plans import fixtures as fx
-from panelshock.plans.pipelines import build_impact
-from panelshock.session import staged
+from panelshock.plans.pipelines import build_impact, importance_of_samples, require_refit
+from panelshock.session import shared_folder, staged
+from panelshock.sources import readers, writers
 from panelshock.spec import DEFAULT
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -567,6 +570,14 @@ def permutation_importance_grouped(spark, sf):
     return tidy(out)
 
 
+@query
+def importance_two_samples(spark, sf):
+    rows, _ = fx.event_rows(spark, sf)
+    events = rows.select("split", *EVENT_KEY, "actual_y1", "base", "avg_temp", "lag1", "lag7", "rolling7")
+    single = importance.single_features(["avg_temp", "lag1", "lag7", "rolling7"])
+    return tidy(importance_of_samples(events, list(EVENT_KEY), fixed_scorer, single, SCORER_GROUPS))
+
+
 def _importances(spark, sf):
     """Absolute weight times feature spread of each fixed scorer: an importance table."""
     rows, _ = fx.event_rows(spark, sf)
@@ -718,6 +729,15 @@ def model_grid_linear(spark, sf):
     return _grid_facts(spark, sf, {n: models.MODELS[n] for n in ("Linear Regression", "Ridge")}, models.FEATURE_SETS, centred=True)
 
 
+@query
+def refit_reproduction(spark, sf):
+    """The same run fitted twice from the same panel: every prediction within 1e-7."""
+    source = staged(_model_panel(spark, sf))
+    chosen = {"B_plus_past_sales": models.FEATURE_SETS["B_plus_past_sales"]}
+    saved, refit = (models.run_grid(source, {"Ridge": models.ridge}, chosen)[0] for _ in range(2))
+    return tidy(require_refit(saved, refit).withColumn("reproduced", F.col("max_absolute_difference") <= 1e-7).drop("max_absolute_difference"))
+
+
 @query
 def forest_metrics(spark, sf):
     return _grid_facts(spark, sf, {"Random Forest": models.forest}, ["B_plus_past_sales"], inside=True)
@@ -747,3 +767,71 @@ def impact_pipeline(spark, sf):
         .agg(F.count(F.lit(1)).alias("event_rows"), F.count_if("has_target").alias("with_target"))
         .join(per_hazard, "disaster_type")
     )
+
+
+# --- raw files ----------------------------------------------------------------------------
+
+
+def _as_files(spark, df: DataFrame, sep: str, encoding: str, files: int) -> str:
+    """A table in the form of a raw text file, in ``files`` part files of a shared folder."""
+    # Korean text needs the JVM's own charsets
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    out = df.repartition(files, *[F.col(f"`{c}`") for c in df.columns[:2]])
+    out.write.options(header=True, sep=sep, encoding=encoding, quoteAll=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+@query
+def card_files(spark, sf):
+    """Transactions written as tab-separated cp949 text, read back and folded per day."""
+    text = fx.card_text(spark, sf).withColumn("TIME_GB", F.lit("서울"))
+    path = _as_files(spark, text, "\t", readers.KOREAN, 4)
+    daily = cards.daily_aggregate(cards.parse_transactions(readers.read_card(spark, path)))
+    return tidy(daily.withColumn("ts_at_text", parsing.plain_decimal_text(F.col("TS_AT"))), ("avg_price",))
+
+
+@query
+def warning_files(spark, sf):
+    """Three heat files and two cold files as text, read back and united."""
+    heat_path = _as_files(spark, fx.heat_text(spark, sf), "\t", readers.KOREAN, readers.HEAT_FILES)
+    cold_path = _as_files(spark, fx.cold_text(spark, sf), "\t", readers.KOREAN, readers.COLD_FILES)
+    heat = readers.read_heat_warnings(spark, f"{heat_path}/part-*")
+    cold = readers.read_cold_warnings(spark, f"{cold_path}/part-*")
+    united = weather.warnings_union(weather.heat_warnings(heat, fx.STATION_REGIONS), weather.cold_warnings(cold, fx.STATION_REGIONS))
+    return tidy(united, TEMPERATURES)
+
+
+@query
+def hourly_files(spark, sf):
+    """Hourly rain as comma-separated text, read back and folded to days."""
+    raw = fx.hourly_text(spark, sf).select(
+        F.col("station").alias(weather.STATION), F.lit("관측소").alias(readers.STATION_NAME), F.col("ts").alias(weather.DAY), F.col("rain").alias(readers.RAIN)
+    )
+    path = _as_files(spark, raw, ",", readers.KOREAN, 3)
+    hours = weather.hourly_observations(readers.read_hourly(spark, f"{path}/part-*"), weather.STATION, weather.DAY, readers.RAIN, fx.STATION_REGIONS)
+    return tidy(weather.daily_rain(hours))
+
+
+@query
+def flow_files(spark, sf):
+    """Weekday flow as text between bars, read back and unpivoted."""
+    path = _as_files(spark, fx.flow_text(spark, sf), "|", "UTF-8", 3)
+    mapped = flow.mapped_flow(readers.read_flow(spark, f"{path}/part-*"), fx.FLOW_PREFIXES)
+    return tidy(flow.flow_profile(mapped, by_year=True).withColumn("flow_pop_weekday", F.round("flow_pop_weekday", 2)))
+
+
+@query
+def result_csv_round_trip(spark, sf):
+    """Saved predictions written as an ordered exchange file and read back with their types."""
+    run = fx.saved_run(spark, sf)
+    path = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
+    columns = {c: t for c, t in run.dtypes if c in ("disaster_type", "episode_id", "date", "split", "region", "industry", "actual_y1", "predicted_y1")}
+    writers.write_csv(run.select(*columns), path, order_by=["disaster_type", "date", "region", "industry"])
+    try:
+        writers.write_csv(run.select(*columns), path)
+    except AnalysisException:
+        refused = True
+    else:
+        refused = False
+    return tidy(report.episode_day_summary(readers.read_result_csv(spark, path, columns))).withColumn("second_write_refused", F.lit(refused))
