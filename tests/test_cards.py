@@ -71,3 +71,14 @@ def test_tolerant_and_strict_parsing(spark):
         except Exception:
             continue
         raise AssertionError("a bad value must fail")
+
+
+def test_numbers_that_do_not_fit_are_counted_and_never_rounded(spark):
+    rows = [("20250701", "a", "x", "1.23456", "1"), ("20250702", "a", "x", "12345678901234567", "1"), ("20250703", "a", "x", "0.00004", "1")]
+    df = spark.createDataFrame(rows, RAW)
+    got = [r.TS_AT for r in cards.parse_transactions(df).orderBy("TA_YMD").collect()]
+    assert got == [Decimal("1.23456"), Decimal("12345678901234567"), Decimal("0.00004")]
+    narrow = cards.parse_transactions(df, precision=18, scale=4).orderBy("TA_YMD").collect()
+    assert [r.TS_AT for r in narrow] == [None] * 3 and [r.TS_AT_unfit for r in narrow] == [True] * 3
+    report = cards.load_report(df, precision=18, scale=4).first()
+    assert (report.unfit_sales, report.invalid_sales, report.missing_sales) == (3, 0, 3)

@@ -62,3 +62,14 @@ def test_join_keeps_unmatched_rows(spark, by_year):
     )
     got = {r.date: r.flow_pop_weekday for r in flow.join_flow(panel, profile).collect()}
     assert got == {day("2025-07-07"): 2.0, day("2025-09-01"): None}
+
+
+def test_join_keeps_columns_of_the_panel(spark):
+    from panelshock.spec import PanelSpec
+
+    profile = flow.flow_profile(flow.mapped_flow(rows(spark), PREFIXES), by_year=True)
+    region = next(iter(PREFIXES.values()))
+    panel = spark.createDataFrame([(region, "kept", 7)], "region string, year string, other int").selectExpr("*", "date'2025-07-01' AS date")
+    out = flow.join_flow(panel, profile, PanelSpec(region="region"))
+    assert {"region", "year", "other", "month", "weekday", "flow_pop_weekday"} <= set(out.columns)
+    assert (out.first()["region"], out.first()["year"]) == (region, "kept")

@@ -206,3 +206,19 @@ def test_grid_importance_covers_every_feature(rows):
     assert got["avg_temp"].importance_mean > got["MCT_SGG_CD"].importance_mean > 0
     assert (got["lag1"].feature_group, got["MCT_SGG_CD"].feature_group) == ("past_sales", "region")
     assert (got["lag1"].n_test_rows, got["lag1"].permutation_repeats) == (sum(r[5] == "test" for r in DATA), 3)
+
+
+@pytest.mark.parametrize("features", [20, 4200])
+def test_ridge_on_both_sides_of_the_normal_equations(spark, features):
+    from pyspark.ml.linalg import Vectors
+
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(40, features))
+    y = x[:, :5].sum(axis=1) + draw.normal(size=40)
+    df = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "y"])
+    got = np.array([r.prediction for r in models.ridge(df, "y").transform(df).collect()])
+    centred = x - x.mean(axis=0)
+    kernel = centred @ centred.T
+    expected = y.mean() + kernel @ np.linalg.solve(kernel + models.RIDGE_ALPHA * np.eye(40), y - y.mean())
+    # beyond 4,096 features an iteration replaces the exact solution
+    assert got == pytest.approx(expected, abs=1e-8 if features < 4096 else 2e-3)

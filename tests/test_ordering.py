@@ -56,3 +56,10 @@ def test_number_rows_is_a_permutation_in_token_order(spark):
     for g in range(3):
         mine = sorted((r for r in rows if r.g == g), key=lambda r: r.t)
         assert [r.i for r in mine] == list(range(len(mine)))
+
+
+def test_exact_quantiles_of_nan_huge_and_close_values(spark):
+    rows = [("n", 1.0), ("n", 2.0), ("n", float("nan")), *[("h", s * 10.0**e) for e in (150, 200, 300) for s in (1, -1)]]
+    rows += [("c", 1e9 + k / 1000) for k in range(500)]
+    found = {r.k: r.m for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"m": 0.5}).collect()}
+    assert found["n"] == 1.5 and found["h"] == 0.0 and found["c"] == pytest.approx(1e9 + 0.2495, abs=1e-6)
