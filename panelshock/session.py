@@ -45,6 +45,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_written: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder once and read it back.
 
@@ -53,4 +56,13 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all staged tables of this process, once the results that read them are written."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        place.getFileSystem(conf).delete(place, True)
