@@ -154,13 +154,14 @@ def _links(texts: DataFrame, pairs: DataFrame, work: Workspace, label: str) -> D
 
 
 def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
-    """The paragraphs of ``docs(doc_id, text, ...)`` that have others like them: (doc_id, number,
-    n_words, first_byte, last_byte, class_id, keep_doc_id, keep_number, removed).
+    """The repeated paragraphs of ``docs(doc_id, text, ...)`` and the ones that stay for them:
+    (doc_id, number, n_words, first_byte, last_byte, class_id, keep_doc_id, keep_number, removed).
 
     number counts the paragraphs of a text from 0, the bytes are UTF-8 places in it. class_id
     names a cluster of paragraphs linked by 100 * |A and B| >= 80 * |A or B|; its first one by
     (doc_id, number) stays. removed marks later ones inside a run of at least SPAN_WORDS words
-    of consecutive later ones of the same document. Paragraphs below LEAST_WORDS words, NULL,
+    of consecutive later ones of the same document; later ones in shorter runs stay and have
+    no row, nor have clusters of nothing else. Paragraphs below LEAST_WORDS words, NULL,
     empty and short texts repeat nothing. Rows without doc_id are left out; rows with equal
     doc_id are one document, in which a repeated row repeats every paragraph. Extra columns
     are ignored."""
@@ -221,10 +222,16 @@ def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
     later = members.join(first, "class_id").withColumn("later", (F.col("doc_id") != F.col("keep_doc_id")) | (F.col("number") != F.col("keep_number")))
     island = F.col("number") - F.row_number().over(W.partitionBy("doc_id", "later").orderBy("number"))
     run_words = F.sum("n_words").over(W.partitionBy("doc_id", "later", "island"))
-    return (
+    marked = work.table(
         later.withColumn("island", island)
         .withColumn("removed", F.col("later") & (run_words >= SPAN_WORDS))
-        .select("doc_id", "number", "n_words", "first_byte", "last_byte", "class_id", "keep_doc_id", "keep_number", "removed")
+        .select("doc_id", "number", "n_words", "first_byte", "last_byte", "class_id", "keep_doc_id", "keep_number", "later", "removed"),
+        "marked",
+    )
+    # short runs that stay on both sides are no repeats
+    touched = marked.where("removed").select("class_id").distinct()
+    return marked.where("removed OR NOT later").join(touched, "class_id", "left_semi").select(
+        "doc_id", "number", "n_words", "first_byte", "last_byte", "class_id", "keep_doc_id", "keep_number", "removed"
     )
 
 

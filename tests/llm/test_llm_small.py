@@ -154,24 +154,29 @@ def test_contamination(spark, docs, odd_texts, nothing, short):
 
 def test_codec_and_token_counts(spark, docs, odd_texts, nothing):
     vocab = vocabulary.read_vocabulary()
-    entries, scores = dict(vocab.entries), sentencepiece_codec.piece_scores(vocab)
+    entries, scores, surface = dict(vocab.entries), sentencepiece_codec.piece_scores(vocab), vocab.surface
     coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).orderBy("doc_id").collect()
     tokens = wordpiece_counts.token_counts(docs).orderBy("doc_id").collect()
     for text, c, t in zip(odd_texts, coded, tokens):
         assert c["decoded"] == (text or "") and c["score"] == 0.5
-        assert b"".join(vocab.surface[i] for i in c["piece_ids"]) == (b" " + text.encode() if text else b"")
+        assert b"".join(surface[i] for i in c["piece_ids"]) == (b" " + text.encode() if text else b"")
         parts = brute.unit_bytes(text)
         assert t["n_units"] == len(parts)
         if len(text or "") < 2000:
             assert t["n_tokens"] == sum(brute.greedy(u, entries) for u in parts)
             assert sum(scores[i] for i in c["piece_ids"]) == pytest.approx(sum(brute.best_score(u, entries, scores) for u in parts))
+    checked = sentencepiece_codec.encode_checked(docs).orderBy("doc_id").collect()
+    assert all(c["round_trip"] for c in checked) and [c["piece_ids"] for c in checked] == [c["piece_ids"] for c in coded]
+    data, ends = sentencepiece_codec.decoded_bytes(vocab, np.array(coded[3]["piece_ids"]), np.array([len(coded[3]["piece_ids"])]))
+    wrong = sentencepiece_codec._same_rows(pa.array(["One", ""]), data, np.array([*ends, ends[-1]]))
+    assert wrong.to_pylist() == [False, True]
     assert sentencepiece_codec.encode(nothing).count() == 0 and wordpiece_counts.token_counts(nothing).count() == 0
 
 
 def test_language_model_sums_all_segmentations(spark, nothing):
     vocab = vocabulary.read_vocabulary()
     automaton, entries = vocabulary.AhoCorasick(vocab), dict(vocab.entries)
-    share = np.random.default_rng(2).random((len(vocab.surface), 3)) * 1e-3
+    share = np.random.default_rng(2).random((len(vocab), 3)) * 1e-3
     parts = [b" the", b" interesting", b" " + "éß日".encode(), b" x" * 3, b"  ", b" " + b"ab" * 60]
     text = np.frombuffer(b"".join(parts), np.uint8)
     lengths = np.array([len(p) for p in parts])
@@ -238,11 +243,14 @@ def test_paragraphs(spark, docs, odd_texts, nothing):
     rows = found.collect()
     passage = len(odd_texts) - 1
     assert {(r["doc_id"], r["keep_doc_id"]) for r in rows if r["removed"] and r["doc_id"] >= passage - 2} == {(passage - 1, passage - 2), (passage, passage - 2)}
-    for r in rows:  # a member is like some other member of its class
-        own = odd_texts[r["doc_id"]].encode()[r["first_byte"] : r["last_byte"]].decode()
-        others = [odd_texts[q["doc_id"]].encode()[q["first_byte"] : q["last_byte"]].decode() for q in rows if q["class_id"] == r["class_id"] and q is not r]
-        a = brute.shingles(own)
-        assert any(100 * len(a & brute.shingles(o)) >= 80 * len(a | brute.shingles(o)) for o in others)
+    sets = {}
+    for text in filter(None, odd_texts):  # every paragraph of every text, cut by the same rule
+        for begin, _, owner, number, words, low, high, shingles, of in paragraph_dedup._cut(pa.array([text])):
+            sets.update({(text, n): brute.shingles(text.encode()[a:b].decode()) for n, a, b in zip(number.tolist(), low, high)})
+    for r in rows:  # a member is like some paragraph of another place
+        a = brute.shingles(odd_texts[r["doc_id"]].encode()[r["first_byte"] : r["last_byte"]].decode())
+        others = [s for (t, n), s in sets.items() if (t, n) != (odd_texts[r["doc_id"]], r["number"])]
+        assert any(100 * len(a & o) >= 80 * len(a | o) for o in others)
         assert r["removed"] <= ((r["keep_doc_id"], r["keep_number"]) < (r["doc_id"], r["number"]))
     cleaned = {r["doc_id"]: r["text"] for r in paragraph_dedup.without_repeats(docs, found).collect()}
     clean = [i for i in range(len(odd_texts)) if i not in {r["doc_id"] for r in rows if r["removed"]}]
