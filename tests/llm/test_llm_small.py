@@ -243,14 +243,11 @@ def test_paragraphs(spark, docs, odd_texts, nothing):
     rows = found.collect()
     passage = len(odd_texts) - 1
     assert {(r["doc_id"], r["keep_doc_id"]) for r in rows if r["removed"] and r["doc_id"] >= passage - 2} == {(passage - 1, passage - 2), (passage, passage - 2)}
-    sets = {}
-    for text in filter(None, odd_texts):  # every paragraph of every text, cut by the same rule
-        for begin, _, owner, number, words, low, high, shingles, of in paragraph_dedup._cut(pa.array([text])):
-            sets.update({(text, n): brute.shingles(text.encode()[a:b].decode()) for n, a, b in zip(number.tolist(), low, high)})
-    for r in rows:  # a member is like some paragraph of another place
-        a = brute.shingles(odd_texts[r["doc_id"]].encode()[r["first_byte"] : r["last_byte"]].decode())
-        others = [s for (t, n), s in sets.items() if (t, n) != (odd_texts[r["doc_id"]], r["number"])]
-        assert any(100 * len(a & o) >= 80 * len(a | o) for o in others)
+    for r in rows:  # a member is like some other member of its class
+        own = odd_texts[r["doc_id"]].encode()[r["first_byte"] : r["last_byte"]].decode()
+        others = [odd_texts[q["doc_id"]].encode()[q["first_byte"] : q["last_byte"]].decode() for q in rows if q["class_id"] == r["class_id"] and q is not r]
+        mine = brute.shingles(own)
+        assert any(100 * len(mine & brute.shingles(o)) >= 80 * len(mine | brute.shingles(o)) for o in others), (r, others[:3])
         assert r["removed"] <= ((r["keep_doc_id"], r["keep_number"]) < (r["doc_id"], r["number"]))
     cleaned = {r["doc_id"]: r["text"] for r in paragraph_dedup.without_repeats(docs, found).collect()}
     clean = [i for i in range(len(odd_texts)) if i not in {r["doc_id"] for r in rows if r["removed"]}]
