@@ -163,6 +163,16 @@ def _wanted_sets(size: int, wanted):
     return run
 
 
+def _held(wanted):
+    """The rows whose id the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.holds(np.asarray(batch.column(0)))))
+
+    return run
+
+
 def _index(wanted):
     """(token, doc_id, spot) of the prefix shingles that the filter holds. A spot has the
     set's size above 32 bits and the place of the shingle in its prefix below."""
@@ -189,13 +199,17 @@ def _links(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, size: int, pe
     """The pairs (a, b) of representatives that are similar. Pairs must first share as many
     prefix shingles as the smaller m of both; the sets of those that do are rebuilt from their
     texts alone."""
-    ends = work.table(prefixes.join(_ends(pairs), "doc_id", "left_semi"), f"{label}-prefixes")
-    shared = F.size(F.array_intersect("a_prefix", "b_prefix"))
+    context = docs.sparkSession.sparkContext
+    ends = work.table(_ends(pairs), f"{label}-met")
+    wanted = context.broadcast(key_filter(ends, ends.count()))
+    held = prefixes.select("doc_id", "m", "prefix").mapInArrow(_held(wanted), "doc_id long, m int, prefix array<long>")
+    held = work.table(held, f"{label}-prefixes")
     for side in ("a", "b"):
-        pairs = pairs.join(ends.select(*[F.col(c).alias(t) for c, t in (("doc_id", side), ("m", f"{side}_m"), ("prefix", f"{side}_prefix"))]), side)
+        pairs = pairs.join(held.select(*[F.col(c).alias(t) for c, t in (("doc_id", side), ("m", f"{side}_m"), ("prefix", f"{side}_prefix"))]), side)
+    shared = F.size(F.array_intersect("a_prefix", "b_prefix"))
     pairs = work.table(pairs.where(shared >= F.least("a_m", "b_m")).select("a", "b"), f"{label}-checked")
     ends = work.table(_ends(pairs), f"{label}-ends")
-    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(ends, ends.count()))
+    wanted = context.broadcast(key_filter(ends, ends.count()))
     sets = docs.where("doc_id IS NOT NULL").mapInArrow(_wanted_sets(size, wanted), "doc_id long, members binary")
     sets = work.table(sets.join(ends, "doc_id", "left_semi"), f"{label}-sets")
     both = (
@@ -204,7 +218,7 @@ def _links(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, size: int, pe
         .select("a", "b", "left_set", "right_set")
     )
     out = work.table(both.mapInArrow(similar_sets(percent), "a long, b long").distinct(), f"{label}-links")
-    work.drop(f"{label}-sets", f"{label}-ends", f"{label}-prefixes", f"{label}-checked")
+    work.drop(f"{label}-sets", f"{label}-ends", f"{label}-met", f"{label}-prefixes", f"{label}-checked")
     return out
 
 

@@ -64,6 +64,6 @@ def key_filter(keys: DataFrame, count: int) -> KeyFilter:
     out = np.zeros(1 << (width - 3), dtype=np.uint8)
     size = 1 << (BLOCK_BITS - 3)
     placed = keys.mapInArrow(_to_cells(width), "block int, cell long").repartition(F.col("block"))
-    for row in placed.mapInArrow(_pack, "block int, bits binary").toLocalIterator():
+    for row in placed.mapInArrow(_pack, "block int, bits binary").collect():
         out[row.block * size : (row.block + 1) * size] |= np.frombuffer(row.bits, np.uint8)
     return KeyFilter(out, width)
