@@ -61,8 +61,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Every row with its piece ids and whether they decode to its text; a NULL text decodes
     to the empty one."""
     _begin(spark, "pipeline-encode")
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, out="piece_ids"), "piece_ids", out="__decoded")
-    return both.withColumn("round_trip", F.col("__decoded") == F.coalesce("text", F.lit(""))).drop("__decoded")
+    return sentencepiece_codec.encode_checked(docs, out="piece_ids", check="round_trip")
 
 
 STAGES = [

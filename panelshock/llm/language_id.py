@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelshock.llm.sentencepiece_codec import extended, numbered, piece_scores
-from panelshock.llm.vocabulary import DEFAULT_MODEL, AhoCorasick, Vocabulary, lanes, read_vocabulary, units
+from panelshock.llm.vocabulary import DEFAULT_MODEL, AhoCorasick, Vocabulary, lanes, read_vocabulary, units, worker_automaton
 from panelshock.llm.workspace import Workspace, id_remainder
 
 UNDETERMINED = "und"
@@ -24,14 +24,11 @@ SAMPLE_PER_LANGUAGE = 4000
 ROUNDS = 3
 BACKGROUND = 2000.0
 LONGEST_TAUGHT = 40
-CELLS = 800_000
-_worker: dict[str, AhoCorasick] = {}
+CELLS = 400_000
 
 
 def _automaton(vocabulary: Vocabulary) -> AhoCorasick:
-    if "language" not in _worker:
-        _worker["language"] = AhoCorasick(vocabulary)
-    return _worker["language"]
+    return worker_automaton(AhoCorasick, vocabulary)
 
 
 def log_probabilities(automaton: AhoCorasick, model: np.ndarray, text: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -155,7 +152,7 @@ def train(docs: DataFrame, work: Workspace, per_language: int = SAMPLE_PER_LANGU
     known = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = tuple(sorted(known))
     prior = np.exp(piece_scores(vocabulary))
-    prior[: vocabulary.first_piece] = np.where([len(s) > 0 for s in vocabulary.surface[: vocabulary.first_piece]], 1e-7, 0.0)
+    prior[: vocabulary.first_piece] = np.where(vocabulary.lengths[: vocabulary.first_piece] > 0, 1e-7, 0.0)
     prior /= prior.sum()
     if not languages:
         return LanguageModel((), prior[:, None][:, :0], np.zeros(0))

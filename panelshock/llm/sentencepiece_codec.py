@@ -15,27 +15,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelshock.llm.textbytes import SLICE_BYTES
-from panelshock.llm.vocabulary import DEFAULT_MODEL, AhoCorasick, Vocabulary, lanes, read_vocabulary, units
+from panelshock.llm.textbytes import SLICE_BYTES, row_bytes
+from panelshock.llm.vocabulary import DEFAULT_MODEL, AhoCorasick, Vocabulary, lanes, read_vocabulary, units, worker_automaton
 
-CELLS = 1_000_000
+CELLS = 400_000
 BYTE_SCORE = -30.0
-_worker: dict[str, tuple] = {}
 
 
 def piece_scores(vocabulary: Vocabulary) -> np.ndarray:
     """Score of each id."""
-    rank = np.arange(len(vocabulary.surface)) - vocabulary.first_piece
+    rank = np.arange(len(vocabulary)) - vocabulary.first_piece
     weight = np.where(rank >= 0, 1.0 / (np.maximum(rank, 0) + 1.0), 0.0)
     with np.errstate(divide="ignore"):
         return np.where(rank >= 0, np.log(weight / weight.sum()), BYTE_SCORE)
 
 
 def _automaton(vocabulary: Vocabulary) -> tuple[AhoCorasick, np.ndarray]:
-    if "codec" not in _worker:
-        automaton = AhoCorasick(vocabulary)
-        _worker["codec"] = (automaton, piece_scores(vocabulary)[automaton.piece])
-    return _worker["codec"]
+    automaton = worker_automaton(AhoCorasick, vocabulary)
+    return automaton, piece_scores(vocabulary)[automaton.piece]
 
 
 def best_pieces(automaton: AhoCorasick, scores: np.ndarray, text: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +79,7 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
-def _encode(vocabulary, source: str):
+def _encode(vocabulary, source: str, check: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, scores = _automaton(vocabulary.value)
         for batch in batches:
@@ -96,7 +93,12 @@ def _encode(vocabulary, source: str):
                     pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), pa.array(flat, pa.int32())
                 )
                 own = batch.slice(begin, end - begin)
-                yield pa.record_batch([*own.columns, listed], [*own.schema.names, "__ids"])
+                columns, names = [*own.columns, listed], [*own.schema.names, "__ids"]
+                if check:
+                    back, ends = decoded_bytes(vocabulary.value, flat, per_row)
+                    columns.append(_same_rows(own.column(source), back, ends))
+                    names.append("__same")
+                yield pa.record_batch(columns, names)
 
     return run
 
@@ -112,6 +114,39 @@ def encode(docs: DataFrame, column: str = "text", out: str = "piece_ids", model:
     return ids.select(*[F.col(c).alias(name) for name, c in names.items() if name != out], F.col("__ids").alias(out))
 
 
+def encode_checked(
+    docs: DataFrame, column: str = "text", out: str = "piece_ids", check: str = "round_trip", model: str = DEFAULT_MODEL
+) -> DataFrame:
+    """``encode`` with a further column: whether the ids decode to the text again, where a NULL
+    text decodes to the empty one. Both ways run in one worker, slice by slice."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
+    plain, names = numbered(docs)
+    ids = plain.mapInArrow(_encode(vocabulary, names[column], True), extended(plain, __ids="array<int>", __same="boolean"))
+    kept = [F.col(c).alias(name) for name, c in names.items() if name not in (out, check)]
+    return ids.select(*kept, F.col("__ids").alias(out), F.col("__same").alias(check))
+
+
+def _same_rows(source: pa.Array, back: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Whether each text's bytes are those decoded."""
+    data, offsets = row_bytes(source)
+    if len(data) == len(back) and np.array_equal(offsets, ends) and np.array_equal(data, back):
+        return pa.array(np.ones(len(offsets) - 1, dtype=bool))
+    return pa.array([np.array_equal(data[a:b], back[c:d]) for a, b, c, d in zip(offsets, offsets[1:], ends, ends[1:])], pa.bool_())
+
+
+def decoded_bytes(vocabulary: Vocabulary, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts of consecutive runs of ids, ``sizes`` ids each; the space
+    in front of each text does not belong to it."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    lengths = vocabulary.lengths
+    shift = np.zeros(len(ids), dtype=np.int64)
+    heads = upto[:-1][sizes > 0]
+    shift[heads] = (lengths[ids[heads]] > 0).astype(np.int64)
+    taken = lengths[ids] - shift
+    data = np.frombuffer(vocabulary.joined, dtype=np.uint8)[spread((np.cumsum(lengths) - lengths)[ids] + shift, taken)]
+    return data, np.concatenate([[0], np.cumsum(taken)])[upto]
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The columns under private names, so that no name of the caller's can clash."""
     names = {name: f"c{i}" for i, name in enumerate(df.columns)}
@@ -125,10 +160,6 @@ def extended(df: DataFrame, **columns: str) -> str:
 
 def _decode(vocabulary, source: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = vocabulary.value.surface
-        lengths = np.array([len(s) for s in surface], dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        joined = np.frombuffer(b"".join(surface), dtype=np.uint8)
         for batch in batches:
             listed = batch.column(source)
             sizes = np.asarray(listed.value_lengths().fill_null(0)).astype(np.int64)
@@ -137,14 +168,7 @@ def _decode(vocabulary, source: str):
             done = 0
             while done < len(sizes):
                 last = max(done + 1, int(np.searchsorted(upto, upto[done] + SLICE_BYTES // 4, side="right")) - 1)
-                ids = flat[upto[done] : upto[last]]
-                taken = lengths[ids]
-                # the space before each text does not belong to it
-                heads = (upto[done:last] - upto[done])[sizes[done:last] > 0]
-                shift = np.zeros(len(ids), dtype=np.int64)
-                shift[heads] = (taken[heads] > 0).astype(np.int64)
-                data = joined[spread(starts[ids] + shift, taken - shift)]
-                ends = np.concatenate([[0], np.cumsum(taken - shift)])[upto[done : last + 1] - upto[done]]
+                data, ends = decoded_bytes(vocabulary.value, flat[upto[done] : upto[last]], sizes[done:last])
                 text = pa.Array.from_buffers(
                     pa.binary(), last - done, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
                 )

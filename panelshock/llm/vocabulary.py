@@ -22,13 +22,28 @@ SPACE = 0x20
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """``surface[i]`` has the bytes that id i stands for, ``entries`` the distinct byte strings
-    of the automaton with their ids; ``first_piece`` is the id of the first learned piece."""
+    """The bytes that each id stands for, joined, with their lengths; the ids whose bytes are
+    the automaton's distinct strings; the id of the first learned piece. Kept as a few arrays,
+    since every Python worker holds a copy."""
 
-    surface: tuple[bytes, ...]
-    entries: tuple[tuple[bytes, int], ...]
+    joined: bytes
+    lengths: np.ndarray
+    entry_ids: np.ndarray
     first_piece: int
 
+    @property
+    def surface(self) -> list[bytes]:
+        ends = np.cumsum(self.lengths)
+        return [self.joined[e - n : e] for e, n in zip(ends.tolist(), self.lengths.tolist())]
+
+    @property
+    def entries(self) -> list[tuple[bytes, int]]:
+        surface = self.surface
+        return [(surface[i], i) for i in self.entry_ids.tolist()]
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
 
 def read_vocabulary(path: str = DEFAULT_MODEL) -> Vocabulary:
     """Read a SentencePiece model file with byte pieces, on the driver."""
@@ -50,8 +65,21 @@ def read_vocabulary(path: str = DEFAULT_MODEL) -> Vocabulary:
         raise ValueError("a piece crosses a word end")
     if len(single) != 256:
         raise ValueError("the vocabulary has no piece for every byte")
-    entries = {**single, **plain}
-    return Vocabulary(tuple(surface), tuple(sorted(entries.items())), min(plain.values()))
+    entries = sorted({**single, **plain}.items())
+    lengths = np.array([len(s) for s in surface], dtype=np.int64)
+    return Vocabulary(b"".join(surface), lengths, np.array([i for _, i in entries], dtype=np.int64), min(plain.values()))
+
+
+_worker: dict[tuple, Trie] = {}
+
+
+def worker_automaton(kind: type, vocabulary: Vocabulary):
+    """The automaton of a vocabulary, built once in each Python worker and shared by all
+    operators there."""
+    key = (kind, hash(vocabulary.joined), vocabulary.lengths.tobytes())
+    if key not in _worker:
+        _worker[key] = kind(vocabulary)
+    return _worker[key]
 
 
 class Trie:

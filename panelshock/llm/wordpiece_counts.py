@@ -14,16 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelshock.llm.vocabulary import DEFAULT_MODEL, LongestMatch, Vocabulary, lanes, read_vocabulary, units
+from panelshock.llm.vocabulary import DEFAULT_MODEL, LongestMatch, lanes, read_vocabulary, units, worker_automaton
 
 CELLS = 200_000
-_worker: dict[str, LongestMatch] = {}
-
-
-def _matcher(vocabulary: Vocabulary) -> LongestMatch:
-    if "matcher" not in _worker:
-        _worker["matcher"] = LongestMatch(vocabulary)
-    return _worker["matcher"]
 
 
 def unit_tokens(matcher: LongestMatch, text: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -41,7 +34,7 @@ def unit_tokens(matcher: LongestMatch, text: np.ndarray, begins: np.ndarray, len
 
 def _count(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(vocabulary.value)
+        matcher = worker_automaton(LongestMatch, vocabulary.value)
         for batch in batches:
             for begin, end, text, begins, lengths, unit, rows in units(batch.column(1)):
                 tokens = unit_tokens(matcher, text, begins, lengths)
