@@ -1,15 +1,18 @@
 """Removal of passages that repeat across documents, by MinHash banding of paragraphs.
 
-A paragraph here is cut by content, not by line ends: a text is cut before each word whose
-bigram hash is the least within ``RADIUS`` words on both sides, so a passage that is copied
-into another text, line or language is cut alike there. Paragraphs with equal sets of 5-word
-shingles are one; others meet where one of BANDS minima agrees, are verified by exact
-Jaccard, and clustered. Of each cluster the first occurrence stays; later ones go where they
-make up a run of at least ``SPAN_WORDS`` words.
+A paragraph is a line, and long lines are cut by content: before each word whose bigram hash is
+the least within ``RADIUS`` words on both sides. Paragraphs with equal sets of 5-word shingles
+are one; others meet where one of BANDS minima agrees, are verified by exact Jaccard, and
+clustered. Of each cluster the first occurrence stays; later ones go.
 
-One minimum a band finds a pair of similarity 0.8 with probability 1 - 0.2^3 = 0.992. Band keys
-that occur once never leave the scan, groups are linked through hubs first, and only pairs
-across components are compared further."""
+Passages that were copied into other lines share no paragraph. Of each ANCHOR_WINDOW hashes of
+ANCHOR_WORDS words the least is an anchor, so any 13 words in common hold one. An anchor that
+repeats is matched to its first occurrence and extended both ways, over changed words too, to
+the span in common, which is verified by exact Jaccard like a paragraph.
+
+One minimum a band finds a pair of similarity 0.8 with probability 1 - 0.2^5 = 0.9997. Band keys
+and anchors that occur once never leave the scan, groups are linked through hubs first, and
+only pairs across components are compared further."""
 
 from __future__ import annotations
 
@@ -24,19 +27,27 @@ from pyspark.sql import functions as F
 from panelshock.llm.components import connected
 from panelshock.llm.jaccard_join import similar_sets
 from panelshock.llm.keyfilter import key_filter
-from panelshock.llm.textbytes import LOWER_VALUES, mix, shingle_hashes, slices, stream, word_hashes, word_spans
+from panelshock.llm.textbytes import LOWER_VALUES, PLACES, mix, row_bytes, shingle_hashes, slices, stream, word_hashes, word_spans
 from panelshock.llm.workspace import Workspace
 
 SHINGLE_WORDS, PERCENT = 5, 80
-RADIUS, LEAST_WORDS, SPAN_WORDS = 6, 7, 14
-BANDS = 3
+RADIUS, LEAST_WORDS, SPAN_WORDS = 30, 7, 14
+BANDS = 5
+ANCHOR_WORDS, ANCHOR_WINDOW = 8, 6
+#: words around a chain of anchors, also the most between two of one chain; words that end a change
+MARGIN, AGREE = 40, 3
+PIECES = 256
 SEEDS = stream(11, BANDS)
 
 UNITS = "doc_id long, number int, n_words int, first_byte long, last_byte long, s1 long, keys array<long>"
+SPANS = (
+    "doc_id long, number int, n_words int, first_byte long, last_byte long, "
+    "keep_doc_id long, keep_number int, keep_words int, keep_first_byte long, keep_last_byte long"
+)
 
 
 def paragraph_starts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Whether a paragraph begins at each word."""
+    """Whether a paragraph begins at each word; ``rows`` are lines."""
     n = len(words)
     pair = words.copy()
     pair[:-1] += words[1:] * np.uint64(3)
@@ -53,16 +64,17 @@ def paragraph_starts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _cut(column) -> Iterator[tuple]:
-    """For each slice: first row, paragraph row, number, words, byte range, and shingle hashes
+    """For each slice: first row, paragraph row, first word, words, byte range, and shingle hashes
     with the paragraph they belong to. Paragraphs below LEAST_WORDS have no shingles."""
     for begin, end, data, offsets in slices(column):
         begins, ends, rows = word_spans(data, offsets)
         hashes = word_hashes(data, begins, ends, LOWER_VALUES)
-        starts = np.flatnonzero(paragraph_starts(hashes, rows))
+        breaks = np.cumsum(data == 0x0A)[begins] if len(begins) else begins
+        starts = np.flatnonzero(paragraph_starts(hashes, rows + breaks))
         stops = np.append(starts[1:], len(rows))[: len(starts)]
         paragraph = np.repeat(np.arange(len(starts)), stops - starts)
         owner = rows[starts]
-        number = np.arange(len(starts)) - np.searchsorted(owner, owner) if len(starts) else np.zeros(0, np.int64)
+        number = starts - np.searchsorted(rows, owner)
         long_enough = (stops - starts) >= LEAST_WORDS
         kept = long_enough[paragraph]
         shingles, of = shingle_hashes(hashes[kept], paragraph[kept], len(starts), SHINGLE_WORDS)
@@ -153,18 +165,248 @@ def _links(texts: DataFrame, pairs: DataFrame, work: Workspace, label: str) -> D
     return out
 
 
+def _anchor_places(column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice the first row, and row, word place and key of each anchor."""
+    span = ANCHOR_WORDS + ANCHOR_WINDOW - 1
+    for begin, _, data, offsets in slices(column):
+        begins, ends, rows = word_spans(data, offsets)
+        words = word_hashes(data, begins, ends, LOWER_VALUES)
+        total = len(words) - span + 1
+        if total <= 0:
+            continue
+        grams = np.zeros(len(words) - ANCHOR_WORDS + 1, dtype=np.uint64)
+        for j in range(ANCHOR_WORDS):
+            grams += words[j : j + len(grams)] * PLACES[j]
+        grams = mix(grams + PLACES[ANCHOR_WORDS])
+        least, place = grams[:total].copy(), np.arange(total)
+        for j in range(1, ANCHOR_WINDOW):
+            lower = grams[j : j + total] < least
+            least[lower] = grams[j : j + total][lower]
+            place[lower] = np.flatnonzero(lower) + j
+        place = np.unique(place[rows[:total] == rows[span - 1 :]])
+        yield begin, rows[place], place - np.searchsorted(rows, rows[place]), grams[place].view(np.int64)
+
+
+def _anchor_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, _, keys in _anchor_places(batch.column(0)):
+            found, uses = np.unique(keys, return_counts=True)
+            yield pa.record_batch([pa.array(found), pa.array(uses)], ["key", "uses"])
+
+
+def _anchor_hits(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, rows, place, keys in _anchor_places(batch.column(1)):
+                keep = wanted.value.holds(keys)
+                ids = batch.column(0).take(pa.array(begin + rows[keep]))
+                yield pa.record_batch([ids, pa.array(place[keep], pa.int32()), pa.array(keys[keep])], ["doc_id", "place", "key"])
+
+    return run
+
+
+def _holding(wanted):
+    """Texts whose doc_id the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.holds(np.asarray(batch.column(0)))))
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text MARGIN words around each wanted range of words, with the word and the byte it
+    begins at."""
+    for batch in batches:
+        ids, wanted, texts = batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), batch.column("text")
+        for i, spans in enumerate(wanted):
+            data, offsets = row_bytes(texts.slice(i, 1))
+            begins, ends, _ = word_spans(data, offsets)
+            out = []
+            for span in spans:
+                low, high = max(0, span["low"] - MARGIN), min(len(begins), span["high"] + MARGIN)
+                if low < high:
+                    out.append((span["low"], span["high"], low, int(begins[low]), data[begins[low] : ends[high - 1]].tobytes()))
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
+                yield pa.record_batch([pa.array([ids[i]] * len(out), pa.int64()), *columns], ["doc_id", "low", "high", "word", "byte", "piece"])
+
+
+def _resume(a: list, b: list) -> tuple[int, int, int]:
+    """Words of a and b to skip until they agree again, and for how long they agree; the words
+    in agreement are at least AGREE and as many as are skipped."""
+    known: dict[tuple, int] = {}
+    for t, words in enumerate(zip(*(b[k : MARGIN + k + 1] for k in range(AGREE)))):
+        known.setdefault(words, t)
+    best = None
+    for s, words in enumerate(zip(*(a[k : MARGIN + k + 1] for k in range(AGREE)))):
+        if best and s >= best[0] + best[1]:
+            break
+        t = known.get(words)
+        if t is not None and (best is None or s + t < best[0] + best[1]):
+            run = AGREE
+            while s + run < len(a) and t + run < len(b) and a[s + run] == b[t + run]:
+                run += 1
+            if run >= max(s, t):
+                best = (s, t, run)
+    return best or (0, 0, 0)
+
+
+def _walk(a: list, b: list) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, words) of the stretches that agree, from the start of both on."""
+    i = j = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    found, j = [(0, 0, i)], i
+    while True:
+        s, t, run = _resume(a[i : i + 3 * MARGIN], b[j : j + 3 * MARGIN])
+        if not run:
+            return found
+        i, j = i + s, j + t
+        begin = (i, j)
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        found.append((*begin, i - begin[0]))
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    x, y = (np.unique(shingle_hashes(w, np.zeros(len(w), np.int64), 1, SHINGLE_WORDS)[0]) for w in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def shared_spans(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """Ranges of a and b, of at least SPAN_WORDS words, that agree by Jaccard around anchors
+    (place in a, place in b). A stretch that does not agree as a whole is divided at its widest
+    change."""
+    x, y, out, upto = a.tolist(), b.tolist(), [], 0
+
+    def divide(runs):
+        i0, j0, (i1, j1) = runs[0][0], runs[0][1], (runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2])
+        if min(i1 - i0, j1 - j0) < SPAN_WORDS:
+            return
+        if len(runs) == 1 or _similar(a[i0:i1], b[j0:j1]):
+            out.append((i0, i1, j0, j1))
+            return
+        middle = (i0 + i1) / 2
+        gap = [max(n[0] - p[0] - p[2], n[1] - p[1] - p[2]) for p, n in zip(runs, runs[1:])]
+        at = max(range(len(gap)), key=lambda k: (gap[k], -abs(runs[k + 1][0] - middle))) + 1
+        divide(runs[:at])
+        divide(runs[at:])
+
+    for i, j in anchors:
+        if i < upto or x[i : i + ANCHOR_WORDS] != y[j : j + ANCHOR_WORDS]:
+            continue
+        left = [(i - p - n, j - q - n, n) for p, q, n in _walk(x[:i][::-1], y[:j][::-1]) if n][::-1]
+        right = [(i + p, j + q, n) for p, q, n in _walk(x[i:], y[j:])]
+        if left and left[-1][0] + left[-1][2] == i and left[-1][1] + left[-1][2] == j:
+            p, q, n = left.pop()
+            right[0] = (p, q, n + right[0][2])
+        upto = right[-1][0] + right[-1][2]
+        divide(left + right)
+    return out
+
+
+def _piece_words(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, ...]:
+    """Hashes and byte places of the words of all pieces of a side, and where each piece begins."""
+    data, offsets = row_bytes(batch.column(f"{side}_piece"))
+    begins, ends, rows = word_spans(data, offsets)
+    move = (np.asarray(batch.column(f"{side}_byte")) - offsets[:-1])[rows]
+    return word_hashes(data, begins, ends, LOWER_VALUES), begins + move, ends + move, np.searchsorted(rows, np.arange(batch.num_rows + 1))
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of two pieces that agree: places of words and bytes in both documents."""
+    names = ["doc_id", "keep_doc_id", "own_word", "keep_word", "anchors"]
+    for whole in batches:
+        out = []
+        for batch in (whole.slice(start, PIECES) for start in range(0, whole.num_rows, PIECES)):
+            own_words, own_begins, own_ends, own_cuts = _piece_words(batch, "own")
+            keep_words, keep_begins, keep_ends, keep_cuts = _piece_words(batch, "keep")
+            for k, r in enumerate(batch.select(names).to_pylist()):
+                x, y = int(own_cuts[k]), int(keep_cuts[k])
+                anchors = sorted((m["place"] - r["own_word"], m["keep_place"] - r["keep_word"]) for m in r["anchors"])
+                for i0, i1, j0, j1 in shared_spans(own_words[x : own_cuts[k + 1]], keep_words[y : keep_cuts[k + 1]], anchors):
+                    own, keep = i0 + r["own_word"], j0 + r["keep_word"]
+                    if (r["keep_doc_id"], keep) < (r["doc_id"], own):
+                        place = (own, i1 - i0, own_begins[x + i0], own_ends[x + i1 - 1])
+                        out.append((r["doc_id"], *place, r["keep_doc_id"], keep, j1 - j0, keep_begins[y + j0], keep_ends[y + j1 - 1]))
+        if out:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds * 2)], [f.split()[0] for f in SPANS.split(", ")])
+
+
+def shared_with_earlier(texts: DataFrame, work: Workspace) -> DataFrame:
+    """Spans of ``texts(doc_id, text)`` that agree with an earlier span, and that one."""
+    context = texts.sparkSession.sparkContext
+    uses = texts.select("text").mapInArrow(_anchor_uses, "key long, uses long")
+    repeated = work.table(uses.groupBy("key").agg(F.sum("uses").alias("k")).where("k > 1").select("key"), "anchors")
+    wanted = context.broadcast(key_filter(repeated, repeated.count()))
+    hits = texts.mapInArrow(_anchor_hits(wanted), "doc_id long, place int, key long")
+    hits = work.table(hits.join(repeated, "key", "left_semi").distinct(), "hits")
+    first = hits.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+    # what returns at once, like one word over and over, is matched to its last occurrence only
+    before = F.lag("place").over(W.partitionBy("key", "doc_id").orderBy("place"))
+    hits = hits.withColumn("before", before)
+    again = hits.where("before IS NOT NULL").select("doc_id", "place", F.col("doc_id").alias("keep_doc_id"), F.col("before").alias("keep_place"))
+    met = (
+        hits.where(F.col("before").isNull() | (F.col("place") - F.col("before") > ANCHOR_WORDS))
+        .join(first, "key")
+        .select("doc_id", "place", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.place").alias("keep_place"))
+        .where("doc_id != keep_doc_id OR place != keep_place")
+        .unionByName(again)
+        .distinct()
+    )
+    order = W.partitionBy("doc_id", "keep_doc_id").orderBy("place")
+    step, keep_step = F.col("place") - F.lag("place").over(order), F.col("keep_place") - F.lag("keep_place").over(order)
+    starts = F.when((step <= MARGIN) & (keep_step > 0) & (keep_step <= MARGIN), 0).otherwise(1)
+    chains = (
+        met.withColumn("starts", starts)
+        .withColumn("chain", F.sum("starts").over(order))
+        .groupBy("doc_id", "keep_doc_id", "chain")
+        .agg(
+            F.min("place").alias("own_low"), (F.max("place") + ANCHOR_WORDS).alias("own_high"), F.min("keep_place").alias("keep_low"),
+            (F.max("keep_place") + ANCHOR_WORDS).alias("keep_high"), F.collect_list(F.struct("place", "keep_place")).alias("anchors"),
+        )
+        .drop("chain")
+    )
+    chains = work.table(chains, "chains")
+    work.drop("hits", "anchors")
+    ranges = chains.select("doc_id", F.col("own_low").alias("low"), F.col("own_high").alias("high")).unionByName(
+        chains.select(F.col("keep_doc_id").alias("doc_id"), F.col("keep_low").alias("low"), F.col("keep_high").alias("high"))
+    )
+    ranges = work.table(ranges.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "ranges")
+    ids = ranges.select("doc_id")
+    holding = context.broadcast(key_filter(ids, ids.count()))
+    found = texts.mapInArrow(_holding(holding), "doc_id long, text binary").join(ranges, "doc_id").select("doc_id", "text", "spans")
+    pieces = work.table(found.mapInArrow(_pieces, "doc_id long, low int, high int, word int, byte long, piece binary"), "pieces")
+
+    def side(name: str, doc_id: str) -> DataFrame:
+        return pieces.select(
+            F.col("doc_id").alias(doc_id), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"),
+            *[F.col(c).alias(f"{name}_{c}") for c in ("word", "byte", "piece")],
+        )
+
+    both = chains.join(side("own", "doc_id"), ["doc_id", "own_low", "own_high"]).join(side("keep", "keep_doc_id"), ["keep_doc_id", "keep_low", "keep_high"])
+    spans = work.table(both.mapInArrow(_extended, SPANS), "spans")
+    work.drop("chains", "ranges", "pieces")
+    return spans.distinct()
+
+
 def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
-    """The repeated paragraphs of ``docs(doc_id, text, ...)`` and the ones that stay for them:
+    """The repeated passages of ``docs(doc_id, text, ...)`` and the ones that stay for them:
     (doc_id, number, n_words, first_byte, last_byte, class_id, keep_doc_id, keep_number, removed).
 
-    number counts the paragraphs of a text from 0, the bytes are UTF-8 places in it. class_id
-    names a cluster of paragraphs linked by 100 * |A and B| >= 80 * |A or B|; its first one by
-    (doc_id, number) stays. removed marks later ones inside a run of at least SPAN_WORDS words
-    of consecutive later ones of the same document; later ones in shorter runs stay and have
-    no row, nor have clusters of nothing else. Paragraphs below LEAST_WORDS words, NULL,
-    empty and short texts repeat nothing. Rows without doc_id are left out; rows with equal
-    doc_id are one document, in which a repeated row repeats every paragraph. Extra columns
-    are ignored."""
+    A passage is a paragraph or a span around anchors; passages of a document may overlap.
+    number is the place of its first word, from 0, the bytes are UTF-8 places in the text.
+    class_id names a cluster of paragraphs linked by 100 * |A and B| >= 80 * |A or B|, whose
+    first one by (doc_id, number) stays, or an earlier span with the later ones that agree with
+    it likewise; words of an earlier span may be removed themselves for one still earlier.
+    removed marks later passages of at least SPAN_WORDS words; shorter ones stay and have no
+    row, nor have clusters of nothing else. NULL, empty and short texts repeat nothing. Rows
+    without doc_id are left out; rows with equal doc_id are one document, which does not repeat
+    itself at the same place. Extra columns are ignored."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     units = work.table(texts.mapInArrow(_units, UNITS), "units")
     spark = docs.sparkSession
@@ -220,19 +462,21 @@ def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
         members.join(first, "class_id").where("doc_id = keep_doc_id").groupBy("class_id", "keep_doc_id").agg(F.min("number").alias("keep_number"))
     )
     later = members.join(first, "class_id").withColumn("later", (F.col("doc_id") != F.col("keep_doc_id")) | (F.col("number") != F.col("keep_number")))
-    island = F.col("number") - F.row_number().over(W.partitionBy("doc_id", "later").orderBy("number"))
-    run_words = F.sum("n_words").over(W.partitionBy("doc_id", "later", "island"))
-    marked = work.table(
-        later.withColumn("island", island)
-        .withColumn("removed", F.col("later") & (run_words >= SPAN_WORDS))
-        .select("doc_id", "number", "n_words", "first_byte", "last_byte", "class_id", "keep_doc_id", "keep_number", "later", "removed"),
-        "marked",
-    )
-    # short runs that stay on both sides are no repeats
+    columns = ["doc_id", "number", "n_words", "first_byte", "last_byte", "class_id", "keep_doc_id", "keep_number", "removed"]
+    marked = work.table(later.withColumn("removed", F.col("later") & (F.col("n_words") >= SPAN_WORDS)).select(*columns, "later"), "marked")
+    # short ones that stay on both sides are no repeats
     touched = marked.where("removed").select("class_id").distinct()
-    return marked.where("removed OR NOT later").join(touched, "class_id", "left_semi").select(
-        "doc_id", "number", "n_words", "first_byte", "last_byte", "class_id", "keep_doc_id", "keep_number", "removed"
+    paragraphs = marked.where("removed OR NOT later").join(touched, "class_id", "left_semi").select(*columns)
+    work.drop("units", "keys", "banded", "met", "hub-pairs", "placed", "open", "cross-pairs", "shared", "members")
+    spans = shared_with_earlier(texts, work).withColumn(
+        "class_id", F.xxhash64("keep_doc_id", "keep_number", "keep_words", "keep_first_byte", "keep_last_byte")
     )
+    kept = spans.select(
+        F.col("keep_doc_id").alias("doc_id"), F.col("keep_number").alias("number"), F.col("keep_words").alias("n_words"),
+        F.col("keep_first_byte").alias("first_byte"), F.col("keep_last_byte").alias("last_byte"), "class_id", "keep_doc_id", "keep_number",
+        F.lit(False).alias("removed"),
+    ).distinct()
+    return paragraphs.unionByName(spans.withColumn("removed", F.lit(True)).select(*columns)).unionByName(kept)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

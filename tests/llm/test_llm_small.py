@@ -255,6 +255,31 @@ def test_paragraphs(spark, docs, odd_texts, nothing):
     assert paragraph_dedup.repeated_paragraphs(nothing, Workspace(spark, "t")).count() == 0
 
 
+def test_near_copies_inside_other_text(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    words = lambda n: [word() for _ in range(n)]
+    texts, planted = [], []
+    for size, changes in ((51, 0), (60, 1), (100, 2), (200, 4)):
+        for _ in range(12):
+            passage = words(size)
+            copy = list(passage)
+            for k in range(changes):
+                copy[(k + 1) * size // (changes + 1)] = word()
+            before, after = words(40), words(40)
+            planted.append((len(texts) + 1, len(" ".join(before)) + 1, " ".join(copy)))
+            texts += [" ".join(words(30) + passage + words(30)), " ".join(before + copy + after)]
+    table = spark.createDataFrame(rows_of(texts), SCHEMA)
+    found = paragraph_dedup.repeated_paragraphs(table, Workspace(spark, "t")).where("removed").collect()
+    assert {r["doc_id"] for r in found} <= {i for i, _, _ in planted}
+    for i, begin, copy in planted:
+        gone = set()
+        for r in found:
+            if r["doc_id"] == i:
+                gone |= set(range(r["first_byte"], r["last_byte"]))
+        assert gone == set(range(begin, begin + len(copy))), (i, begin, len(copy), len(gone))
+
+
 def test_masked_model(spark, docs, odd_texts, nothing):
     model = masked_lm.train(docs, Workspace(spark, "t"))
     out = {r["doc_id"]: r for r in masked_lm.score(docs, model).collect()}
