@@ -23,7 +23,7 @@ from panelshock.llm.workspace import Workspace
 KNOWN_WORDS, OWN_CLASSES, SUFFIX_CLASSES = 20_000, 80, 48
 CLASSES = OWN_CLASSES + SUFFIX_CLASSES
 HIDDEN, SIDES = 32, (-2, -1, 1, 2)
-ROUNDS, STRIDE, BATCH, RATE = 2, 4, 2048, 0.003
+ROUNDS, BATCH, RATE = 2, 2048, 0.003
 CHUNK = 1 << 16
 FLUSH = 1_500_000
 
@@ -179,8 +179,13 @@ class Learner:
         self.flat -= rate * self.mean / (np.sqrt(self.square) + 1e-7)
 
 
+def targets(count: int, turn: int) -> np.ndarray:
+    """Which of the tokens of a slice a round teaches; the rounds together teach each once."""
+    return np.arange(turn, count, ROUNDS)
+
+
 def _learn(table, weights, turn: int):
-    """One round on a partition: every STRIDE-th token of every text, other ones each round."""
+    """One round on a partition: every ROUNDS-th token of every text, other ones each round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, seen = Learner(weights.value), 0
@@ -188,7 +193,7 @@ def _learn(table, weights, turn: int):
             for _, _, words, suffix, rows in tokens(batch.column(0)):
                 classes, _ = table.value.look_up(words, suffix)
                 around = contexts(classes, rows)
-                picked = np.arange(turn * (STRIDE // ROUNDS) % STRIDE, len(words), STRIDE)
+                picked = targets(len(words), turn)
                 picked = picked[np.argsort(words[picked] * np.uint64(0x9E3779B97F4A7C15), kind="stable")] if len(picked) <= BATCH else np.random.default_rng(turn).permutation(picked)
                 for a in range(0, len(picked), BATCH):
                     part = picked[a : a + BATCH]

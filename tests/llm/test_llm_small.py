@@ -293,6 +293,12 @@ def test_masked_model(spark, docs, odd_texts, nothing):
     assert masked_lm.score(nothing, masked_lm.train(nothing, Workspace(spark, "t"))).count() == 0
 
 
+@pytest.mark.parametrize("count", [0, 1, 7, 5000])
+def test_every_token_is_taught_once(count):
+    taught = np.concatenate([masked_lm.targets(count, turn) for turn in range(masked_lm.ROUNDS)])
+    assert sorted(taught) == list(range(count))
+
+
 def test_network_learns_both_sides():
     draw = np.random.default_rng(1)
     classes = draw.integers(0, 6, 60_000)
