@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -28,11 +27,3 @@ def sf_dir():
     if not folder.is_dir():
         pytest.skip("no test tables")
     return str(folder)
-
-
-def day(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
-def days(start: str, count: int) -> list[dt.date]:
-    return [day(start) + dt.timedelta(days=i) for i in range(count)]

@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
-from conftest import day, days
+from dates import day, days
 from pyspark.sql import functions as F
 
 from panelshock.operators import episodes, splits

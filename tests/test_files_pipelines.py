@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import day, days
+from dates import day, days
 from pyspark.sql import functions as F
 
 from panelshock.operators import flow, models, weather

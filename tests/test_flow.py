@@ -1,5 +1,5 @@
 import pytest
-from conftest import day
+from dates import day
 
 from panelshock.operators import flow
 

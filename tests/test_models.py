@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import day
+from dates import day
 from pyspark.sql import functions as F
 
 from panelshock.operators import boosting, importance, models, preprocess

@@ -1,5 +1,5 @@
 import pytest
-from conftest import day, days
+from dates import day, days
 from pyspark.sql import functions as F
 
 from panelshock.operators import audits, baseline, calendar, panel
