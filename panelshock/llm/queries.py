@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelshock.llm import (
-    decontaminate, digest_index, jaccard_join, language_id, line_dedup, masked_lm, paragraph_dedup, quality,
-    sentencepiece_codec, wordpiece_counts,
+    collocations, decontaminate, digest_index, jaccard_join, language_id, line_dedup, masked_lm, paragraph_dedup,
+    periodic_runs, quality, sentencepiece_codec, sharding, wordpiece_counts,
 )
 from panelshock.llm.workspace import Workspace, read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SHARDS = 24
 
 
 def query(f):
@@ -93,3 +94,45 @@ def op10_language_id(spark, sf):
     model = language_id.train(docs, Workspace(spark, "op10"))
     found = language_id.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` where every tenth checksum of an id makes the end of its text periodic."""
+    h, words = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x != '')")
+    n, g = F.size(words), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    turns = (F.floor((n - a) / p) + 1).cast("int")
+    end = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), turns)), 1, n - a)
+    periodic = F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), end), " ")).otherwise(F.col("text"))
+    return docs.withColumn("text", F.when(h % 10 == 0, periodic).otherwise(F.col("text")))
+
+
+@query
+def op11_periodic_runs(spark, sf):
+    docs = with_periods(read_table(spark, sf, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    best = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_collocations(spark, sf):
+    return collocations.collocations(read_table(spark, sf, "documents"), Workspace(spark, "op12"))
+
+
+@query
+def op13_sharding(spark, sf):
+    placed = sharding.assign(read_table(spark, sf, "documents"), SHARDS, Workspace(spark, "op13"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
