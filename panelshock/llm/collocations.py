@@ -29,7 +29,7 @@ THRESHOLD, LONGEST, KEPT = 30, 4, 2000
 INSIDE_PERCENT, SCALE = 80, 2_000_000
 # a summary holds so many times the counters its guarantee needs: fewer false survivors
 ROOM = 4
-CELL_BYTES, BUFFER_KEYS, CHUNK, SALTS = 16_000_000, 4_000_000, 512, 64
+CELL_BYTES, BUFFER_KEYS, BUFFER_PHRASES, CHUNK, SALTS = 16_000_000, 2_000_000, 400_000, 512, 64
 NO_LANGUAGE = "und"
 BREAKS = np.zeros(256, dtype=bool)
 BREAKS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -93,6 +93,11 @@ def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
 
 
+def cell_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The part of the key space a key lies in: its first bits."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
 class Summary:
     """A Misra-Gries summary: no count is short by more than ``lost``, which stays below
     mass / capacity."""
@@ -131,10 +136,8 @@ def _sent(sizes: tuple[int, ...], bits: int, pairs=None):
     """Counted keys of a task, as chunks of cells: (cell, mass, keys, counts)."""
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        joined = np.concatenate(held)
-        keys, counts = counted(joined, np.ones(len(joined), np.int64))
-        cell = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        cuts = np.searchsorted(cell, np.arange((1 << bits) + 1))
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(cell_of(keys, bits), np.arange((1 << bits) + 1))
         out = []
         for c in range(1 << bits):
             for a in range(cuts[c], cuts[c + 1], CHUNK):
@@ -201,66 +204,120 @@ def _text_of(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(starts, len(out))
 
 
-def _count(filters):
-    """(lang, phrase, words, n) of each task's occurrences that pass the filters, and rows of
-    0 words with all word occurrences of a language."""
+def _count(filters, bits: int):
+    """Counted phrases of a task that pass the filters, as chunks of one cell and language:
+    (cell, lang, keys, counts, words, texts), the texts behind each other with a line end each.
+    A phrase of 0 words stands for all word occurrences of its language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, long = filters.value
         known = np.zeros(0, np.uint64)
         keys, counts, fresh, langs, texts, sizes = [], [], [], [], [], []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             own = np.concatenate(fresh)
             order = np.argsort(own)
             place = np.searchsorted(own, np.concatenate(keys), sorter=order)
             total = np.bincount(order[place], weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
-            columns = [pa.concat_arrays(langs), pa.concat_arrays(texts), pa.array(np.concatenate(sizes), pa.int32()), pa.array(total)]
+            lang, text, size = pa.concat_arrays(langs).dictionary_encode(), pa.concat_arrays(texts), np.concatenate(sizes)
+            code, cell = lang.indices.to_numpy(), cell_of(own, bits)
+            order = np.lexsort((own, code, cell))
+            code, cell, out = code[order], cell[order], []
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(code) != 0)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(own)]):
+                for x in range(begin, end, CHUNK):
+                    at = order[x : min(x + CHUNK, end)]
+                    joined = b"\n".join(text.take(pa.array(at)).to_pylist())
+                    out.append((
+                        int(cell[x]), lang.dictionary[code[x]].as_py(), own[at].tobytes(), total[at].tobytes(),
+                        size[at].astype(np.int8).tobytes(), joined,
+                    ))
             for part in (keys, counts, fresh, langs, texts, sizes):
                 part.clear()
-            return pa.record_batch(columns, ["lang", "phrase", "words", "n"])
+            kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            for x in range(0, len(out), CHUNK):
+                parts = zip(*out[x : x + CHUNK])
+                yield pa.record_batch([pa.array(p, k) for p, k in zip(parts, kinds)], ["cell", "lang", "keys", "counts", "words", "texts"])
+
+        def gather(key: np.ndarray, n: np.ndarray, size: int, written) -> None:
+            """``written`` gives the languages and texts of the new ones among distinct keys."""
+            nonlocal known
+            keys.append(key)
+            counts.append(n)
+            place = np.searchsorted(known, key)
+            new = np.ones(len(key), dtype=bool)
+            new[place < len(known)] = known[place[place < len(known)]] != key[place < len(known)]
+            if new.any():
+                lang, text = written(new)
+                langs.append(lang)
+                texts.append(text)
+                sizes.append(np.full(int(new.sum()), size))
+                fresh.append(key[new])
+                known = np.insert(known, place[new], key[new])
 
         for lang, data, offsets, words in _slices(batches):
-            per_row = np.bincount(words.rows, minlength=len(lang))
-            coded = lang.dictionary_encode()
-            per_lang = np.bincount(coded.indices.to_numpy(zero_copy_only=False), weights=per_row, minlength=len(coded.dictionary))
-            blank = pa.array([b""] * len(per_lang), pa.binary())
-            yield pa.record_batch(
-                [coded.dictionary, blank, pa.array([0] * len(per_lang), pa.int32()), pa.array(per_lang.astype(np.int64))],
-                ["lang", "phrase", "words", "n"],
-            )
-            text, starts = None, None
-            for size in range(1, LONGEST + 1):
-                at, key = words.phrases(size) if size <= 2 else words.within(short, size)
-                passed = (short if size <= 2 else long).holds(key)
-                at, key = at[passed], key[passed]
-                if not len(key):
-                    continue
-                key, first, n = np.unique(key, return_index=True, return_counts=True)
-                at = at[first]
-                keys.append(key)
-                counts.append(n)
-                place = np.searchsorted(known, key)
-                new = np.ones(len(key), dtype=bool)
-                new[place < len(known)] = known[place[place < len(known)]] != key[place < len(known)]
-                if not new.any():
-                    continue
-                if text is None:
-                    text, starts = _text_of(data, words)
-                at = at[new]
-                length = starts[at + size] - 1 - starts[at]
+            if not len(words.hashes):
+                continue
+            text, starts = _text_of(data, words)
+
+            def phrase(at: np.ndarray, size: int):
+                length = starts[at + size] - 1 - starts[at] if size else np.zeros(len(at), np.int64)
                 bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 body = text[spread(starts[at], length)].tobytes()
-                texts.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(body)]))
-                langs.append(lang.take(pa.array(words.rows[at])))
-                sizes.append(np.full(len(at), size))
-                fresh.append(key[new])
-                known = np.insert(known, place[new], key[new])
-            if len(known) >= BUFFER_KEYS // 8 or sum(map(len, keys)) >= BUFFER_KEYS:
-                yield flush()
+                return lang.take(pa.array(words.rows[at])), pa.Array.from_buffers(
+                    pa.binary(), len(at), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(body)]
+                )
+
+            for size in range(LONGEST + 1):
+                if size == 0:
+                    at, key = np.arange(len(words.codes)), mix(words.codes)
+                else:
+                    at, key = words.phrases(size) if size <= 2 else words.within(short, size)
+                    passed = (short if size <= 2 else long).holds(key)
+                    at, key = at[passed], key[passed]
+                if len(key):
+                    key, first, n = np.unique(key, return_index=True, return_counts=True)
+                    at = at[first]
+                    gather(key, n, size, lambda new: phrase(at[new], size))
+            if len(known) >= BUFFER_PHRASES or sum(map(len, keys)) >= BUFFER_KEYS:
+                yield from flush()
                 known = np.zeros(0, np.uint64)
         if fresh:
-            yield flush()
+            yield from flush()
+
+    return run
+
+
+def _total(threshold: int):
+    """Summed counts of cells whose chunks come one cell after the other: phrases that reach
+    the threshold, and all of 0 words. A cell's phrases are those its summary let through, so
+    their number is bounded by its counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, total, known = None, {}, {}
+
+        def done() -> pa.RecordBatch:
+            rows = [(*known[k], n) for k, n in total.items() if n >= threshold or known[k][2] == 0]
+            kinds = (pa.string(), pa.binary(), pa.int32(), pa.int64())
+            parts = zip(*rows) if rows else [()] * 4
+            return pa.record_batch([pa.array(p, k) for p, k in zip(parts, kinds)], ["lang", "phrase", "words", "a"])
+
+        for batch in batches:
+            for c, lang, keys, counts, words, texts in zip(*(batch.column(i) for i in range(6))):
+                if c.as_py() != cell:
+                    if cell is not None:
+                        yield done()
+                    cell, total, known = c.as_py(), {}, {}
+                own = np.frombuffer(keys.as_buffer(), np.uint8).view(np.uint64).tolist()
+                many = np.frombuffer(counts.as_buffer(), np.uint8).view(np.int64).tolist()
+                name = lang.as_py()
+                for k, n, size, text in zip(own, many, words.as_py(), texts.as_py().split(b"\n")):
+                    if k in total:
+                        total[k] += n
+                    else:
+                        total[k], known[k] = n, (name, text, size)
+        if cell is not None:
+            yield done()
 
     return run
 
@@ -278,8 +335,11 @@ def frequent_phrases(docs: DataFrame, work: Workspace, threshold: int = THRESHOL
     shared = context.broadcast(short)
     long = _survivors(texts, (3, 4), bits, threshold, work, "longer", shared)
     shared.unpersist()
-    rows = texts.mapInArrow(_count(context.broadcast((short, long))), "lang string, phrase binary, words int, n long")
-    exact = rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where((F.col("words") == 0) | (F.col("a") >= threshold))
+    chunks = texts.mapInArrow(
+        _count(context.broadcast((short, long)), bits), "cell int, lang string, keys binary, counts binary, words binary, texts binary"
+    )
+    dealt = chunks.repartition("cell").sortWithinPartitions("cell")
+    exact = dealt.mapInArrow(_total(threshold), "lang string, phrase binary, words int, a long")
     return work.table(exact.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
 
 
