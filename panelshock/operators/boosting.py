@@ -1,75 +1,31 @@
-"""Gradient boosting with Huber loss: Spark ML trees, leaf values by aggregation.
-
-Spark's own boosted trees offer squared and absolute loss only. Every stage here is a handful
-of aggregations over the train rows; nothing but a few constants per stage reaches the driver."""
+"""Gradient boosting on blocks of binned rows: Huber loss, and leaf-limited squared loss."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+import heapq
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelshock.functions.ordering import exact_quantiles
-from panelshock.functions.parsing import lookup
-from panelshock.session import checkpoint
+from panelshock.operators.blocks import Blocks, Tree, best_split
 
-# The library defaults the compared model relies on.
+# The library defaults the compared models rely on.
 CLIP_QUANTILE = 0.9
-CHECKPOINT_EVERY = 10
-RULE = re.compile(r"If \(feature (\d+) (<=|in) (.+)\)$")
-# a leaf value, or (feature, threshold or left categories, left, right)
-Node = float | tuple
+LEAST_LEAF_ROWS = 20
 
 
 @dataclass
-class HuberBoosting:
-    """Fitted start value, rate, and per stage a tree with its leaf values."""
+class Boosted:
+    """Fitted start value, rate and trees."""
 
     start: float
     rate: float
-    trees: list[Node]
-
-    @classmethod
-    def fit(
-        cls,
-        train: DataFrame,
-        label: str,
-        stages: int = 200,
-        rate: float = 0.04,
-        depth: int = 2,
-        seed: int = 20261003,
-    ) -> HuberBoosting:
-        """``train`` has ``features`` and ``label``. Per stage: clip residuals at their 0.9
-        quantile, fit a tree to them, set each leaf to its median residual plus the mean
-        clipped distance from it. Quantiles are exact, by ordered cells at every size; the
-        working rows of a stage are kept in memory and on disk while its jobs read them."""
-        rows = checkpoint(train.select("features", F.col(label).cast("double").alias("y")))
-        start = float(exact_quantiles(rows, [], "y", {"q": 0.5}).first()["q"])
-        rows = rows.withColumn("f", F.lit(start))
-        model = cls(start, rate, [])
-        for stage in range(stages):
-            residual = rows.withColumn("r", F.col("y") - F.col("f")).persist(StorageLevel.MEMORY_AND_DISK)
-            size = residual.withColumn("size", F.abs("r"))
-            limit = float(exact_quantiles(size, [], "size", {"q": CLIP_QUANTILE}).first()["q"])
-            tree = DecisionTreeRegressor(
-                featuresCol="features", labelCol="target", predictionCol="__tree", leafCol="leaf",
-                maxDepth=depth, maxBins=256, seed=seed,
-            ).fit(residual.withColumn("target", _clipped(F.col("r"), limit)))
-            placed = tree.transform(residual).withColumn("leaf", F.col("leaf").cast("int"))
-            values = _leaf_values(placed, limit)
-            model.trees.append(_tree_rules(tree, values))
-            rows = placed.select("features", "y", (F.col("f") + rate * lookup("leaf", values)).alias("f"))
-            if (stage + 1) % CHECKPOINT_EVERY == 0 and stage + 1 < stages:
-                rows = checkpoint(rows)
-            residual.unpersist()
-        return model
+    trees: list[Tree] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction``: all trees over one Arrow batch of vectors at a time. One column
@@ -82,48 +38,137 @@ class HuberBoosting:
             if len(features):
                 x = np.vstack(features.to_numpy())
                 for tree in trees:
-                    total += rate * _evaluate(tree, x)
+                    total = total + rate * tree.predict(x)
             return pd.Series(total)
 
         return df.withColumn("prediction", predict(vector_to_array("features")))
 
 
-def _evaluate(node: Node, x: np.ndarray) -> np.ndarray:
-    if not isinstance(node, tuple):
-        return np.full(len(x), node)
-    feature, rule, left, right = node
-    goes_left = np.isin(x[:, feature], rule) if isinstance(rule, list) else x[:, feature] <= rule
-    return np.where(goes_left, _evaluate(left, x), _evaluate(right, x))
-
-
-def _tree_rules(tree: DecisionTreeRegressionModel, values: dict[int, float]) -> Node:
-    """The tree's printed rules with our leaf values; leaves count from left to right. A leaf
-    that no train row reaches keeps 0."""
-    lines = iter(line.strip() for line in tree.toDebugString.splitlines()[1:] if line.strip())
-    leaves = iter(range(2**tree.depth))
-
-    def read() -> Node:
-        line = next(lines)
-        rule = RULE.match(line)
-        if rule is None:
-            return values.get(next(leaves), 0.0)
-        feature, kind, text = int(rule[1]), rule[2], rule[3]
-        limit = float(text) if kind == "<=" else [float(c) for c in text.strip("{}").split(",")]
-        left = read()
-        next(lines)  # the Else line repeats the rule
-        return (feature, limit, left, read())
-
-    return read()
-
-
-def _clipped(c: Column, limit: float) -> Column:
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), c))
+class HuberBoosting(Boosted):
+    """Trees of limited depth on clipped residuals, leaves set for the Huber loss."""
 
+    @classmethod
+    def fit(cls, train: DataFrame, label: str, stages: int = 200, rate: float = 0.04, depth: int = 2) -> HuberBoosting:
+        """``train`` has ``features`` and ``label``. Per stage: residuals are cut at the 0.9
+        quantile of their size, a tree is grown to the cut ones level by level, and each leaf
+        gets its median residual plus the mean cut distance from it. Quantiles are exact.
+        Features are cut at most 255 times, between distinct values where there are no more."""
+        blocks = Blocks(train, label, lambda rows: exact_quantiles(rows, [], "y", {"q": 0.5}).first()["q"], rate)
+        for _ in range(stages):
+            limit = blocks.quantiles(Tree(), {0: blocks.rows}, CLIP_QUANTILE, absolute=True)[0]
+            tree, sizes = _level_wise(blocks, limit, depth)
+            medians = blocks.quantiles(tree, sizes, 0.5)
+            shifts = blocks.leaf_means(tree, medians, limit)
+            for leaf, median in medians.items():
+                tree.value[leaf] = median + shifts[leaf]
+            blocks.add(tree)
+        blocks.close()
+        return cls(blocks.start, rate, blocks.trees)
+
+
+def _level_wise(blocks: Blocks, limit: float, depth: int) -> tuple[Tree, dict[int, int]]:
+    """A tree grown by one pass per level, and the rows of its leaves. Of two siblings only the
+    smaller is counted, the other is the rest of their parent."""
+    tree, sizes = Tree(), {0: blocks.rows}
+    known = {} if depth == 0 else blocks.histograms(tree, [0], limit)
+    for level in range(depth):
+        pairs = []
+        for node in list(known):
+            chosen = best_split(*known[node], blocks.binning, blocks.offsets, 0.0, 1)
+            if chosen:
+                children, _ = _split(blocks, tree, node, known[node], chosen, sizes)
+                pairs.append((known[node], children))
+        if level + 1 == depth or not pairs:
+            break
+        known = _children(blocks, tree, pairs, sizes, limit)
+    return tree, {leaf: sizes[leaf] for leaf in tree.leaves()}
+
+
+def _split(blocks: Blocks, tree: Tree, node: int, histogram, chosen, sizes: dict[int, int]):
+    _, feature, bin = chosen
+    left, right = tree.split(node, feature, bin, float(blocks.binning.thresholds[feature][bin]))
+    first = blocks.offsets[feature]
+    sizes[left] = int(histogram[0][first : first + bin + 1].sum())
+    sizes[right] = sizes[node] - sizes[left]
+    return (left, right), feature
+
+
+def _children(blocks: Blocks, tree: Tree, pairs, sizes: dict[int, int], limit: float = np.inf):
+    """Histograms of the children of split nodes, by one pass over the smaller of each pair."""
+    counted = {min(children, key=lambda c: (sizes[c], c)): (parent, children) for parent, children in pairs}
+    found = blocks.histograms(tree, list(counted), limit)
+    out = {}
+    for small, (parent, children) in counted.items():
+        other = children[0] if children[1] == small else children[1]
+        out[small] = found[small]
+        out[other] = (parent[0] - found[small][0], parent[1] - found[small][1])
+    return {node: out[node] for _, children in pairs for node in children}
+
+
+class LeafBoosting(Boosted):
+    """Squared loss, best-first trees of a limited number of leaves, L2 penalty on leaf values."""
 
-def _leaf_values(placed: DataFrame, limit: float) -> dict[int, float]:
-    """A tree of limited depth has at most 2^depth leaves: their medians are literals."""
-    found = exact_quantiles(placed, ["leaf"], "r", {"q": 0.5}).collect()
-    medians = {int(r["leaf"]): float(r["q"]) for r in found}
-    distance = F.col("r") - lookup("leaf", medians)
-    shifts = placed.groupBy("leaf").agg(F.avg(_clipped(distance, limit)).alias("shift")).collect()
-    return {int(r["leaf"]): medians[int(r["leaf"])] + float(r["shift"]) for r in shifts}
+    @classmethod
+    def fit(
+        cls, train: DataFrame, label: str, stages: int = 200, rate: float = 0.05, leaves: int = 15, penalty: float = 2.0,
+        least_rows: int = LEAST_LEAF_ROWS,
+    ) -> LeafBoosting:
+        """``train`` has ``features`` and ``label``. The first prediction is the mean; a leaf's
+        value is its summed residual over its rows plus the penalty."""
+        blocks = Blocks(train, label, lambda rows: rows.agg(F.avg("y")).first()[0], rate)
+        for _ in range(stages):
+            blocks.add(_best_first(blocks, leaves, penalty, least_rows))
+        blocks.close()
+        return cls(blocks.start, rate, blocks.trees)
+
+
+def _best_first(blocks: Blocks, leaves: int, penalty: float, least_rows: int) -> Tree:
+    """The tree that always splits the leaf that gains most.
+
+    The order of splits is played through with the leaves known so far; leaves that it would
+    have had to know are counted together in one pass, then it is played again. The last play
+    knows every leaf it needed, so the tree is that of a split at a time, in as many passes as
+    the tree is deep."""
+    grown, sizes = Tree(), {0: blocks.rows}  # all nodes ever split, more than the final tree
+    histograms = blocks.histograms(grown, [0])
+    splits = {0: best_split(*histograms[0], blocks.binning, blocks.offsets, penalty, least_rows)}
+    while True:
+        heap = [(-splits[0][0], 0)] if splits[0] else []
+        order, unknown, needed = [], [], False
+        while heap and len(order) + 1 < leaves:
+            needed = needed or bool(unknown)
+            node = heapq.heappop(heap)[1]
+            order.append(node)
+            if grown.feature[node] < 0:
+                _split(blocks, grown, node, histograms[node], splits[node], sizes)
+            for child in (grown.left[node], grown.right[node]):
+                if child not in splits:
+                    unknown.append(child)
+                elif splits[child]:
+                    heapq.heappush(heap, (-splits[child][0], child))
+        if not unknown or not (needed or len(order) + 1 < leaves):
+            break
+        pairs = [(histograms[n], (grown.left[n], grown.right[n])) for n in order if grown.left[n] in unknown]
+        histograms.update(_children(blocks, grown, pairs, sizes))
+        for child in unknown:
+            splits[child] = best_split(*histograms[child], blocks.binning, blocks.offsets, penalty, least_rows)
+    return _pruned(blocks, grown, set(order), histograms, sizes, penalty)
+
+
+def _pruned(blocks: Blocks, grown: Tree, split: set[int], histograms, sizes: dict[int, int], penalty: float) -> Tree:
+    """The part of ``grown`` whose tests are in ``split``, with leaf values."""
+    tree, end = Tree(), int(blocks.offsets[1])
+
+    def copy(node: int, at: int, total: int) -> None:
+        if node not in split:
+            tree.value[at] = total / blocks.scale / (sizes[node] + penalty)
+            return
+        feature, bin = grown.feature[node], grown.bin[node]
+        first = int(blocks.offsets[feature])
+        left_total = int(histograms[node][1][first : first + bin + 1].sum())
+        left, right = tree.split(at, feature, bin, grown.threshold[node])
+        copy(grown.left[node], left, left_total)
+        copy(grown.right[node], right, total - left_total)
+
+    copy(0, 0, int(histograms[0][1][:end].sum()))
+    return tree

@@ -60,9 +60,20 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete one staged table that nothing reads any more."""
+    names = {file.rpartition("/")[0].rpartition("/")[2] for file in df.inputFiles()}
+    for path in [p for p in _written if p.rpartition("/")[2] in names]:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete all staged tables of this process, once the results that read them are written."""
-    conf = spark._jsc.hadoopConfiguration()
     while _written:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        place.getFileSystem(conf).delete(place, True)
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

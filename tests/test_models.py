@@ -3,8 +3,8 @@ import pytest
 from dates import day
 from pyspark.sql import functions as F
 
-from panelshock.operators import boosting, importance, models, preprocess
-from panelshock.operators.boosting import HuberBoosting
+from panelshock.operators import blocks, importance, models, preprocess
+from panelshock.operators.boosting import HuberBoosting, LeafBoosting
 
 rng = np.random.default_rng(11)
 N = 240
@@ -143,18 +143,115 @@ def test_huber_boosting_equals_direct_computation(spark):
         assert got[a, b, c] == pytest.approx(e, abs=1e-9)
 
 
-@pytest.mark.parametrize("depth", [0, 1, 2, 4])
-def test_printed_rules_follow_the_fitted_leaves(rows, prepared, depth):
-    """Binary columns are split as categories; rows must reach the leaf Spark assigns."""
-    from pyspark.ml.regression import DecisionTreeRegressor
+def exact_tree(x, r, depth, clip):
+    """Level-wise tree on all thresholds: a function from rows to leaf numbers."""
+    target = np.clip(r, -clip, clip)
+    leaf = np.zeros(len(r), dtype=int)
+    for level in range(depth):
+        for node in np.unique(leaf):
+            own, best = leaf == node, None
+            for j in range(x.shape[1]):
+                for cut in np.unique(x[own, j])[:-1]:
+                    left = own & (x[:, j] <= cut)
+                    right = own & ~left
+                    gain = target[left].sum() ** 2 / left.sum() + target[right].sum() ** 2 / right.sum() - target[own].sum() ** 2 / own.sum()
+                    if gain > 1e-9 and (best is None or gain > best[0] * (1 + 1e-9)):
+                        best = (gain, right)
+            if best:
+                leaf[best[1]] += 10 ** (depth - level) * (node + 1)
+    return leaf
+
+
+def test_huber_boosting_of_depth_two(spark, monkeypatch):
+    """Against exhaustive trees and medians, with predictions written after every second tree."""
+    x, y = rng.normal(size=(90, 3)).round(1), rng.normal(size=90) * 10
+    y = y + 8 * (x[:, 0] > 0) * (x[:, 1] > 0.3)
+    f, rate = np.full(90, np.median(y)), 0.5
+    for _ in range(5):
+        r = y - f
+        clip = np.quantile(np.abs(r), 0.9)
+        leaf = exact_tree(x, r, 2, clip)
+        for one in np.unique(leaf):
+            median = np.median(r[leaf == one])
+            f[leaf == one] += rate * (median + np.clip(r[leaf == one] - median, -clip, clip).mean())
+    df = vectors_of(spark, x, y).repartition(3)
+    model = HuberBoosting.fit(df, "y", stages=5, rate=rate)
+    assert predicted_by(model, df, y) == pytest.approx(f, abs=1e-8)
+    monkeypatch.setattr(blocks, "LISTED", 3)  # every cell is refined to its last bit
+    monkeypatch.setattr(blocks, "DIRECT", 0)  # sums meet on executors
+    monkeypatch.setattr(blocks, "PART_ROWS", 20)
+    again = HuberBoosting.fit(df, "y", stages=3, rate=rate)
+    assert [t.value for t in again.trees] == [t.value for t in model.trees[:3]]
+
+
+def vectors_of(spark, x, y):
+    from pyspark.ml.linalg import Vectors
 
-    vectors = prepared.vectors(rows, NUMERIC, CATEGORICAL)
-    tree = DecisionTreeRegressor(labelCol="Y1_heatwave", leafCol="leaf", maxDepth=depth, maxBins=256).fit(vectors)
-    model = HuberBoosting(0.0, 1.0, [boosting._tree_rules(tree, {i: float(i) for i in range(2**depth)})])
-    got = model.transform(tree.transform(vectors).drop("prediction")).select("leaf", "prediction").collect()
-    assert all(r.leaf == r.prediction for r in got)
-    assert len({r.leaf for r in got}) > depth
-    assert model.transform(vectors.limit(0)).count() == 0
+    return spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "y"])
+
+
+def predicted_by(model, df, y):
+    found = {r.y: r.prediction for r in model.transform(df).collect()}
+    return [found[v] for v in y]
+
+
+def best_first_tree(x, r, leaves, penalty, least):
+    """One split at a time by brute force: the rows of each leaf."""
+
+    def best(own):
+        found = None
+        for j in range(x.shape[1]):
+            for cut in np.unique(x[own, j])[:-1]:
+                left = own[x[own, j] <= cut]
+                right = own[x[own, j] > cut]
+                if min(len(left), len(right)) < least:
+                    continue
+                gain = sum(r[p].sum() ** 2 / (len(p) + penalty) for p in (left, right)) - r[own].sum() ** 2 / (len(own) + penalty)
+                if gain > 1e-9 and (found is None or gain > found[0] * (1 + 1e-12)):
+                    found = (gain, left, right)
+        return found
+
+    parts = [np.arange(len(r))]
+    while len(parts) < leaves:
+        options = [(b[0], i, b) for i, b in enumerate(map(best, parts)) if b]
+        if not options:
+            break
+        _, i, (_, left, right) = max(options, key=lambda o: o[0])
+        parts[i : i + 1] = [left, right]
+    return parts
+
+
+@pytest.mark.parametrize("leaves, least", [(15, 5), (4, 20), (1, 1), (300, 1)])
+def test_leaf_boosting_equals_a_split_at_a_time(spark, leaves, least):
+    x, y = rng.normal(size=(150, 4)).round(1), rng.normal(size=150)
+    x[:, 3] = x[:, 3] > 0
+    y = y + 3 * np.sin(3 * x[:, 0]) + 2 * x[:, 3] * x[:, 1]
+    f, penalty, rate, stages = np.full(150, y.mean()), 2.0, 0.3, 4
+    sizes = []
+    for _ in range(stages):
+        r = y - f
+        parts = best_first_tree(x, r, leaves, penalty, least)
+        sizes.append(len(parts))
+        for own in parts:
+            f[own] += rate * r[own].sum() / (len(own) + penalty)
+    model = LeafBoosting.fit(vectors_of(spark, x, y).repartition(4), "y", stages, rate, leaves, penalty, least)
+    assert [len(t.leaves()) for t in model.trees] == sizes and max(sizes) <= leaves
+    assert predicted_by(model, vectors_of(spark, x, y), y) == pytest.approx(f, abs=1e-9)
+
+
+def test_boosting_does_not_depend_on_partitions(spark):
+    x, y = rng.normal(size=(400, 3)), rng.normal(size=400)
+    one, many = (LeafBoosting.fit(vectors_of(spark, x, y).repartition(p), "y", 12) for p in (1, 7))
+    assert [(t.feature, t.threshold, t.value) for t in one.trees] == [(t.feature, t.threshold, t.value) for t in many.trees]
+
+
+def test_binning(spark):
+    many = np.column_stack([np.arange(3000) % 1000, np.arange(3000) % 2, np.zeros(3000)])
+    found = blocks.Binning.fit(vectors_of(spark, many, np.zeros(3000)).drop("y"))
+    assert 200 <= len(found.thresholds[0]) < 255 and found.thresholds[1].tolist() == [0.5] and not len(found.thresholds[2])
+    assert np.bincount(found.bins(many)[:, 0]).max() <= 3000 / 100
+    with pytest.raises(ValueError, match="no train rows"):
+        LeafBoosting.fit(vectors_of(spark, many[:1], [0.0]).limit(0), "y", 1)
 
 
 def test_grid_fits_every_combination(spark, rows):
