@@ -23,7 +23,8 @@ from panelshock.functions.ordering import ordered_integers, ranked_values
 from panelshock.session import staged, unstage
 
 BINS, BLOCK_ROWS, PART_ROWS, DIRECT = 255, 16_384, 262_144, 16
-LISTED, CELL_BITS = 4096, 16
+# cells and leaves with at most so many rows are listed, not counted any further
+LISTED, CELL_BITS, LEAF_ROWS = 4096, 16, 256
 TOP = np.uint64(1 << 63)
 BLOCK = "x binary, y binary, f binary"
 
@@ -137,12 +138,16 @@ def _arrays(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal-length integer arrays per key."""
+    """Sums of equal-length integer arrays per key; arrays under negative keys are lists, which
+    pass."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
             part = np.frombuffer(data.as_py(), np.int64)
-            total[key] = total[key] + part if key in total else part
+            if key < 0:
+                yield _keyed({key: part})
+            else:
+                total[key] = total[key] + part if key in total else part
     yield _keyed(total)
 
 
@@ -168,6 +173,38 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "cells", "counts"])
 
 
+def histogram(x: np.ndarray, unit: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and summed units of every feature's bins."""
+    n, g = (np.zeros(int(offsets[-1]), np.int64) for _ in range(2))
+    for f in range(x.shape[1]):
+        size = int(offsets[f + 1] - offsets[f])
+        n[offsets[f] : offsets[f + 1]] = np.bincount(x[:, f], minlength=size)
+        g[offsets[f] : offsets[f + 1]] = np.bincount(x[:, f], weights=unit, minlength=size).astype(np.int64)
+    return n, g
+
+
+@dataclass
+class Leaf:
+    """Rows and sums of a leaf's cells; of a small leaf its rows too, bins and residual."""
+
+    n: np.ndarray
+    g: np.ndarray
+    rows: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, rows: np.ndarray, offsets: np.ndarray) -> Leaf:
+        return cls(*histogram(rows[:, :-1], rows[:, -1].astype(np.float64), offsets), rows)
+
+    def without(self, other: Leaf) -> Leaf:
+        """The sibling of a child."""
+        return Leaf(self.n - other.n, self.g - other.g)
+
+    def parted(self, feature: int, bin: int, offsets: np.ndarray) -> tuple[Leaf, Leaf]:
+        """Both children of a listed leaf."""
+        left = self.rows[:, feature] <= bin
+        return Leaf.of(self.rows[left], offsets), Leaf.of(self.rows[~left], offsets)
+
+
 class Blocks:
     """Binned train rows with a target, and the running prediction of a boosted model."""
 
@@ -227,15 +264,19 @@ class Blocks:
 
         return predicted
 
-    def _sums(self, per_block, length: int) -> dict[int, np.ndarray]:
-        """One pass: ``per_block(x, residual)`` yields (key, integer array of ``length``)."""
+    def _sums(self, per_block) -> dict[int, np.ndarray]:
+        """One pass: ``per_block(x, residual)`` yields (key, integer array). Arrays of one key
+        are added up, those of a negative key put behind each other."""
         now, width = self._now(), self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for x, y, f in _arrays(batches, width):
                 for key, part in per_block(x, y - now(x, f)):
-                    total[key] = total[key] + part if key in total else part
+                    if key < 0:
+                        yield _keyed({key: part})
+                    else:
+                        total[key] = total[key] + part if key in total else part
             yield _keyed(total)
 
         sums = self.table.mapInArrow(run, "key int, sums binary")
@@ -243,28 +284,34 @@ class Blocks:
             sums = sums.repartition("key").mapInArrow(_added, "key int, sums binary")
         out: dict[int, np.ndarray] = {}
         for row in sums.collect():
-            out[row.key] = out.get(row.key, np.zeros(length, np.int64)) + np.frombuffer(row.sums, np.int64)
+            part = np.frombuffer(row.sums, np.int64)
+            if row.key in out:
+                part = np.concatenate([out[row.key], part]) if row.key < 0 else out[row.key] + part
+            out[row.key] = part
         return out
 
-    def histograms(self, tree: Tree, nodes: list[int], limit: float = np.inf) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Rows and summed residuals, in units of 1 / scale, of every feature's bins among the
-        rows in each of the given leaves; residuals are cut at +-limit."""
-        offsets, scale, cells = self.offsets, self.scale, int(self.offsets[-1])
+    def leaves(self, tree: Tree, counted: list[int], listed: list[int], limit: float = np.inf) -> dict[int, Leaf]:
+        """What one pass finds of leaves: histograms of ``counted``, the rows of ``listed``.
+        Residuals are cut at +-limit and in units of 1 / scale."""
+        offsets, scale, width = self.offsets, self.scale, self.width
 
         def per_block(x, residual):
             place = tree.place(x, True)
             unit = np.rint(np.clip(residual, -limit, limit) * scale)
-            for node in nodes:
-                own = np.flatnonzero(place == node)
-                n, g = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
-                for f in range(x.shape[1]):
-                    size = int(offsets[f + 1] - offsets[f])
-                    n[offsets[f] : offsets[f + 1]] = np.bincount(x[own, f], minlength=size)
-                    g[offsets[f] : offsets[f + 1]] = np.bincount(x[own, f], weights=unit[own], minlength=size).astype(np.int64)
-                yield node, np.concatenate([n, g])
-
-        found = self._sums(per_block, 2 * cells)
-        return {k: (v[:cells], v[cells:]) for k, v in found.items()}
+            for node in counted:
+                own = place == node
+                yield node, np.concatenate(histogram(x[own], unit[own], offsets))
+            for node in listed:
+                own = place == node
+                yield -1 - node, np.column_stack([x[own].astype(np.int64), unit[own].astype(np.int64)]).ravel()
+
+        out, cells = {}, int(offsets[-1])
+        for key, found in self._sums(per_block).items():
+            if key >= 0:
+                out[key] = Leaf(found[:cells], found[cells:])
+            else:
+                out[-1 - key] = Leaf.of(found.reshape(-1, width + 1), offsets)
+        return out
 
     def leaf_means(self, tree: Tree, around: dict[int, float], limit: float) -> dict[int, float]:
         """Mean of the residuals' distance from ``around`` per leaf, cut at +-limit."""
@@ -276,7 +323,7 @@ class Blocks:
                 own = residual[place == leaf]
                 yield leaf, np.array([len(own), np.rint(np.clip(own - centre, -limit, limit) * scale).sum()], dtype=np.int64)
 
-        return {k: float(v[1]) / scale / max(1, int(v[0])) for k, v in self._sums(per_block, 2).items()}
+        return {k: float(v[1]) / scale / max(1, int(v[0])) for k, v in self._sums(per_block).items()}
 
     def quantiles(self, tree: Tree, sizes: dict[int, int], fraction: float, absolute: bool = False) -> dict[int, float]:
         """Exact quantile of the (absolute) residuals in each leaf of ``sizes``, leaves with their
@@ -353,11 +400,11 @@ def _as_double(order: int) -> float:
 
 
 def best_split(
-    n: np.ndarray, g: np.ndarray, binning: Binning, offsets: np.ndarray, penalty: float, least_rows: int
+    leaf: Leaf, binning: Binning, offsets: np.ndarray, penalty: float, least_rows: int
 ) -> tuple[float, int, int] | None:
     """(gain, feature, bin) of the best test of a leaf, from the rows and sums of its cells; of
     equal gains the first feature and the lowest bin. None where no test gains."""
-    best = None
+    best, n, g = None, leaf.n, leaf.g
     rows, total = int(n[offsets[0] : offsets[1]].sum()), int(g[offsets[0] : offsets[1]].sum())
     for f in range(len(binning.thresholds)):
         left_n = np.cumsum(n[offsets[f] : offsets[f + 1]])[:-1]

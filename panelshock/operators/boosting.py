@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelshock.functions.ordering import exact_quantiles
-from panelshock.operators.blocks import Blocks, Tree, best_split
+from panelshock.operators.blocks import LEAF_ROWS, Blocks, Leaf, Tree, best_split
 
 # The library defaults the compared models rely on.
 CLIP_QUANTILE = 0.9
@@ -67,42 +67,56 @@ class HuberBoosting(Boosted):
 
 
 def _level_wise(blocks: Blocks, limit: float, depth: int) -> tuple[Tree, dict[int, int]]:
-    """A tree grown by one pass per level, and the rows of its leaves. Of two siblings only the
-    smaller is counted, the other is the rest of their parent."""
+    """A tree grown by at most one pass per level, and the rows of its leaves."""
     tree, sizes = Tree(), {0: blocks.rows}
-    known = {} if depth == 0 else blocks.histograms(tree, [0], limit)
+    known = {} if depth == 0 else _root(blocks, limit)
     for level in range(depth):
         pairs = []
-        for node in list(known):
-            chosen = best_split(*known[node], blocks.binning, blocks.offsets, 0.0, 1)
+        for node, leaf in known.items():
+            chosen = best_split(leaf, blocks.binning, blocks.offsets, 0.0, 1)
             if chosen:
-                children, _ = _split(blocks, tree, node, known[node], chosen, sizes)
-                pairs.append((known[node], children))
+                _split(blocks, tree, node, leaf, chosen, sizes)
+                pairs.append((leaf, node))
         if level + 1 == depth or not pairs:
             break
         known = _children(blocks, tree, pairs, sizes, limit)
     return tree, {leaf: sizes[leaf] for leaf in tree.leaves()}
 
 
-def _split(blocks: Blocks, tree: Tree, node: int, histogram, chosen, sizes: dict[int, int]):
+def _root(blocks: Blocks, limit: float = np.inf) -> dict[int, Leaf]:
+    small = blocks.rows <= LEAF_ROWS
+    return blocks.leaves(Tree(), [] if small else [0], [0] if small else [], limit)
+
+
+def _split(blocks: Blocks, tree: Tree, node: int, leaf: Leaf, chosen: tuple[float, int, int], sizes: dict[int, int]) -> None:
     _, feature, bin = chosen
     left, right = tree.split(node, feature, bin, float(blocks.binning.thresholds[feature][bin]))
     first = blocks.offsets[feature]
-    sizes[left] = int(histogram[0][first : first + bin + 1].sum())
+    sizes[left] = int(leaf.n[first : first + bin + 1].sum())
     sizes[right] = sizes[node] - sizes[left]
-    return (left, right), feature
 
 
-def _children(blocks: Blocks, tree: Tree, pairs, sizes: dict[int, int], limit: float = np.inf):
-    """Histograms of the children of split nodes, by one pass over the smaller of each pair."""
-    counted = {min(children, key=lambda c: (sizes[c], c)): (parent, children) for parent, children in pairs}
-    found = blocks.histograms(tree, list(counted), limit)
-    out = {}
-    for small, (parent, children) in counted.items():
-        other = children[0] if children[1] == small else children[1]
-        out[small] = found[small]
-        out[other] = (parent[0] - found[small][0], parent[1] - found[small][1])
-    return {node: out[node] for _, children in pairs for node in children}
+def _children(blocks: Blocks, tree: Tree, pairs: list[tuple[Leaf, int]], sizes: dict[int, int], limit: float = np.inf) -> dict[int, Leaf]:
+    """The children of split leaves (leaf, node). Those of a listed leaf are parted here; of
+    others, one pass lists the small ones and counts the smaller sibling of the rest, and
+    the larger sibling is what is left of the parent."""
+    out, counted, listed, rest = {}, [], [], []
+    for leaf, node in pairs:
+        children = (tree.left[node], tree.right[node])
+        if leaf.rows is not None:
+            out.update(zip(children, leaf.parted(tree.feature[node], tree.bin[node], blocks.offsets)))
+            continue
+        small, large = sorted(children, key=lambda c: (sizes[c], c))
+        (listed if sizes[small] <= LEAF_ROWS else counted).append(small)
+        if sizes[large] <= LEAF_ROWS:
+            listed.append(large)
+        else:
+            rest.append((leaf, small, large))
+    if counted or listed:
+        out.update(blocks.leaves(tree, counted, listed, limit))
+    for leaf, small, large in rest:
+        out[large] = leaf.without(out[small])
+    return {c: out[c] for _, node in pairs for c in (tree.left[node], tree.right[node])}
 
 
 class LeafBoosting(Boosted):
@@ -126,12 +140,12 @@ def _best_first(blocks: Blocks, leaves: int, penalty: float, least_rows: int) ->
     """The tree that always splits the leaf that gains most.
 
     The order of splits is played through with the leaves known so far; leaves that it would
-    have had to know are counted together in one pass, then it is played again. The last play
+    have had to know are looked up together in one pass, then it is played again. The last play
     knows every leaf it needed, so the tree is that of a split at a time, in as many passes as
-    the tree is deep."""
+    the part of the tree above small leaves is deep."""
     grown, sizes = Tree(), {0: blocks.rows}  # all nodes ever split, more than the final tree
-    histograms = blocks.histograms(grown, [0])
-    splits = {0: best_split(*histograms[0], blocks.binning, blocks.offsets, penalty, least_rows)}
+    known = _root(blocks)
+    splits = {0: best_split(known[0], blocks.binning, blocks.offsets, penalty, least_rows)}
     while True:
         heap = [(-splits[0][0], 0)] if splits[0] else []
         order, unknown, needed = [], [], False
@@ -140,7 +154,7 @@ def _best_first(blocks: Blocks, leaves: int, penalty: float, least_rows: int) ->
             node = heapq.heappop(heap)[1]
             order.append(node)
             if grown.feature[node] < 0:
-                _split(blocks, grown, node, histograms[node], splits[node], sizes)
+                _split(blocks, grown, node, known[node], splits[node], sizes)
             for child in (grown.left[node], grown.right[node]):
                 if child not in splits:
                     unknown.append(child)
@@ -148,14 +162,13 @@ def _best_first(blocks: Blocks, leaves: int, penalty: float, least_rows: int) ->
                     heapq.heappush(heap, (-splits[child][0], child))
         if not unknown or not (needed or len(order) + 1 < leaves):
             break
-        pairs = [(histograms[n], (grown.left[n], grown.right[n])) for n in order if grown.left[n] in unknown]
-        histograms.update(_children(blocks, grown, pairs, sizes))
-        for child in unknown:
-            splits[child] = best_split(*histograms[child], blocks.binning, blocks.offsets, penalty, least_rows)
-    return _pruned(blocks, grown, set(order), histograms, sizes, penalty)
+        found = _children(blocks, grown, [(known[n], n) for n in order if grown.left[n] in unknown], sizes)
+        known.update(found)
+        splits.update({c: best_split(leaf, blocks.binning, blocks.offsets, penalty, least_rows) for c, leaf in found.items()})
+    return _pruned(blocks, grown, set(order), known, sizes, penalty)
 
 
-def _pruned(blocks: Blocks, grown: Tree, split: set[int], histograms, sizes: dict[int, int], penalty: float) -> Tree:
+def _pruned(blocks: Blocks, grown: Tree, split: set[int], known: dict[int, Leaf], sizes: dict[int, int], penalty: float) -> Tree:
     """The part of ``grown`` whose tests are in ``split``, with leaf values."""
     tree, end = Tree(), int(blocks.offsets[1])
 
@@ -165,10 +178,10 @@ def _pruned(blocks: Blocks, grown: Tree, split: set[int], histograms, sizes: dic
             return
         feature, bin = grown.feature[node], grown.bin[node]
         first = int(blocks.offsets[feature])
-        left_total = int(histograms[node][1][first : first + bin + 1].sum())
+        left_total = int(known[node].g[first : first + bin + 1].sum())
         left, right = tree.split(at, feature, bin, grown.threshold[node])
         copy(grown.left[node], left, left_total)
         copy(grown.right[node], right, total - left_total)
 
-    copy(0, 0, int(histograms[0][1][:end].sum()))
+    copy(0, 0, int(known[0].g[:end].sum()))
     return tree

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,17 +95,19 @@ def run_grid(
     models: dict[str, Fitter],
     feature_sets: dict[str, dict[str, list[str]]] | None = None,
     spec: PanelSpec = DEFAULT,
+    at_once: int = 4,
 ) -> tuple[DataFrame, dict[tuple[str, str, str], Callable[[DataFrame], DataFrame]]]:
     """Fit every hazard x feature set x model on the shared split.
 
     Returns the long predictions table and the scorers, functions that add ``prediction``.
-    Per hazard, event rows are staged and preprocessing is fitted once for all sets."""
+    Per hazard, event rows are staged and preprocessing is fitted once for all sets. Fits are
+    chains of short jobs, so ``at_once`` of them run side by side."""
     feature_sets = feature_sets or FEATURE_SETS
     for chosen in feature_sets.values():
         require_allowed_features(chosen["numeric"] + chosen["categorical"], panel.columns)
     numeric = list(dict.fromkeys(c for s in feature_sets.values() for c in s["numeric"]))
     categorical = list(dict.fromkeys(c for s in feature_sets.values() for c in s["categorical"]))
-    parts, scorers = [], {}
+    wanted = []
     for hazard in spec.hazards:
         label = f"Y1_{hazard}"
         needed = list(dict.fromkeys([*spec.key, "split", label, *numeric, *categorical]))
@@ -112,23 +116,32 @@ def run_grid(
         prepared = Preprocessor.fit(events.where("split = 'train'"), numeric, categorical)
         for set_name, chosen in feature_sets.items():
             vectors = staged(prepared.vectors(events, **chosen).select(*spec.key, "split", label, "features"))
-            train = vectors.where("split = 'train'").select("features", label)
-            for model_name, fitter in models.items():
-                fitted = fitter(train, label)
-                scorers[hazard, set_name, model_name] = scorer(prepared, chosen, fitted)
-                parts.append(
-                    fitted.transform(vectors).select(
-                        F.col(spec.date).alias("date"),
-                        F.col(spec.region).alias("region"),
-                        F.col(spec.industry).alias("industry"),
-                        F.lit(hazard).alias("disaster_type"),
-                        F.col(label).alias("actual_y1"),
-                        F.col("prediction").alias("predicted_y1"),
-                        F.lit(model_name).alias("model"),
-                        F.lit(set_name).alias("feature_set"),
-                        "split",
-                    )
-                )
+            wanted += [(hazard, set_name, name, prepared, vectors, fitter) for name, fitter in models.items()]
+
+    def fit(one):
+        hazard, _, _, _, vectors, fitter = one
+        return fitter(vectors.where("split = 'train'").select("features", f"Y1_{hazard}"), f"Y1_{hazard}")
+
+    session = panel.sparkSession
+    with ThreadPoolExecutor(at_once) as pool:
+        futures = [pool.submit(inheritable_thread_target(session)(fit), one) for one in wanted]
+        fits = [f.result() for f in futures]
+    parts, scorers = [], {}
+    for (hazard, set_name, model_name, prepared, vectors, _), fitted in zip(wanted, fits):
+        scorers[hazard, set_name, model_name] = scorer(prepared, feature_sets[set_name], fitted)
+        parts.append(
+            fitted.transform(vectors).select(
+                F.col(spec.date).alias("date"),
+                F.col(spec.region).alias("region"),
+                F.col(spec.industry).alias("industry"),
+                F.lit(hazard).alias("disaster_type"),
+                F.col(f"Y1_{hazard}").alias("actual_y1"),
+                F.col("prediction").alias("predicted_y1"),
+                F.lit(model_name).alias("model"),
+                F.lit(set_name).alias("feature_set"),
+                "split",
+            )
+        )
     predictions = parts[0]
     for part in parts[1:]:
         predictions = predictions.unionByName(part)

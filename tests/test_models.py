@@ -3,7 +3,7 @@ import pytest
 from dates import day
 from pyspark.sql import functions as F
 
-from panelshock.operators import blocks, importance, models, preprocess
+from panelshock.operators import blocks, boosting, importance, models, preprocess
 from panelshock.operators.boosting import HuberBoosting, LeafBoosting
 
 rng = np.random.default_rng(11)
@@ -178,6 +178,7 @@ def test_huber_boosting_of_depth_two(spark, monkeypatch):
     model = HuberBoosting.fit(df, "y", stages=5, rate=rate)
     assert predicted_by(model, df, y) == pytest.approx(f, abs=1e-8)
     monkeypatch.setattr(blocks, "LISTED", 3)  # every cell is refined to its last bit
+    monkeypatch.setattr(boosting, "LEAF_ROWS", 12)  # larger leaves are counted
     monkeypatch.setattr(blocks, "DIRECT", 0)  # sums meet on executors
     monkeypatch.setattr(blocks, "PART_ROWS", 20)
     again = HuberBoosting.fit(df, "y", stages=3, rate=rate)
@@ -221,8 +222,8 @@ def best_first_tree(x, r, leaves, penalty, least):
     return parts
 
 
-@pytest.mark.parametrize("leaves, least", [(15, 5), (4, 20), (1, 1), (300, 1)])
-def test_leaf_boosting_equals_a_split_at_a_time(spark, leaves, least):
+@pytest.mark.parametrize("leaves, least, listed", [(15, 5, 0), (15, 5, 40), (4, 20, 256), (1, 1, 0), (300, 1, 12)])
+def test_leaf_boosting_equals_a_split_at_a_time(spark, monkeypatch, leaves, least, listed):
     x, y = rng.normal(size=(150, 4)).round(1), rng.normal(size=150)
     x[:, 3] = x[:, 3] > 0
     y = y + 3 * np.sin(3 * x[:, 0]) + 2 * x[:, 3] * x[:, 1]
@@ -234,6 +235,7 @@ def test_leaf_boosting_equals_a_split_at_a_time(spark, leaves, least):
         sizes.append(len(parts))
         for own in parts:
             f[own] += rate * r[own].sum() / (len(own) + penalty)
+    monkeypatch.setattr(boosting, "LEAF_ROWS", listed)
     model = LeafBoosting.fit(vectors_of(spark, x, y).repartition(4), "y", stages, rate, leaves, penalty, least)
     assert [len(t.leaves()) for t in model.trees] == sizes and max(sizes) <= leaves
     assert predicted_by(model, vectors_of(spark, x, y), y) == pytest.approx(f, abs=1e-9)
