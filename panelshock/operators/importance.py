@@ -1,16 +1,20 @@
 """Permutation importance: how much the test MAE grows when feature values are exchanged.
 
-The permutation of a repeat orders rows by the digest of (row key, group, repeat, seed). It
-is repeatable after a lost task, and ranks come from digest cells, so neither a large test
-set nor many repeats gather in one task."""
+Rows are numbered once, by the digest of their key. The permutation of a repeat is a keyed
+bijection of these numbers: a Feistel network whose keys come from (seed, group, repeat), walked
+on until the number is one of the rows'. So no repeat ranks anything, every row looks its donor up
+in one table that does not grow with the repeats, and a lost task repeats exactly."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from panelshock.functions.ordering import number_rows
 from panelshock.functions.parsing import lookup
@@ -31,6 +35,43 @@ REPORT_GROUPS = {
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+# a round mixes half of a number by two multiplications modulo a prime below 2^31
+ROUNDS, KEY_DIGITS, PRIME, FACTORS = 4, 7, 2_147_483_647, (1_103_515_245, 69_069)
+
+
+def _mixed(half: np.ndarray, key: np.ndarray) -> np.ndarray:
+    v = (((half + key) * FACTORS[0] + 12_345) % PRIME * FACTORS[1] + key) % PRIME
+    return v ^ (v >> 15)
+
+
+def bijection(place: np.ndarray, count: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each place below ``count`` goes, a permutation of the places for every row of
+    ``keys`` (rows by ROUNDS). Numbers beyond ``count`` are sent on until one is a place; the
+    network has at most four times as many numbers as places."""
+    bits = np.maximum(1, -(-np.ceil(np.log2(np.maximum(count, 2))).astype(np.int64) // 2))
+    out, going = place.astype(np.int64).copy(), np.arange(len(place))
+    while len(going):
+        b = bits[going]
+        left, right = out[going] >> b, out[going] & ((1 << b) - 1)
+        for i in range(ROUNDS):
+            left, right = right, left ^ (_mixed(right, keys[going, i]) & ((1 << b) - 1))
+        out[going] = (left << b) | right
+        going = going[out[going] >= count[going]]
+    return out
+
+
+@F.pandas_udf(LongType())
+def _donor(place: pd.Series, count: pd.Series, keys: pd.Series) -> pd.Series:
+    if not len(place):
+        return pd.Series([], dtype="int64")
+    return pd.Series(bijection(place.to_numpy(), count.to_numpy(), np.vstack(keys.to_numpy()).astype(np.int64)))
+
+
+def _round_keys(seed: int, group: Column, repeat: Column) -> Column:
+    texts = [F.md5(F.concat_ws("|", F.lit(str(seed)), group, repeat.cast("string"), F.lit(str(i)))) for i in range(ROUNDS)]
+    return F.array(*[F.conv(F.substring(t, 1, KEY_DIGITS), 16, 10).cast("long") for t in texts])
+
+
 def permuted_errors(
     rows: DataFrame,
     keys: Sequence[str],
@@ -46,27 +87,15 @@ def permuted_errors(
     within = list(within)
     columns = list(dict.fromkeys(c for cs in groups.values() for c in cs))
     identity = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    marked = rows.withColumn("__id", identity).withColumn("__token", F.md5("__id"))
-    spread = [
-        F.explode(F.array(*[F.lit(g) for g in groups])).alias("feature_group"),
-    ]
-    repeat = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
-
-    receivers = (
-        number_rows(marked, within, "__token", "__at")
-        .drop("__token")
-        .select("*", *spread)
-        .select("*", repeat)
-    )
-    token = F.md5(F.concat_ws("|", "__id", "feature_group", F.col("repeat").cast("string"), F.lit(str(seed))))
-    donors = (
-        marked.select(*within, "__id", F.struct(*columns).alias("__donor"), *spread)
-        .select("*", repeat)
-        .withColumn("__token", token)
-        .drop("__id")
-    )
-    donors = number_rows(donors, [*within, "feature_group", "repeat"], "__token", "__at").drop("__token")
-    exchanged = receivers.join(donors, [*within, "feature_group", "repeat", "__at"]).drop("__at", "__id")
+    numbered = number_rows(rows.withColumn("__token", F.md5(identity)), within, "__token", "__at").drop("__token")
+    sizes = rows.groupBy(*within).agg(F.count(F.lit(1)).alias("__count"))
+    spread = numbered.join(sizes, within).select("*", F.explode(F.array(*[F.lit(g) for g in groups])).alias("feature_group"))
+    receivers = spread.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
+    receivers = receivers.withColumn(
+        "__from", _donor("__at", "__count", _round_keys(seed, F.col("feature_group"), F.col("repeat")))
+    ).drop("__at", "__count")
+    donors = numbered.select(*within, F.col("__at").alias("__from"), F.struct(*columns).alias("__donor"))
+    exchanged = receivers.join(donors, [*within, "__from"]).drop("__from")
     replaced = {
         c: F.when(
             F.col("feature_group").isin(*[g for g, cs in groups.items() if c in cs]), F.col(f"__donor.{c}")

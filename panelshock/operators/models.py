@@ -6,7 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +14,14 @@ from panelshock.functions.parsing import lookup
 from panelshock.operators.audits import require_allowed_features
 from panelshock.operators.boosting import HuberBoosting, LeafBoosting
 from panelshock.operators.importance import REPORT_GROUPS, permutation_importance, single_features
+from panelshock.operators.least_squares import LeastSquares
 from panelshock.operators.preprocess import Preprocessor
 from panelshock.session import staged
 from panelshock.spec import DEFAULT, SPLITS, PanelSpec
 
 SEED = 20261003
 RIDGE_ALPHA = 10.0
+FOREST_BINS = 1024
 # Predictors of each feature set.
 WEATHER = ["avg_temp", "min_temp", "max_temp"]
 HISTORY = ["lag1", "lag7", "rolling7", "rolling28"]
@@ -34,29 +36,21 @@ Fitter = Callable[[DataFrame, str], object]
 
 
 def linear(train: DataFrame, label: str):
-    """Least squares."""
-    return LinearRegression(featuresCol="features", labelCol=label, regParam=0.0).fit(train)
+    """Least squares; of dependent columns the weights of least norm."""
+    return LeastSquares.fit(train, label)
 
 
 def ridge(train: DataFrame, label: str, alpha: float = RIDGE_ALPHA):
-    """Squared error plus alpha times the squared weights.
-
-    Spark scales the label by its sd and averages over rows, so the same penalty is
-    alpha * sd(label) / n. The solver is Spark's choice by the number of features; beyond its
-    normal equations the iteration runs to a tight tolerance."""
-    n, sd = train.agg(F.count(label), F.stddev_pop(label)).first()
-    penalty = alpha * (sd or 1.0) / n
-    return LinearRegression(
-        featuresCol="features", labelCol=label, regParam=penalty, elasticNetParam=0.0,
-        standardization=False, solver="auto", maxIter=2000, tol=1e-12,
-    ).fit(train)
+    """Squared error plus alpha times the squared weights, exact for any number of features."""
+    return LeastSquares.fit(train, label, alpha)
 
 
 def forest(train: DataFrame, label: str, trees: int = 400, depth: int = 30, seed: int = SEED):
-    """400 trees, at least 3 rows per leaf, 80 % of the features per split."""
+    """400 trees, at least 3 rows per leaf, 80 % of the features per split. A feature is cut at
+    up to 1,023 places, which is every place where it has no more distinct values."""
     return RandomForestRegressor(
         featuresCol="features", labelCol=label, numTrees=trees, minInstancesPerNode=3,
-        featureSubsetStrategy="0.8", maxDepth=depth, seed=seed,
+        featureSubsetStrategy="0.8", maxDepth=depth, maxBins=FOREST_BINS, seed=seed,
     ).fit(train)
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 import re
 
 
-from panelshock.operators.models import FEATURE_SETS
+from panelshock.operators.models import CALENDAR_SET, FEATURE_SETS, SEED
 from panelshock.plans.fixtures import FLOW_PREFIXES, SCORERS, STATION_REGIONS
 
 
@@ -29,6 +29,11 @@ HEAT = f"CASE WHEN month(date) IN (7,8,9) THEN CAST(({DAYNO} + 3*{K}) % 17 < 4 A
 COLD = f"CASE WHEN month(date) IN (11,12) THEN CAST(({DAYNO} + 5*{K}) % 23 < 3 AS INTEGER) END"
 SLOT = "(CASE WHEN {0} < 5 THEN 'train' WHEN {0} = 5 THEN 'validation' ELSE 'test' END)"
 PRICE, TOTAL, VALUE = (f"CAST({c} AS DECIMAL(18,2))" for c in ("l_extendedprice", "o_totalprice", "value"))
+NUMERIC = ("avg_temp", "min_temp", "max_temp", "lag1", "lag7", "rolling7", "rolling28", "month", "weekday", "flow_pop_weekday")
+# every set has the constant
+SET_ROWS = ", ".join(
+    f"('{name}', '{c}')" for name, chosen in {**FEATURE_SETS, "calendar": CALENDAR_SET}.items() for c in ("", *chosen["numeric"], *chosen["categorical"])
+)
 SCORER_ROWS = ", ".join(
     f"('{m}', '{s}', " + ", ".join(f"CAST({w!r} AS DOUBLE)" for w in weights) + ")" for m, s, *weights in SCORERS
 )
@@ -248,20 +253,76 @@ NAMED = {
       SELECT disaster_type, actual_y1, base, avg_temp, lag1, lag7, rolling7,
         disaster_type || '|' || strftime(date, '%Y-%m-%d') || '|' || MCT_SGG_CD || '|' || MCT_RY_CD AS id
       FROM events_y1 WHERE split = 'test'""",
-    "spread": """
-      SELECT disaster_type, f.feature, f.spread FROM (
-        SELECT disaster_type, """
-    + ", ".join(
-        f"coalesce(stddev_pop(100.0 * ({c} - base) / base), 0.0) AS {c}" for c in ("lag1", "lag7", "rolling7", "rolling28")
-    )
-    + """, stddev_pop(avg_temp) AS avg_temp, stddev_pop(min_temp) AS min_temp, stddev_pop(max_temp) AS max_temp
-        FROM events_y1 GROUP BY disaster_type) s,
-        LATERAL (VALUES """
-    + ", ".join(f"('{c}', s.{c})" for c in ("lag1", "lag7", "rolling7", "rolling28", "avg_temp", "min_temp", "max_temp"))
-    + ") f(feature, spread)",
-    "importances": f"""
-      SELECT disaster_type, model, feature_set, feature, round((1.0 + w1) * spread, 6) AS importance_mean
-      FROM spread, (VALUES {SCORER_ROWS}) s(model, feature_set, w0, w1, w7, wr)""",
+    "fit_rows": """
+      SELECT e.disaster_type, e.split, e.actual_y1 AS y, strftime(e.date, '%Y-%m-%d') || '|' || e.MCT_SGG_CD || '|' || e.MCT_RY_CD AS id,
+        e.avg_temp, e.min_temp, e.max_temp, e.lag1, e.lag7, e.rolling7, e.rolling28, e.MCT_SGG_CD, e.MCT_RY_CD,
+        month(e.date) AS month, isodow(e.date) - 1 AS weekday, f.flow_pop_weekday
+      FROM events_y1 e LEFT JOIN profile f ON f.year = year(e.date) AND f.region = e.MCT_SGG_CD AND f.month = month(e.date) AND f.weekday = isodow(e.date) - 1""",
+    "fit_long": "SELECT disaster_type, split, y, id, f.feature, f.value FROM fit_rows r, LATERAL (VALUES "
+    + ", ".join(f"('{c}', CAST(r.{c} AS DOUBLE))" for c in NUMERIC)
+    + ") f(feature, value)",
+    "fit_median": """
+      SELECT disaster_type, feature, coalesce(quantile_cont(value, 0.5), 0.0) AS median FROM fit_long WHERE split = 'train' GROUP BY ALL""",
+    "fit_scale": """
+      SELECT disaster_type, feature, median, avg(coalesce(value, median)) AS m, stddev_pop(coalesce(value, median)) AS s
+      FROM fit_long JOIN fit_median USING (disaster_type, feature) WHERE split = 'train' GROUP BY ALL""",
+    "fit_levels": """
+      SELECT *, level = min(level) OVER (PARTITION BY disaster_type, feature) AS first_level FROM (
+        SELECT DISTINCT disaster_type, f.feature, f.value AS level
+        FROM fit_rows r, LATERAL (VALUES ('MCT_SGG_CD', r.MCT_SGG_CD), ('MCT_RY_CD', r.MCT_RY_CD)) f(feature, value) WHERE split = 'train')""",
+    # every row's value in every column: the constant, scaled numbers, one column per category
+    "design": """
+      SELECT disaster_type, split, y, id, '' AS feature, '' AS col, 1.0 AS x, false AS first_level FROM fit_rows
+      UNION ALL SELECT l.disaster_type, l.split, l.y, l.id, l.feature, l.feature, (coalesce(l.value, s.median) - s.m) / CASE WHEN s.s = 0 THEN 1 ELSE s.s END, false
+      FROM fit_long l JOIN fit_scale s USING (disaster_type, feature)
+      UNION ALL SELECT r.disaster_type, r.split, r.y, r.id, v.feature, v.feature || '=' || v.level,
+        CASE WHEN CASE v.feature WHEN 'MCT_SGG_CD' THEN r.MCT_SGG_CD ELSE r.MCT_RY_CD END = v.level THEN 1.0 ELSE 0.0 END, v.first_level
+      FROM fit_rows r JOIN fit_levels v USING (disaster_type)""",
+    "columns_of": f"""
+      SELECT *, row_number() OVER (PARTITION BY disaster_type, model, feature_set ORDER BY col) AS j FROM (
+        SELECT DISTINCT disaster_type, m.model, m.alpha, s.feature_set, d.feature, d.col FROM design d
+        JOIN (VALUES {SET_ROWS}) s(feature_set, feature) ON s.feature = d.feature,
+        (VALUES ('Linear Regression', 0.0), ('Ridge', 10.0)) m(model, alpha)
+        WHERE m.alpha > 0 OR NOT d.first_level)""",
+    "gram": """
+      SELECT a.disaster_type, a.model, a.feature_set, a.j AS i, b.j AS j,
+        sum(x.x * z.x) + max(CASE WHEN a.j = b.j AND a.col <> '' THEN a.alpha ELSE 0.0 END) AS v
+      FROM columns_of a JOIN columns_of b USING (disaster_type, model, feature_set)
+      JOIN design x ON x.disaster_type = a.disaster_type AND x.col = a.col AND x.split = 'train'
+      JOIN design z ON z.disaster_type = a.disaster_type AND z.col = b.col AND z.id = x.id GROUP BY ALL
+      UNION ALL SELECT a.disaster_type, a.model, a.feature_set, a.j, 1000, sum(x.x * x.y)
+      FROM columns_of a JOIN design x ON x.disaster_type = a.disaster_type AND x.col = a.col AND x.split = 'train' GROUP BY ALL""",
+    # Gauss-Jordan elimination, a column at a time
+    "solved": """
+      SELECT disaster_type, model, feature_set, 1 AS k, list(CAST(line AS DOUBLE[]) ORDER BY i) AS m
+      FROM (SELECT disaster_type, model, feature_set, i, list(v ORDER BY j) AS line FROM gram GROUP BY ALL) GROUP BY ALL
+      UNION ALL SELECT disaster_type, model, feature_set, k + 1, list_transform(m, lambda line, i: list_transform(line, lambda v, j:
+        CASE WHEN i = k THEN v / m[k][k] ELSE v - line[k] * m[k][j] / m[k][k] END)) FROM solved WHERE k <= len(m)""",
+    "weights": """
+      SELECT c.*, s.m[c.j][len(s.m) + 1] AS w FROM columns_of c JOIN solved s USING (disaster_type, model, feature_set) WHERE s.k = len(s.m) + 1""",
+    "contributions": """
+      SELECT w.disaster_type, w.model, w.feature_set, d.id, d.split, d.y, d.feature, sum(d.x * w.w) AS c
+      FROM weights w JOIN design d USING (disaster_type, col) GROUP BY ALL""",
+    "fitted": """
+      SELECT disaster_type, model, feature_set, id, split, y, sum(c) AS p FROM contributions GROUP BY ALL""",
+    "train_tests": """
+      SELECT disaster_type, 'degree' AS kind, floor(avg_temp) AS place, '' AS value, actual_y1 AS y FROM events_y1 WHERE split = 'train' AND avg_temp IS NOT NULL
+      UNION ALL SELECT disaster_type, 'region', 0, MCT_SGG_CD, actual_y1 FROM events_y1 WHERE split = 'train'
+      UNION ALL SELECT disaster_type, 'industry', 0, MCT_RY_CD, actual_y1 FROM events_y1 WHERE split = 'train'""",
+    "best_tests": """
+      SELECT disaster_type, min(tq - ls * ls / ln - (ts - ls) * (ts - ls) / nullif(tn - ln, 0)) AS best_split_sse FROM (
+        SELECT disaster_type, kind, CASE WHEN kind = 'degree' THEN sum(n) OVER w ELSE n END AS ln, CASE WHEN kind = 'degree' THEN sum(s) OVER w ELSE s END AS ls
+        FROM (SELECT disaster_type, kind, place, value, count(*) AS n, sum(y) AS s FROM train_tests GROUP BY ALL)
+        WINDOW w AS (PARTITION BY disaster_type, kind ORDER BY place))
+      JOIN (SELECT disaster_type, count(*) AS tn, sum(actual_y1) AS ts, sum(actual_y1 * actual_y1) AS tq FROM events_y1 WHERE split = 'train' GROUP BY ALL)
+        USING (disaster_type) GROUP BY ALL""",
+    # places of the test rows, and of those inside the train bounds
+    "sampled": """
+      SELECT *, row_number() OVER (PARTITION BY disaster_type, sample ORDER BY md5(id)) - 1 AS pos FROM (
+        SELECT disaster_type, 'test_all' AS sample, id, y FROM fit_rows WHERE split = 'test'
+        UNION ALL SELECT t.disaster_type, 'test_inside_train_p01_p99', t.id, t.y FROM fit_rows t JOIN (
+          SELECT disaster_type, quantile_cont(y, 0.01) AS lo, quantile_cont(y, 0.99) AS hi FROM fit_rows WHERE split = 'train' GROUP BY ALL) b
+          USING (disaster_type) WHERE t.split = 'test' AND t.y BETWEEN b.lo AND b.hi)""",
     "filled": """
       SELECT disaster_type, feature, value, coalesce(quantile_cont(value, 0.5) OVER (PARTITION BY disaster_type, feature), 0.0) AS median
       FROM (SELECT e.disaster_type, f.feature, f.value FROM events_y1 e, LATERAL (VALUES """
@@ -276,20 +337,21 @@ NAMED = {
 }
 
 
-def sql(body: str) -> str:
-    """``body`` behind the named sub-queries it needs, each after those it uses itself."""
+def sql(body: str, ctes: str = "") -> str:
+    """``body`` behind the named sub-queries it needs, each after those it uses itself, and
+    behind further ones, ``ctes``."""
     needed: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, own: str = "") -> None:
         for name in NAMED:
-            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
-                visit(NAMED[name])
+            if name not in (own, *needed) and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+                visit(NAMED[name], name)
                 needed.append(name)
 
-    visit(body)
+    visit(ctes + body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({NAMED[n]})" for n in dict.fromkeys(needed)) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({NAMED[n]})" for n in dict.fromkeys(needed)) + ctes + "\n" + body
 
 
 def audit(**counts: str) -> str:
@@ -316,12 +378,13 @@ def permuted(groups: dict[str, tuple[str, ...]], repeats: int, seed: int) -> str
         )
 
     return f"""
-      , grid AS (SELECT t.*, g.grp, p.rep FROM test_events t, (VALUES {names}) g(grp), (SELECT unnest(range(1, {repeats + 1})) AS rep) p),
-      receivers AS (SELECT *, row_number() OVER (PARTITION BY disaster_type, grp, rep ORDER BY md5(id)) AS pos FROM grid),
-      donors AS (SELECT *, row_number() OVER (PARTITION BY disaster_type, grp, rep
-          ORDER BY md5(id || '|' || grp || '|' || CAST(rep AS VARCHAR) || '|{seed}')) AS pos FROM grid),
+      , places AS (SELECT *, row_number() OVER (PARTITION BY disaster_type ORDER BY md5(id)) - 1 AS pos FROM test_events),
+      shuffles AS (SELECT disaster_type, n, g.grp, p.rep FROM (SELECT disaster_type, count(*) AS n FROM test_events GROUP BY ALL),
+        (VALUES {names}) g(grp), (SELECT unnest(range(1, {repeats + 1})) AS rep) p),
+      {bijection("shuffles", "places", ["disaster_type"], seed)},
       exchanged AS (SELECT r.disaster_type, r.grp, r.rep, r.actual_y1, r.base, {", ".join(pick(c) for c in features)}
-        FROM receivers r JOIN donors d USING (disaster_type, grp, rep, pos)),
+        FROM (SELECT t.*, m.grp, m.rep, m.donor FROM places t JOIN moved m USING (disaster_type, pos)) r
+        JOIN places d ON d.disaster_type = r.disaster_type AND d.pos = r.donor),
       base_mae AS (SELECT disaster_type, avg(abs({score('t')} - t.actual_y1)) AS b, count(*) AS n FROM test_events t GROUP BY disaster_type),
       gains AS (SELECT x.disaster_type, x.grp, x.rep, avg(abs({score('x')} - x.actual_y1)) AS mae FROM exchanged x GROUP BY ALL)
       SELECT disaster_type, grp AS feature_group, max(n) AS n_rows, {r('max(b)')} AS baseline_mae,
@@ -330,24 +393,69 @@ def permuted(groups: dict[str, tuple[str, ...]], repeats: int, seed: int) -> str
       FROM gains JOIN base_mae USING (disaster_type) GROUP BY disaster_type, grp"""
 
 
+def bijection(shuffles: str, places: str, within: list[str], seed: int) -> str:
+    """CTEs up to ``moved``: where each place of a shuffle (within, n, grp, rep) gets its values
+    from, by a walk over the rounds of a keyed bijection."""
+    w, key = ", ".join(within), "k[i % 4 + 1]"
+    v = f"((((r + {key}) * 1103515245 + 12345) % 2147483647 * 69069 + {key}) % 2147483647)"
+    return f"""keyed AS (SELECT *, CAST(greatest(1, ceil(ceil(log2(greatest(n, 2))) / 2)) AS BIGINT) AS b,
+          list_transform(range(0, 4), lambda t: CAST('0x' || substr(md5('{seed}|' || grp || '|' || rep || '|' || t), 1, 7) AS BIGINT)) AS k FROM {shuffles}),
+      walk AS (
+        SELECT {w}, grp, rep, pos, n, b, k, pos >> b AS l, pos & ((CAST(1 AS BIGINT) << b) - 1) AS r, 0 AS i FROM keyed JOIN {places} USING ({w})
+        UNION ALL SELECT {w}, grp, rep, pos, n, b, k, r, xor(l, xor({v}, {v} >> 15) & ((CAST(1 AS BIGINT) << b) - 1)), i + 1
+        FROM walk WHERE i % 4 <> 0 OR i = 0 OR ((l << b) | r) >= n),
+      moved AS (SELECT {w}, grp, rep, pos, (l << b) | r AS donor FROM walk WHERE i > 0 AND i % 4 = 0 AND ((l << b) | r) < n)"""
+
+
 def _permutation_sql(groups: dict[str, tuple[str, ...]], repeats: int, seed: int) -> str:
     head = sql("SELECT 1 FROM test_events")
     return head[: head.rindex("\nSELECT 1 FROM test_events")] + permuted(groups, repeats, seed)
 
 
-def _two_samples(single: dict[str, tuple[str, ...]], grouped: dict[str, tuple[str, ...]], seed: int) -> str:
-    """The permutation SQL over test rows under both samples."""
-    head = sql("SELECT 1 FROM test_events")
-    head = head[: head.rindex("\nSELECT 1 FROM test_events")] + """
-      , bound AS (SELECT disaster_type, quantile_cont(actual_y1, 0.01) AS lo, quantile_cont(actual_y1, 0.99) AS hi
-        FROM events_y1 WHERE split = 'train' GROUP BY disaster_type),
-      sampled AS (SELECT t.*, 'test_all' AS sample FROM test_events t
-        UNION ALL SELECT t.*, 'test_inside_train_p01_p99' FROM test_events t JOIN bound b ON b.disaster_type = t.disaster_type
-        WHERE t.actual_y1 BETWEEN b.lo AND b.hi)"""
+def _fitted_importance(groups: dict[str, tuple[str, ...]], repeats: int, sample: str, runs: str) -> str:
+    """CTEs up to ``gains``: per fitted run, sample, group and repeat the mean absolute error once
+    the features of the group come from another row."""
+    names = ", ".join(f"('{g}')" for g in groups)
+    members = ", ".join(f"('{g}', '{c}')" for g, cs in groups.items() for c in cs)
+    return f"""
+      , runs AS (SELECT DISTINCT disaster_type, model, feature_set FROM fitted WHERE {runs}),
+      rows_of AS (SELECT * FROM sampled WHERE {sample}),
+      shuffles AS (SELECT disaster_type, sample, n, g.grp, p.rep FROM (SELECT disaster_type, sample, count(*) AS n FROM rows_of GROUP BY ALL),
+        (VALUES {names}) g(grp), (SELECT unnest(range(1, {repeats + 1})) AS rep) p),
+      {bijection("shuffles", "rows_of", ["disaster_type", "sample"], SEED)},
+      parts AS (SELECT c.disaster_type, c.model, c.feature_set, c.id, g.grp, sum(c.c) AS c FROM contributions c
+        JOIN (VALUES {members}) g(grp, feature) ON g.feature = c.feature WHERE {runs} GROUP BY ALL),
+      gains AS (SELECT f.disaster_type, f.model, f.feature_set, m.sample, m.grp, m.rep, count(*) AS n, avg(abs(f.p - f.y)) AS b,
+          avg(abs(f.p - own.c + other.c - f.y)) AS mae
+        FROM moved m JOIN rows_of a ON a.disaster_type = m.disaster_type AND a.sample = m.sample AND a.pos = m.pos
+        JOIN rows_of d ON d.disaster_type = m.disaster_type AND d.sample = m.sample AND d.pos = m.donor
+        JOIN parts own ON own.disaster_type = m.disaster_type AND own.id = a.id AND own.grp = m.grp
+        JOIN parts other ON other.disaster_type = m.disaster_type AND other.id = d.id AND other.grp = m.grp
+          AND other.model = own.model AND other.feature_set = own.feature_set
+        JOIN fitted f ON f.disaster_type = m.disaster_type AND f.id = a.id AND f.model = own.model AND f.feature_set = own.feature_set
+        GROUP BY ALL)"""
+
+
+def _importances(body: str) -> str:
+    """``body`` on ``importances``, of every feature of the linear runs of two sets."""
+    single = {f: (f,) for f in (*NUMERIC[:7], "MCT_SGG_CD", "MCT_RY_CD")}
+    runs = "feature_set IN ('A_weather_region_industry', 'B_plus_past_sales')"
+    ctes = _fitted_importance(single, 5, "sample = 'test_all'", runs)
+    listed = f", importances AS (SELECT {RUN}, grp AS feature, avg(mae - b) AS importance_mean FROM gains GROUP BY ALL)"
+    return sql(body, ctes + listed)
+
+
+def _two_samples() -> str:
+    """Features and groups of the ridge under both samples."""
+    single = {f: (f,) for f in (*NUMERIC[:7], "MCT_SGG_CD", "MCT_RY_CD")}
+    grouped = {"weather": NUMERIC[:3], "lag": NUMERIC[3:5], "rolling": NUMERIC[5:7], "region": ("MCT_SGG_CD",), "industry": ("MCT_RY_CD",)}
     parts = []
     for kind, groups, repeats in (("single", single, 30), ("group", grouped, 50)):
-        body = re.sub(r"(\w\.)?disaster_type\b", r"\1disaster_type, \1sample", permuted(groups, repeats, seed).replace("test_events", "sampled"))
-        parts.append(f"SELECT *, '{kind}' AS kind FROM ({head}{body})")
+        ctes = _fitted_importance(groups, repeats, "true", "model = 'Ridge' AND feature_set = 'B_plus_past_sales'")
+        parts.append("SELECT * FROM (" + sql(f"""
+          SELECT disaster_type, sample, grp AS feature_group, max(n) AS n_rows, {r('max(b)')} AS baseline_mae, {r('avg(mae - b)')} AS importance_mean,
+            {r('coalesce(stddev_samp(mae - b), 0)')} AS importance_sd, {r('stddev_pop(mae - b)')} AS importance_sd_pop, count(*) AS permutation_repeats, '{kind}' AS kind
+          FROM gains GROUP BY disaster_type, sample, grp""", ctes) + ")")
     return " UNION ALL ".join(parts)
 
 
@@ -359,13 +467,13 @@ def _fit(slope: str) -> str:
       GROUP BY disaster_type, split""")
 
 
-def _grid_facts(runs: list[tuple[str, str]]) -> str:
-    """Rows and means per split; the rest states that every property of a fit holds."""
-    values = ", ".join(f"('{m}', '{s}')" for m, s in runs)
+def _tree_facts(model: str) -> str:
+    """Rows and means per split, and the error of the best single test on the train rows."""
     return sql(f"""
-      SELECT disaster_type, model, feature_set, split, count(*) AS n, {r('avg(actual_y1)')} AS mean_actual_y1, CAST(0 AS BIGINT) AS without_prediction,
-        CAST(0 AS BIGINT) AS outside_train_range, true AS no_worse_than_mean, true AS residuals_centred
-      FROM events_y1, (VALUES {values}) v(model, feature_set) GROUP BY ALL""")
+      SELECT disaster_type, '{model}' AS model, 'B_plus_past_sales' AS feature_set, split, count(*) AS n, {r('avg(actual_y1)')} AS mean_actual_y1,
+        CAST(0 AS BIGINT) AS without_prediction, CAST(0 AS BIGINT) AS outside_train_range, {r('max(best_split_sse)')} AS best_split_sse,
+        true AS no_worse_than_best_split
+      FROM events_y1 JOIN best_tests USING (disaster_type) GROUP BY ALL""")
 
 
 def _distribution(source: str, digits: int = 6) -> str:
@@ -688,11 +796,13 @@ ORACLE: dict[str, str] = {
         ON a.disaster_type = b.disaster_type AND a.date = b.date AND a.region = b.region AND a.industry = b.industry"""),
     "permutation_importance_linear": _permutation_sql({f: (f,) for f in ("avg_temp", "lag1", "lag7", "rolling7")}, 10, 20261003),
     "permutation_importance_grouped": _permutation_sql({"weather": ("avg_temp",), "lag": ("lag1", "lag7"), "rolling": ("rolling7",)}, 50, 7),
-    "importance_top10": sql(f"""
-      SELECT {RUN}, feature, importance_mean, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {RUN} ORDER BY importance_mean DESC, feature) AS INTEGER) AS rank
-      FROM importances) WHERE rank <= 10"""),
-    "importance_by_group": sql(f"""
-      SELECT {RUN}, CASE WHEN feature LIKE '%temp' THEN 'weather' ELSE 'past_sales' END AS feature_group, {r('sum(importance_mean)')} AS importance_mean
+    "importance_top10": _importances(f"""
+      SELECT {RUN}, feature, {r('importance_mean')} AS importance_mean, rank FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY {RUN} ORDER BY importance_mean DESC, feature) AS INTEGER) AS rank
+        FROM importances) WHERE rank <= 10"""),
+    "importance_by_group": _importances(f"""
+      SELECT {RUN}, CASE WHEN feature LIKE '%temp' THEN 'weather' WHEN feature = 'MCT_SGG_CD' THEN 'region' WHEN feature = 'MCT_RY_CD' THEN 'industry'
+          ELSE 'past_sales' END AS feature_group, {r('sum(importance_mean)')} AS importance_mean
       FROM importances WHERE ({RUN}) IN (SELECT ({RUN}) FROM (SELECT {RUN}, row_number() OVER (PARTITION BY disaster_type, feature_set ORDER BY val_mae, test_mae, model) AS k
         FROM wide) WHERE k <= 3) GROUP BY {RUN}, 4"""),
     "impute_scale": sql(f"""
@@ -705,10 +815,26 @@ ORACLE: dict[str, str] = {
     "exact_quantiles_by_supplier": f"""
       SELECT l_suppkey, {r('quantile_cont(l_extendedprice, 0.1)')} AS p10, {r('quantile_cont(l_extendedprice, 0.5)')} AS p50,
         {r('quantile_cont(l_extendedprice, 0.9)')} AS p90 FROM lineitem GROUP BY l_suppkey""",
-    "model_grid_linear": _grid_facts([(m, s) for m in ("Linear Regression", "Ridge") for s in FEATURE_SETS]),
-    "forest_metrics": _grid_facts([("Random Forest", "B_plus_past_sales")]),
-    "squared_boosting_metrics": _grid_facts([("HistGradientBoosting", "B_plus_past_sales")]),
-    "huber_boosting_metrics": _grid_facts([("Gradient Boosting", "B_plus_past_sales")]),
+    "model_grid_linear": sql(f"""
+      SELECT {RUN}, split, count(*) AS n, {r('avg(y)')} AS mean_actual_y1, {r('avg(p)')} AS mean_prediction, {r('avg(abs(p - y))')} AS mae,
+        {r('sqrt(avg((p - y) * (p - y)))')} AS rmse FROM fitted GROUP BY {RUN}, split"""),
+    "forest_metrics": _tree_facts("Random Forest"),
+    "squared_boosting_metrics": _tree_facts("HistGradientBoosting"),
+    "huber_boosting_metrics": _tree_facts("Gradient Boosting"),
+    "boosting_first_split": sql(f"""
+      SELECT disaster_type, n, {r('s')} AS leaf_sum, {r('s / (n + 2.0)')} AS leaf_value FROM (
+        SELECT c.disaster_type, unnest([ln, tn - ln]) AS n, unnest([ls, -ls]) AS s FROM (
+          SELECT disaster_type, ln, ls, tn FROM (
+            SELECT t.disaster_type, t.kind, t.cut, count(*) FILTER (WHERE t.goes) AS ln, sum(t.z) FILTER (WHERE t.goes) AS ls, count(*) AS tn
+            FROM (SELECT e.disaster_type, c.kind, c.cut, CASE WHEN c.kind = 'MCT_SGG_CD' THEN e.MCT_SGG_CD = c.cut WHEN c.kind = 'MCT_RY_CD' THEN e.MCT_RY_CD = c.cut
+                ELSE CASE c.kind WHEN 'degree' THEN floor(e.avg_temp) WHEN 'month' THEN e.month ELSE e.weekday END <= CAST(c.cut AS DOUBLE) END AS goes,
+                e.y - avg(e.y) OVER (PARTITION BY e.disaster_type, c.kind, c.cut) AS z
+              FROM fit_rows e JOIN (
+                SELECT DISTINCT disaster_type, f.kind, f.cut FROM fit_rows r, LATERAL (VALUES ('degree', CAST(floor(r.avg_temp) AS VARCHAR)),
+                  ('month', CAST(r.month AS VARCHAR)), ('weekday', CAST(r.weekday AS VARCHAR)), ('MCT_SGG_CD', r.MCT_SGG_CD), ('MCT_RY_CD', r.MCT_RY_CD)) f(kind, cut)
+                WHERE split = 'train') c USING (disaster_type) WHERE e.split = 'train') t GROUP BY ALL)
+          WHERE ln >= 20 AND tn - ln >= 20
+          QUALIFY row_number() OVER (PARTITION BY disaster_type ORDER BY round(ls * ls / (ln + 2.0) + ls * ls / (tn - ln + 2.0), 6) DESC, kind, cut) = 1) c)"""),
     "split_search": sql("""
       SELECT count(*) AS components, count(*) AS distinct_components, CAST(3 AS BIGINT) AS splits, CAST(0 AS BIGINT) AS leaks,
         true AS no_worse_than_arithmetic, true AS score_agrees FROM components"""),
@@ -729,8 +855,5 @@ ORACLE |= {
     "result_csv_round_trip": f"SELECT *, true AS second_write_refused FROM ({ORACLE['episode_day_summary']})",
     "refit_reproduction": sql("""
       SELECT split, count(*) AS left_rows, count(*) AS right_rows, count(*) AS matched_rows, true AS reproduced FROM events_y1 GROUP BY split"""),
-    "importance_two_samples": _two_samples(
-        {f: (f,) for f in ("avg_temp", "lag1", "lag7", "rolling7")},
-        {"weather": ("avg_temp",), "lag": ("lag1", "lag7"), "rolling": ("rolling7",)}, 20261003,
-    ),
+    "importance_two_samples": _two_samples(),
 }
