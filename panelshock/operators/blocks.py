@@ -24,7 +24,7 @@ from panelshock.session import staged, unstage
 
 BINS, BLOCK_ROWS, PART_ROWS, DIRECT = 255, 16_384, 262_144, 16
 # cells and leaves with at most so many rows are listed, not counted any further
-LISTED, CELL_BITS, LEAF_ROWS = 4096, 16, 256
+LISTED, CELL_BITS, LEAF_ROWS = 4096, 16, 512
 TOP = np.uint64(1 << 63)
 BLOCK = "x binary, y binary, f binary"
 

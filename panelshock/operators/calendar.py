@@ -33,27 +33,27 @@ def add_calendar_features(panel: DataFrame, spec: PanelSpec = DEFAULT) -> DataFr
 def audit_calendar_features(featured: DataFrame, spec: PanelSpec = DEFAULT, tolerance: float = 1e-8) -> DataFrame:
     """Re-derive every lag and window by another path and count the differences.
 
-    Each source day is sent forward to the days that use it (an equi join on exact dates, no
-    window), so the path shares nothing with ``add_calendar_features``. One row per feature."""
-    widest = max([*LAGS.values(), *ROLLING.values()])
-    sent = featured.select(
-        *spec.entity,
-        F.explode(F.sequence(F.lit(1), F.lit(widest))).alias("offset"),
-        F.col(spec.date).alias("source"),
-        F.col(spec.measure).alias("value"),
-    ).withColumn(spec.date, F.date_add("source", F.col("offset")))
-    rebuilt = sent.groupBy(*spec.key).agg(
-        *[F.max(F.when(F.col("offset") == n, F.col("value"))).cast("double").alias(f"x_{c}") for c, n in LAGS.items()],
-        *[
-            F.when(
-                F.count(F.when(F.col("offset") <= n, F.col("value"))) == n,
-                F.sum(F.when(F.col("offset") <= n, F.col("value"))).cast("double") / n,
-            ).alias(f"x_{c}")
-            for c, n in ROLLING.items()
-        ],
+    Each day carries the running sum and count of its series and is sent forward to the days
+    that look back to it: yesterday and the first day of each window. A window is a difference of
+    two running sums, valid where the counts show a value on each of its days. The panel is
+    shuffled once, by series; days meet inside their series. One row per feature."""
+    offsets = sorted({0, 1, *LAGS.values(), *ROLLING.values()})
+    value, names = F.col(spec.measure), [*LAGS, *ROLLING]
+    upto = W.partitionBy(*spec.entity).orderBy(spec.date).rowsBetween(W.unboundedPreceding, 0)
+    running = featured.select(
+        *spec.key, *names, value.alias("value"), F.sum(F.coalesce(value, F.lit(0))).over(upto).alias("total"), F.count(value).over(upto).alias("present")
     )
-    names = [*LAGS, *ROLLING]
-    joined = featured.select(*spec.key, *names).join(rebuilt, list(spec.key), "left")
+    sent = running.withColumn("offset", F.explode(F.array(*[F.lit(n) for n in offsets]))).withColumn(spec.date, F.date_add(spec.date, F.col("offset")))
+    at = {n: F.max(F.when(F.col("offset") == n, F.struct("value", "total", "present"))).alias(f"at{n}") for n in offsets if n}
+    own = F.max(F.when(F.col("offset") == 0, F.struct(*names))).alias("own")
+    met = sent.groupBy(*spec.key).agg(own, F.count_if(F.col("offset") == 0).alias("days"), *at.values()).where("days > 0")
+    rebuilt = {f"x_{c}": F.col(f"at{n}.value").cast("double") for c, n in LAGS.items()}
+    for c, n in ROLLING.items():
+        first, last = f"at{n}", "at1"
+        found = F.col(f"{last}.present") - F.col(f"{first}.present") + F.col(f"{first}.value").isNotNull().cast("int")
+        total = F.col(f"{last}.total") - F.col(f"{first}.total") + F.col(f"{first}.value")
+        rebuilt[f"x_{c}"] = F.when(found == n, total.cast("double") / n)
+    joined = met.withColumns(rebuilt).select(*[F.col(f"own.{c}").alias(c) for c in names], *rebuilt)
     counts = []
     for c in names:
         a, b = F.col(c), F.col(f"x_{c}")

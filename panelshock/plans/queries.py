@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -719,11 +719,11 @@ def model_grid_linear(spark, sf):
 def best_single_split(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Least squared error of ``y`` that one test reaches per group: a whole degree of avg_temp
     at most, a region, or an industry."""
-    tests = F.array(
-        F.struct(F.lit("degree").alias("kind"), F.floor("avg_temp").cast("string").alias("value"), F.floor("avg_temp").alias("place")),
-        F.struct(F.lit("region"), F.col("region"), F.lit(0).cast("long")),
-        F.struct(F.lit("industry"), F.col("industry"), F.lit(0).cast("long")),
-    )
+    def test(kind: str, value, place) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), place.cast("long").alias("place"))
+
+    degree = F.floor("avg_temp")
+    tests = F.array(test("degree", degree, degree), *[test(c, F.col(c), F.lit(0)) for c in ("region", "industry")])
     cells = rows.select(*keys, "y", F.inline(tests)).where("value IS NOT NULL").groupBy(*keys, "kind", "value", "place").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")
     )

@@ -6,8 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from panelshock.plans import fixtures
+from panelshock.operators import models
+from panelshock.plans import fixtures, queries
 from panelshock.plans.oracle import ORACLE
 from panelshock.plans.queries import REGISTRY
 
@@ -49,6 +52,31 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert ordered(mine) == ordered(theirs)
 
 
+class TrainMean:
+    """What a fit that learns nothing predicts."""
+
+    def __init__(self, train, label):
+        self.mean = train.agg({label: "avg"}).first()[0]
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.lit(self.mean))
+
+
+@pytest.mark.parametrize("name, model", [
+    ("model_grid_linear", "Linear Regression"), ("model_grid_linear", "Ridge"), ("forest_metrics", "forest"),
+    ("squared_boosting_metrics", "squared_boosting"), ("huber_boosting_metrics", "huber_boosting"),
+])
+def test_a_constant_is_found_out(spark, duck, sf_dir, monkeypatch, name, model):
+    if name == "model_grid_linear":
+        monkeypatch.setitem(queries.LINEAR, model, TrainMean)
+    else:
+        monkeypatch.setattr(models, model, TrainMean)
+    df = REGISTRY[name](spark, sf_dir)
+    relation = duck.sql(ORACLE[name])
+    columns = sorted(df.columns)
+    assert ordered(df.select(*columns).collect()) != ordered(relation.project(", ".join(columns)).fetchall())
+
+
 def test_every_query_has_sql():
     assert set(REGISTRY) == set(ORACLE)
 
