@@ -33,14 +33,14 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A table (digest, keep_id, keep_chars) in ``buckets`` files per append, under a catalog
-    name and a path in a shared folder. Opening an existing path continues it."""
+    """A table (digest, keep_id, keep_chars, batch) in ``buckets`` files per append, under a
+    catalog name and a path in a shared folder. Opening an existing path continues it."""
 
     def __init__(self, spark, name: str, path: str, buckets: int = BUCKETS):
         self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
         if not spark.catalog.tableExists(name):
             spark.sql(
-                f"CREATE TABLE {name} (digest STRING, keep_id BIGINT, keep_chars BIGINT) USING parquet "
+                f"CREATE TABLE {name} (digest STRING, keep_id BIGINT, keep_chars BIGINT, batch STRING) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
             )
 
@@ -48,14 +48,21 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def lacking(self, digests: DataFrame) -> DataFrame:
-        """Rows of ``digests`` (one per digest) that the index does not hold: the anti-join."""
-        return digests.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
+    def before(self, batch: str) -> DataFrame:
+        """What other batches brought."""
+        return self.table().where(F.col("batch") != batch)
 
-    def append(self, rows: DataFrame) -> None:
-        """Add one row per new digest. Repartitioned by digest, each bucket gets one file."""
+    def lacking(self, digests: DataFrame, batch: str = "") -> DataFrame:
+        """Rows of ``digests`` (one per digest) that no other batch brought: the anti-join."""
+        return digests.hint("merge").join(self.before(batch).select("digest"), "digest", "left_anti")
+
+    def append(self, rows: DataFrame, batch: str) -> None:
+        """Add one row per new digest under the batch's name, unless an earlier attempt of the
+        batch has. Repartitioned by digest, each bucket gets one file."""
+        if not self.table().where(F.col("batch") == batch).isEmpty():
+            return
         (
-            rows.select("digest", "keep_id", "keep_chars")
+            rows.select("digest", "keep_id", "keep_chars", F.lit(batch).alias("batch"))
             .repartition(self.buckets, "digest")
             .write.mode("append")
             .format("parquet")
@@ -81,17 +88,28 @@ def representatives(rows: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(rows: DataFrame, index: DigestIndex, work: Workspace) -> DataFrame:
+def batch_name(groups: DataFrame) -> str:
+    """A name that equal batches share: the number and a checksum of their digests and rows."""
+    mixed = F.xxhash64("digest", "keep_id", "keep_chars", "group_size").cast("decimal(38,0)")
+    count, total = groups.agg(F.count(F.lit(1)), F.sum(mixed)).first()
+    return f"{count}-{total or 0}"
+
+
+def deduplicate(rows: DataFrame, index: DigestIndex, work: Workspace, batch: str | None = None) -> DataFrame:
     """Decide each row of a written tagged table against the index and append what is new.
 
     Returns (__row, __id, digest, keep_id, group_size, kept). Of equal texts of this batch the
-    best row stays if the index lacks the digest; else none stays and keep_id names the row
-    kept earlier. group_size counts this batch. A NULL text equals the empty one; of rows
-    equal in text, length and id exactly one stays; a kept row with NULL id has a NULL keep_id.
-    Extra columns do not matter; an empty batch appends nothing."""
+    best row stays if no earlier batch brought the digest; else none stays and keep_id names the
+    row kept earlier. group_size counts this batch. The index notes which batch brought a digest,
+    by the name ``batch`` or, unnamed, by a checksum of its rows: a batch that is run again, its
+    first result lost, decides as before and appends nothing twice. An append is one commit; one
+    that did not end has left nothing. A NULL text equals the empty one; of rows equal in text,
+    length and id exactly one stays; a kept row with NULL id has a NULL keep_id. Extra columns
+    do not matter; an empty batch appends nothing."""
     groups = work.table(representatives(rows), "groups")
-    fresh = work.table(index.lacking(groups), "fresh")
-    known = index.table()
+    batch = batch or batch_name(groups)
+    fresh = work.table(index.lacking(groups, batch), "fresh")
+    known = index.before(batch)
     decided = work.table(
         fresh.select("digest", "keep_id", "keep_row", "group_size").unionByName(
             groups.join(fresh, "digest", "left_anti")
@@ -100,7 +118,7 @@ def deduplicate(rows: DataFrame, index: DigestIndex, work: Workspace) -> DataFra
         ),
         "decided",
     )
-    index.append(fresh)
+    index.append(fresh, batch)
     return rows.withColumnRenamed("__digest", "digest").join(decided, "digest").select(
         "__row", "__id", "digest", "keep_id", "group_size", F.coalesce(F.col("__row") == F.col("keep_row"), F.lit(False)).alias("kept")
     )
