@@ -103,16 +103,30 @@ class LanguageModel:
     priors: np.ndarray
 
 
+def taught_parts(unit: bytes) -> list[bytes]:
+    """A unit in parts of at most LONGEST_TAUGHT bytes, cut between characters: languages
+    written without spaces teach their sentences this way."""
+    out, begin = [], 0
+    while len(unit) - begin > LONGEST_TAUGHT:
+        end = begin + LONGEST_TAUGHT
+        while end > begin + 1 and unit[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(unit[begin:end])
+        begin = end
+    return [*out, unit[begin:]]
+
+
 def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tongue = np.asarray(batch.column(0))
         for begin, end, text, begins, lengths, unit, rows in units(batch.column(1)):
             pairs, counts = np.unique(np.stack([tongue[begin:end][rows], unit], axis=1), axis=0, return_counts=True)
-            short = lengths[pairs[:, 1]] <= LONGEST_TAUGHT
-            pairs, counts = pairs[short], counts[short]
-            found = [bytes(text[begins[u] : begins[u] + lengths[u]]) for u in pairs[:, 1]]
+            parts = [taught_parts(bytes(text[begins[u] : begins[u] + lengths[u]])) for u in pairs[:, 1]]
+            many = [len(p) for p in parts]
+            found = [part for p in parts for part in p]
             yield pa.record_batch(
-                [pa.array(pairs[:, 0], pa.int32()), pa.array(found, pa.binary()), pa.array(counts, pa.int64())], ["language", "unit", "uses"]
+                [pa.array(np.repeat(pairs[:, 0], many), pa.int32()), pa.array(found, pa.binary()), pa.array(np.repeat(counts, many), pa.int64())],
+                ["language", "unit", "uses"],
             )
 
 
@@ -144,7 +158,7 @@ def _smoothed(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, work: Workspace, per_language: int = SAMPLE_PER_LANGUAGE, model: str = DEFAULT_MODEL) -> LanguageModel:
     """Learn from ``text`` and non-NULL ``lang`` of the rows whose crc32 of doc_id modulo 4 is
     not 2. The sample holds about ``per_language`` texts of each language, chosen by a hash of
-    the id; units above 40 bytes teach nothing. Rows without id or text are left out."""
+    the id; units above 40 bytes are taught in parts. Rows without id or text are left out."""
     spark = docs.sparkSession
     spread_vocabulary = spark.sparkContext.broadcast(read_vocabulary(model))
     vocabulary = spread_vocabulary.value
