@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -206,12 +207,12 @@ def _text_of(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(filters, bits: int):
     """Counted phrases of a task that pass the filters, as chunks of one cell and language:
-    (cell, lang, keys, counts, words, texts), the texts behind each other with a line end each.
+    (cell, lang, keys, counts, words, texts), the texts in order, parted by line ends, compressed.
     A phrase of 0 words stands for all word occurrences of its language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, long = filters.value
-        known = np.zeros(0, np.uint64)
+        known, packer = np.zeros(0, np.uint64), zstandard.ZstdCompressor()
         keys, counts, fresh, langs, texts, sizes = [], [], [], [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -227,9 +228,11 @@ def _count(filters, bits: int):
             for begin, end in zip([0, *cuts], [*cuts, len(own)]):
                 for x in range(begin, end, CHUNK):
                     at = order[x : min(x + CHUNK, end)]
-                    joined = b"\n".join(text.take(pa.array(at)).to_pylist())
+                    listed = sorted(zip(text.take(pa.array(at)).to_pylist(), at.tolist()))
+                    at = np.array([i for _, i in listed])
+                    joined = packer.compress(b"\n".join(t for t, _ in listed))
                     out.append((
-                        int(cell[x]), lang.dictionary[code[x]].as_py(), own[at].tobytes(), total[at].tobytes(),
+                        int(cell[x]), lang.dictionary[code[x]].as_py(), own[at].tobytes(), total[at].astype(np.uint32).tobytes(),
                         size[at].astype(np.int8).tobytes(), joined,
                     ))
             for part in (keys, counts, fresh, langs, texts, sizes):
@@ -294,7 +297,7 @@ def _total(threshold: int):
     their number is bounded by its counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, total, known = None, {}, {}
+        cell, total, known, unpacker = None, {}, {}, zstandard.ZstdDecompressor()
 
         def done() -> pa.RecordBatch:
             rows = [(*known[k], n) for k, n in total.items() if n >= threshold or known[k][2] == 0]
@@ -309,9 +312,9 @@ def _total(threshold: int):
                         yield done()
                     cell, total, known = c.as_py(), {}, {}
                 own = np.frombuffer(keys.as_buffer(), np.uint8).view(np.uint64).tolist()
-                many = np.frombuffer(counts.as_buffer(), np.uint8).view(np.int64).tolist()
+                many = np.frombuffer(counts.as_buffer(), np.uint8).view(np.uint32).tolist()
                 name = lang.as_py()
-                for k, n, size, text in zip(own, many, words.as_py(), texts.as_py().split(b"\n")):
+                for k, n, size, text in zip(own, many, words.as_py(), unpacker.decompress(texts.as_py()).split(b"\n")):
                     if k in total:
                         total[k] += n
                     else:
