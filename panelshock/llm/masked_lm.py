@@ -24,7 +24,7 @@ KNOWN_WORDS, OWN_CLASSES, SUFFIX_CLASSES = 20_000, 80, 48
 CLASSES = OWN_CLASSES + SUFFIX_CLASSES
 HIDDEN, SIDES = 32, (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 2048, 0.003
-CHUNK = 1 << 16
+CHUNK = 1 << 12  # rows whose class scores stay in a core's cache
 FLUSH = 1_500_000
 
 
@@ -168,9 +168,10 @@ class Learner:
         _, _, outputs, _ = _parts(self.flat)
         back = (p @ outputs.T) * (1.0 - hidden * hidden)
         for k in range(len(SIDES)):
-            one = np.zeros((len(target), CLASSES + 1), dtype=np.float32)
-            one[np.arange(len(target)), around[k]] = 1.0
-            g_in[k] = one.T @ back
+            order = np.argsort(around[k].astype(np.int16), kind="stable")
+            classes = around[k][order]
+            first = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+            g_in[k][classes[first]] = np.add.reduceat(back[order], first, axis=0)
         g_bias[:], g_out[:], g_base[:] = back.sum(axis=0), hidden.T @ p, p.sum(axis=0)
         self.steps += 1
         self.mean += 0.1 * (grad - self.mean)
@@ -194,7 +195,7 @@ def _learn(table, weights, turn: int):
                 classes, _ = table.value.look_up(words, suffix)
                 around = contexts(classes, rows)
                 picked = targets(len(words), turn)
-                picked = picked[np.argsort(words[picked] * np.uint64(0x9E3779B97F4A7C15), kind="stable")] if len(picked) <= BATCH else np.random.default_rng(turn).permutation(picked)
+                picked = np.random.default_rng(turn).permutation(picked)
                 for a in range(0, len(picked), BATCH):
                     part = picked[a : a + BATCH]
                     learner.step(around[:, part], classes[part])
