@@ -394,11 +394,44 @@ def shared_with_earlier(texts: DataFrame, work: Workspace) -> DataFrame:
     return spans.distinct()
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The span from the first word of a copy to its last, which is the same in the text kept."""
+    for batch in batches:
+        out = []
+        for begin, end, data, offsets in slices(batch.column("text")):
+            begins, ends, rows = word_spans(data, offsets)
+            cuts = np.searchsorted(rows, np.arange(end - begin + 1))
+            for i in np.flatnonzero(np.diff(cuts) >= SPAN_WORDS):
+                first, last = int(cuts[i]), int(cuts[i + 1])
+                span = (0, last - first, int(begins[first] - offsets[i]), int(ends[last - 1] - offsets[i]))
+                own, keep = batch.column("doc_id")[int(begin + i)].as_py(), batch.column("keep_doc_id")[int(begin + i)].as_py()
+                out.append((own, *span, keep, *span))
+        if out:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds * 2)], [f.split()[0] for f in SPANS.split(", ")])
+
+
+def _folded(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """One row per different text, of the least doc_id that has it, and the whole spans of its
+    copies in other documents. Copies are found by digest before anything is compared."""
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    marked = texts.withColumn("digest", F.sha2("text", 256))
+    owners = marked.groupBy("digest").agg(F.min("doc_id").alias("keep_doc_id"), F.count(F.lit(1)).alias("k"))
+    owners = work.table(owners.where("k > 1").drop("k"), "owners")
+    met = work.table(marked.join(owners, "digest", "left"), "met-texts")
+    alone = met.where("keep_doc_id IS NULL").select("doc_id", "text")
+    # of rows that share the kept doc_id and the text one is enough
+    kept = met.where("doc_id = keep_doc_id").groupBy("digest", "doc_id").agg(F.any_value("text").alias("text")).select("doc_id", "text")
+    copies = met.where("doc_id != keep_doc_id").select("doc_id", "keep_doc_id", "text").mapInArrow(_whole, SPANS)
+    return work.table(alone.unionByName(kept), "texts"), copies.distinct()
+
+
 def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
     """The repeated passages of ``docs(doc_id, text, ...)`` and the ones that stay for them:
     (doc_id, number, n_words, first_byte, last_byte, class_id, keep_doc_id, keep_number, removed).
 
-    A passage is a paragraph or a span around anchors; passages of a document may overlap.
+    A passage is a paragraph, a span around anchors, or a whole text that an earlier document
+    has as well; such copies are compared with nothing else. Passages may overlap.
     number is the place of its first word, from 0, the bytes are UTF-8 places in the text.
     class_id names a cluster of paragraphs linked by 100 * |A and B| >= 80 * |A or B|, whose
     first one by (doc_id, number) stays, or an earlier span with the later ones that agree with
@@ -407,7 +440,7 @@ def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
     row, nor have clusters of nothing else. NULL, empty and short texts repeat nothing. Rows
     without doc_id are left out; rows with equal doc_id are one document, which does not repeat
     itself at the same place. Extra columns are ignored."""
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts, copies = _folded(docs, work)
     units = work.table(texts.mapInArrow(_units, UNITS), "units")
     spark = docs.sparkSession
 
@@ -468,7 +501,7 @@ def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
     touched = marked.where("removed").select("class_id").distinct()
     paragraphs = marked.where("removed OR NOT later").join(touched, "class_id", "left_semi").select(*columns)
     work.drop("units", "keys", "banded", "met", "hub-pairs", "placed", "open", "cross-pairs", "shared", "members")
-    spans = shared_with_earlier(texts, work).withColumn(
+    spans = shared_with_earlier(texts, work).unionByName(copies).withColumn(
         "class_id", F.xxhash64("keep_doc_id", "keep_number", "keep_words", "keep_first_byte", "keep_last_byte")
     )
     kept = spans.select(
