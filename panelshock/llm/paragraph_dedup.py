@@ -423,7 +423,9 @@ def _folded(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     # of rows that share the kept doc_id and the text one is enough
     kept = met.where("doc_id = keep_doc_id").groupBy("digest", "doc_id").agg(F.any_value("text").alias("text")).select("doc_id", "text")
     copies = met.where("doc_id != keep_doc_id").select("doc_id", "keep_doc_id", "text").mapInArrow(_whole, SPANS)
-    return work.table(alone.unionByName(kept), "texts"), copies.distinct()
+    copies, folded = work.table(copies.distinct(), "copies"), work.table(alone.unionByName(kept), "texts")
+    work.drop("met-texts", "owners")
+    return folded, copies
 
 
 def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
