@@ -292,14 +292,14 @@ NAMED = {
       JOIN design z ON z.disaster_type = a.disaster_type AND z.col = b.col AND z.id = x.id GROUP BY ALL
       UNION ALL SELECT a.disaster_type, a.model, a.feature_set, a.j, 1000, sum(x.x * x.y)
       FROM columns_of a JOIN design x ON x.disaster_type = a.disaster_type AND x.col = a.col AND x.split = 'train' GROUP BY ALL""",
-    # Gauss-Jordan elimination, a column at a time
+    # Gauss-Jordan elimination, a column at a time; a column without a pivot keeps weight 0
     "solved": """
       SELECT disaster_type, model, feature_set, 1 AS k, list(CAST(line AS DOUBLE[]) ORDER BY i) AS m
       FROM (SELECT disaster_type, model, feature_set, i, list(v ORDER BY j) AS line FROM gram GROUP BY ALL) GROUP BY ALL
       UNION ALL SELECT disaster_type, model, feature_set, k + 1, list_transform(m, lambda line, i: list_transform(line, lambda v, j:
-        CASE WHEN i = k THEN v / m[k][k] ELSE v - line[k] * m[k][j] / m[k][k] END)) FROM solved WHERE k <= len(m)""",
+        CASE WHEN abs(m[k][k]) < 1e-9 THEN v WHEN i = k THEN v / m[k][k] ELSE v - line[k] * m[k][j] / m[k][k] END)) FROM solved WHERE k <= len(m)""",
     "weights": """
-      SELECT c.*, s.m[c.j][len(s.m) + 1] AS w FROM columns_of c JOIN solved s USING (disaster_type, model, feature_set) WHERE s.k = len(s.m) + 1""",
+      SELECT c.*, CASE WHEN abs(s.m[c.j][c.j]) < 1e-9 THEN 0.0 ELSE s.m[c.j][len(s.m) + 1] END AS w FROM columns_of c JOIN solved s USING (disaster_type, model, feature_set) WHERE s.k = len(s.m) + 1""",
     "contributions": """
       SELECT w.disaster_type, w.model, w.feature_set, d.id, d.split, d.y, d.feature, sum(d.x * w.w) AS c
       FROM weights w JOIN design d USING (disaster_type, col) GROUP BY ALL""",
@@ -437,9 +437,9 @@ def _fitted_importance(groups: dict[str, tuple[str, ...]], repeats: int, sample:
 
 
 def _importances(body: str) -> str:
-    """``body`` on ``importances``, of every feature of the linear runs of two sets."""
-    single = {f: (f,) for f in (*NUMERIC[:7], "MCT_SGG_CD", "MCT_RY_CD")}
-    runs = "feature_set IN ('A_weather_region_industry', 'B_plus_past_sales')"
+    """``body`` on ``importances``, of every feature of the ridge of each set."""
+    single = {f: (f,) for f in (*NUMERIC[:7], "flow_pop_weekday", "MCT_SGG_CD", "MCT_RY_CD")}
+    runs = "model = 'Ridge' AND feature_set <> 'calendar'"
     ctes = _fitted_importance(single, 5, "sample = 'test_all'", runs)
     listed = f", importances AS (SELECT {RUN}, grp AS feature, avg(mae - b) AS importance_mean FROM gains GROUP BY ALL)"
     return sql(body, ctes + listed)
@@ -802,7 +802,7 @@ ORACLE: dict[str, str] = {
         FROM importances) WHERE rank <= 10"""),
     "importance_by_group": _importances(f"""
       SELECT {RUN}, CASE WHEN feature LIKE '%temp' THEN 'weather' WHEN feature = 'MCT_SGG_CD' THEN 'region' WHEN feature = 'MCT_RY_CD' THEN 'industry'
-          ELSE 'past_sales' END AS feature_group, {r('sum(importance_mean)')} AS importance_mean
+          WHEN feature = 'flow_pop_weekday' THEN 'flow_population' ELSE 'past_sales' END AS feature_group, {r('sum(importance_mean)')} AS importance_mean
       FROM importances WHERE ({RUN}) IN (SELECT ({RUN}) FROM (SELECT {RUN}, row_number() OVER (PARTITION BY disaster_type, feature_set ORDER BY val_mae, test_mae, model) AS k
         FROM wide) WHERE k <= 3) GROUP BY {RUN}, 4"""),
     "impute_scale": sql(f"""
@@ -815,9 +815,10 @@ ORACLE: dict[str, str] = {
     "exact_quantiles_by_supplier": f"""
       SELECT l_suppkey, {r('quantile_cont(l_extendedprice, 0.1)')} AS p10, {r('quantile_cont(l_extendedprice, 0.5)')} AS p50,
         {r('quantile_cont(l_extendedprice, 0.9)')} AS p90 FROM lineitem GROUP BY l_suppkey""",
+    # least squares is unique on the train rows only, where columns may depend on each other
     "model_grid_linear": sql(f"""
       SELECT {RUN}, split, count(*) AS n, {r('avg(y)')} AS mean_actual_y1, {r('avg(p)')} AS mean_prediction, {r('avg(abs(p - y))')} AS mae,
-        {r('sqrt(avg((p - y) * (p - y)))')} AS rmse FROM fitted GROUP BY {RUN}, split"""),
+        {r('sqrt(avg((p - y) * (p - y)))')} AS rmse FROM fitted WHERE model = 'Ridge' OR split = 'train' GROUP BY {RUN}, split"""),
     "forest_metrics": _tree_facts("Random Forest"),
     "squared_boosting_metrics": _tree_facts("HistGradientBoosting"),
     "huber_boosting_metrics": _tree_facts("Gradient Boosting"),
