@@ -20,24 +20,30 @@ def _crc(data: str) -> str:
 
 ORACLE = {
     "op5_line_dedup": r"""
-        WITH d AS (
-            SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
-                       lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS lines
-            FROM documents
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raws FROM documents),
+        raw AS (SELECT doc_id, unnest(raws) AS raw, unnest(range(1, len(raws) + 1)) AS place FROM d),
+        line AS (
+            SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i,
+                   regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line,
+                   len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS words
+            FROM raw WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')
+        ), ahead AS (
+            SELECT *, lead(line) OVER w AS line2, lead(line, 2) OVER w AS line3, lead(words) OVER w AS words2
+            FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY i)
         ), run AS (
-            SELECT doc_id, i, array_to_string(lines[i : i + 2], chr(10)) AS run
-            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) - 1)) AS i FROM d WHERE len(lines) >= 3)
+            SELECT doc_id, i, 1 AS n, line AS run FROM ahead WHERE words >= 13
+            UNION ALL SELECT doc_id, i, 2, line || chr(10) || line2 FROM ahead WHERE words + words2 >= 13
+            UNION ALL SELECT doc_id, i, 3, line || chr(10) || line2 || chr(10) || line3 FROM ahead WHERE line3 IS NOT NULL
         ), later AS (
-            SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM run) WHERE k > 1
-        ), gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM later),
-        line AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
-        kept AS (
-            SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
-            FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
-        )
-        SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_removed,
-               sha256(coalesce(text, '')) AS text_sha256
-        FROM d LEFT JOIN kept USING (doc_id)""",
+            SELECT doc_id, i, n FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM run) WHERE k > 1
+        ), gone AS (
+            SELECT doc_id, place FROM line SEMI JOIN (SELECT doc_id, i + unnest(range(n)) AS i FROM later) USING (doc_id, i)
+        ), kept AS (
+            SELECT doc_id, string_agg(raw, chr(10) ORDER BY place) AS text FROM raw ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+        ), sums AS (SELECT doc_id, count(*) AS n FROM line GROUP BY doc_id),
+        lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, coalesce(sums.n, 0) AS n_lines, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(text, '')) AS text_sha256
+        FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op6_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,

@@ -92,7 +92,3 @@ def summed(unit, entries, share):
             if unit[j:i] in entries:
                 total[i] += total[j] * share[entries[unit[j:i]]]
     return total[-1]
-
-
-def lines(text):
-    return [s for s in (x.strip(" \t\n\x0b\x0c\r") for x in (text or "").split("\n")) if s]

@@ -222,22 +222,50 @@ def test_additive_model_learns_a_pair():
     assert ((model.scores(x) >= 0.5) == (y == 1)).mean() > 0.9
 
 
-def test_line_runs(spark, docs, odd_texts, nothing):
+def _without_repeats(texts):
+    """Text, lines and removed lines of each text, by trying every run of one to three lines."""
     seen, expected = set(), []
-    for text in odd_texts:
-        own = brute.lines(text)
+    for text in texts:
+        raws = (text or "").split("\n")
+        solid = [i for i, raw in enumerate(raws) if raw.strip(" \t\n\x0b\x0c\r")]
+        own = [raws[i].strip(" \t\n\x0b\x0c\r") for i in solid]
         gone = set()
-        for i in range(len(own) - 2):
-            if tuple(own[i : i + 3]) in seen:
-                gone |= {i, i + 1, i + 2}
-            seen.add(tuple(own[i : i + 3]))
-        expected.append((None if text is None else "\n".join(s for i, s in enumerate(own) if i not in gone), len(own), len(gone)))
+        for size in (1, 2, 3):
+            for i in range(len(own) - size + 1):
+                run = tuple(own[i : i + size])
+                if size == 3 or sum(len(brute.white_words(s)) for s in run) >= 13:
+                    gone |= set(range(i, i + size)) if run in seen else set()
+                    seen.add(run)
+        cut = {solid[i] for i in gone}
+        expected.append((None if text is None else "\n".join(r for i, r in enumerate(raws) if i not in cut), len(own), len(gone)))
+    return expected
+
+
+def test_line_runs(spark, docs, odd_texts, nothing):
+    expected = _without_repeats(odd_texts)
     found = line_dedup.repeated_runs(docs, Workspace(spark, "t"))
     out = line_dedup.without_runs(docs, found).orderBy("doc_id").collect()
-    assert [(r["text"], r["n_lines"], r["n_removed"]) for r in out] == expected and sum(e[2] for e in expected) == 6
+    assert [(r["text"], r["n_lines"], r["n_removed"]) for r in out] == expected and sum(e[2] for e in expected) >= 6
     assert line_dedup.repeated_runs(nothing, Workspace(spark, "t")).count() == 0
 
 
+def test_line_runs_by_words_and_layout(spark):
+    long, half, other = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("p", 60), ("h", 7), ("k", 6)))
+    code = "def f():\n\n    return 1\n\t# end \n"
+    texts = [
+        f"intro\n{long}\nbody\n", code, f"new head\n  {long}\t\n\n  indented tail", long, f"{half}\n{other}", f"x y\n{half}\n \n{other}\nrest",
+        f"{half}\nno repeat of two", "a\nb\nc", " a\n b\n\n c\nd", "a\nb", "z\nz\nz\nz\nz", f"{long}\n{long}", f"{half}\n{long}\n{half}", f"q\n{half}\n{long}\n{half}\nr",
+    ]
+    draw = np.random.default_rng(5)
+    pool = [half, other, long, "a", "b b", "  c", "", "\t"]
+    texts += ["\n".join(pool[i] for i in draw.integers(0, len(pool), draw.integers(0, 9))) for _ in range(120)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    out = line_dedup.without_runs(table, line_dedup.repeated_runs(table, Workspace(spark, "t"))).orderBy("doc_id").collect()
+    assert [(r["text"], r["n_lines"], r["n_removed"]) for r in out] == _without_repeats(texts)
+    assert out[1]["text"] == code and out[2]["text"] == "new head\n\n  indented tail" and out[3]["text"] == ""
+    assert out[5]["text"] == "x y\n \nrest" and out[6]["n_removed"] == 0 and out[8]["text"] == "\nd" and out[9]["n_removed"] == 0
+
+
 def test_paragraphs(spark, docs, odd_texts, nothing):
     found = paragraph_dedup.repeated_paragraphs(docs, Workspace(spark, "t"))
     rows = found.collect()
