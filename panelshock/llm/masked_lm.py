@@ -3,8 +3,9 @@
 Each token is predicted from the two tokens on each side: log p(token | left, right) is the
 network's log-probability of the token's class plus the log share of the token in its class.
 The sum over all tokens scores a text. The commonest words are classes of their own; the rest
-share classes by their last two bytes. Word counts cover every text and go through a shuffle;
-the network, a few ten thousand numbers, learns on all partitions at once from every text,
+share classes by their last two bytes. Word counts cover every text and go through a shuffle.
+Each word has the share its count gives it: the commonest are looked up in a table of fixed size,
+the others, folded per text, are joined with the counts. The network, a few ten thousand numbers, learns on all partitions at once from every text,
 and the partitions' weights are averaged after each round."""
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 from panelshock.llm.textbytes import LOWER_VALUES, UPPER, slices, word_hashes, word_spans
 from panelshock.llm.workspace import Workspace
 
-KNOWN_WORDS, OWN_CLASSES, SUFFIX_CLASSES = 20_000, 80, 48
+HOT_WORDS, OWN_CLASSES, SUFFIX_CLASSES = 65_536, 80, 48
 CLASSES = OWN_CLASSES + SUFFIX_CLASSES
 HIDDEN, SIDES = 32, (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 2048, 0.003
 CHUNK = 1 << 12  # rows whose class scores stay in a core's cache
 FLUSH = 1_500_000
+UNIT = 1e-9  # logarithms of counts are added as integers, whose sums do not depend on order
 
 
 def tokens(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -64,45 +66,53 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class WordTable:
-    """Known words by sorted hash with class and log share in it; the log share of any other
-    word of a class; the log share of each class."""
-
-    words: np.ndarray
-    classes: np.ndarray
-    shares: np.ndarray
-    rest: np.ndarray
+    """The OWN_CLASSES commonest words and their classes; hot words with their log counts; the
+    log of each class's total and its log share of all tokens. Hashes ascend."""
+
+    own: np.ndarray
+    own_classes: np.ndarray
+    hot: np.ndarray
+    log_uses: np.ndarray
+    log_total: np.ndarray
     unigram: np.ndarray
 
-    def look_up(self, words: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log share in the class of each word."""
-        if not len(self.words):
-            return suffix, self.rest[suffix]
-        place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        known = self.words[place] == words
-        return np.where(known, self.classes[place], suffix), np.where(known, self.shares[place], self.rest[suffix])
+    def classes(self, words: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        place, known = _places(self.own, words)
+        return np.where(known, self.own_classes[place], suffix) if len(self.own) else suffix
+
+    def shares(self, words: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log share in its class of each word, and whether the word is hot. Of another word it
+        is the share of a single use, to which the log of its count must be added."""
+        place, known = _places(self.hot, words)
+        uses = np.where(known, self.log_uses[place], 0.0) if len(self.hot) else np.zeros(len(words))
+        return uses - self.log_total[classes], known
+
 
+def _places(table: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    place = np.minimum(np.searchsorted(table, words), len(table) - 1)
+    return place, table[place] == words
 
-def word_table(docs: DataFrame, work: Workspace) -> WordTable:
-    """Counts of all words of all texts; the KNOWN_WORDS commonest keep a share of their own,
-    the others of a class share what is left evenly."""
+
+def word_table(docs: DataFrame, work: Workspace) -> tuple[WordTable, DataFrame]:
+    """The table and the counts (word, suffix, uses) of all words of all texts. The HOT_WORDS
+    commonest reach the driver; they save shuffle and decide nothing, and any other word holds
+    less than one in HOT_WORDS of all tokens, so none is a hot key of the join."""
     counts = docs.select(F.col("text").cast("binary")).mapInArrow(_counted, "word long, suffix int, uses long")
     counts = work.table(counts.groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("uses").alias("uses")), "words")
-    top = counts.orderBy(F.desc("uses"), "word").limit(KNOWN_WORDS).collect()
-    by_class = counts.groupBy("suffix").agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("kinds")).collect()
-    mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_class:
-        mass[r["suffix"]], kinds[r["suffix"]] = r["uses"], r["kinds"]
-    classes = np.array([i if i < OWN_CLASSES else r["suffix"] for i, r in enumerate(top)], dtype=np.int64)
+    top = counts.orderBy(F.desc("uses"), "word").limit(max(HOT_WORDS, OWN_CLASSES)).collect()
+    mass = np.zeros(CLASSES)
+    for r in counts.groupBy("suffix").agg(F.sum("uses").alias("uses")).collect():
+        mass[r["suffix"]] = r["uses"]
+    words = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     uses = np.array([r["uses"] for r in top], dtype=float)
-    home = np.array([r["suffix"] for r in top], dtype=np.int64)
-    known = np.bincount(home, weights=uses, minlength=CLASSES)
-    own = np.bincount(classes, weights=uses, minlength=CLASSES)
-    tail, tail_kinds = mass - known, kinds - np.bincount(home, minlength=CLASSES)
-    total = own + tail + 1.0  # one use is left for words never seen
-    rest = np.log((tail + 1.0) / (tail_kinds + 1.0) / total)
-    order = np.argsort(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)) if top else np.zeros(0, np.int64)
-    words = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)[order]
-    return WordTable(words, classes[order], np.log(uses / total[classes])[order] if top else uses, rest, np.log(total / total.sum()))
+    for i, r in enumerate(top[:OWN_CLASSES]):
+        mass[r["suffix"]] -= r["uses"]
+        mass[i] = r["uses"]
+    total = mass + 1.0  # one use is left for words never seen
+    order, own = np.argsort(words), np.argsort(words[:OWN_CLASSES])
+    return WordTable(words[own], own, words[order], np.log(uses[order]), np.log(total), np.log(total / total.sum())), counts
 
 
 def initial_weights() -> np.ndarray:
@@ -192,7 +202,7 @@ def _learn(table, weights, turn: int):
         learner, seen = Learner(weights.value), 0
         for batch in batches:
             for _, _, words, suffix, rows in tokens(batch.column(0)):
-                classes, _ = table.value.look_up(words, suffix)
+                classes = table.value.classes(words, suffix)
                 around = contexts(classes, rows)
                 picked = targets(len(words), turn)
                 picked = np.random.default_rng(turn).permutation(picked)
@@ -210,15 +220,18 @@ def _learn(table, weights, turn: int):
 
 @dataclass(frozen=True)
 class MaskedModel:
+    """``counts`` holds (word, uses) of every word of the corpus."""
+
     table: WordTable
     weights: np.ndarray
+    counts: DataFrame
 
 
 def train(docs: DataFrame, work: Workspace) -> MaskedModel:
     """Learn from every text of ``docs``. Partitions start each round from the average of the
     last, weighted by their tokens; without any token the first weights stay."""
     context = docs.sparkSession.sparkContext
-    table, weights = word_table(docs, work), initial_weights()
+    (table, counts), weights = word_table(docs, work), initial_weights()
     spread = context.broadcast(table)
     texts = docs.select(F.col("text").cast("binary"))
     for turn in range(ROUNDS):
@@ -233,21 +246,31 @@ def train(docs: DataFrame, work: Workspace) -> MaskedModel:
             for r in mean.collect():
                 weights[r["place"]] = r["weight"]
         work.drop(f"round-{turn}")
-    return MaskedModel(table, weights)
+    return MaskedModel(table, weights, counts)
 
 
 def _scored(model):
+    """Tokens of each text, their summed log-probability as if words that are not hot were used
+    once, and those words with their numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, flat = model.value.table, model.value.weights
+        table, flat = model.value
         for batch in batches:
             for begin, end, words, suffix, rows in tokens(batch.column(1)):
-                classes, share = table.look_up(words, suffix)
+                classes = table.classes(words, suffix)
+                share, hot = table.shares(words, classes)
                 found = class_log_probabilities(flat, contexts(classes, rows), classes) + share
                 n = np.bincount(rows, minlength=end - begin)
                 total = np.bincount(rows, weights=found, minlength=end - begin)
+                word, row = words[~hot], rows[~hot]
+                order = np.lexsort((word, row))
+                word, row = word[order], row[order]
+                first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])])[: len(word)])
+                pairs = pa.StructArray.from_arrays([pa.array(word[first].view(np.int64)), pa.array(np.diff(np.append(first, len(word))))], ["word", "n"])
+                cuts = np.searchsorted(row[first], np.arange(end - begin + 1)).astype(np.int32)
                 yield pa.record_batch(
-                    [batch.column(0).slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1))],
-                    ["doc_id", "n_tokens", "log_prob", "per_token"],
+                    [batch.column(0).slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(total), pa.ListArray.from_arrays(cuts, pairs)],
+                    ["doc_id", "n_tokens", "hot_sum", "others"],
                 )
 
     return run
@@ -256,8 +279,18 @@ def _scored(model):
 def score(docs: DataFrame, model: MaskedModel) -> DataFrame:
     """(doc_id, n_tokens, log_prob, per_token) for each row of ``docs(doc_id, text, ...)``: the
     sum and the mean of the tokens' log-probabilities. Tokens are words between white space of
-    ASCII, A-Z lowered. Texts without tokens, NULL ones too, have 0 in all three; equal texts
-    score alike; extra columns are ignored."""
-    spread = docs.sparkSession.sparkContext.broadcast(model)
+    ASCII, A-Z lowered; a word that the model's corpus lacks counts as used once. Texts without
+    tokens, NULL ones too, have 0 in all three; equal texts score alike but for
+    rounding; extra columns are ignored."""
+    work = Workspace(docs.sparkSession, "masked-lm-score")
+    spread = docs.sparkSession.sparkContext.broadcast((model.table, model.weights))
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return plain.mapInArrow(_scored(spread), "doc_id long, n_tokens long, log_prob double, per_token double")
+    scored = plain.mapInArrow(_scored(spread), "doc_id long, n_tokens long, hot_sum double, others array<struct<word: long, n: long>>")
+    # written, so that a row keeps its number
+    scored = work.table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # the log of one use is 0
+    logs = model.counts.where("uses > 1").select("word", F.round(F.log("uses") / UNIT).cast("long").alias("log_uses"))
+    others = scored.select("row", F.inline("others")).join(logs, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("log_uses")).alias("units"))
+    whole = scored.drop("others").join(others, "row", "left")
+    total = F.col("hot_sum") + F.coalesce("units", F.lit(0)) * UNIT
+    return whole.select("doc_id", "n_tokens", total.alias("log_prob"), (total / F.greatest("n_tokens", F.lit(1))).alias("per_token"))

@@ -2,6 +2,7 @@
 against plain Python."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -314,13 +315,40 @@ def test_masked_model(spark, docs, odd_texts, nothing):
     for i, text in enumerate(odd_texts):
         words = brute.white_words(text)
         assert out[i]["n_tokens"] == len(words) and (out[i]["log_prob"] < 0) == bool(words)
-    # shares in a class sum to one over known words, the rest and the unseen
-    table = model.table
-    known = np.bincount(table.classes, weights=np.exp(table.shares), minlength=masked_lm.CLASSES)
-    assert (known <= 1.0 + 1e-9).all() and np.exp(table.unigram).sum() == pytest.approx(1.0)
+    # shares in a class sum to one over all words and one never seen
+    table, rows = model.table, model.counts.collect()
+    words = np.array([r["word"] for r in rows]).view(np.uint64)
+    classes = table.classes(words, np.array([r["suffix"] for r in rows]))
+    shares = np.exp(np.log([r["uses"] for r in rows]) - table.log_total[classes])
+    assert np.bincount(classes, weights=shares, minlength=masked_lm.CLASSES) + np.exp(-table.log_total) == pytest.approx(1.0)
+    assert np.exp(table.unigram).sum() == pytest.approx(1.0)
     assert masked_lm.score(nothing, masked_lm.train(nothing, Workspace(spark, "t"))).count() == 0
 
 
+def test_masked_scores_by_hand(spark, docs, odd_texts, monkeypatch):
+    """Every word counts with its own share, hot or not."""
+    wide = masked_lm.train(docs, Workspace(spark, "t"))
+    monkeypatch.setattr(masked_lm, "HOT_WORDS", 90)
+    (table, counts), texts = masked_lm.word_table(docs, Workspace(spark, "t")), ["", None, "never seen words", "a never", *odd_texts, *odd_texts]
+    assert len(table.hot) == 90 < counts.where("uses > 1").count()
+    uses = Counter(w.encode() for t in odd_texts for w in brute.white_words(t))
+    assert sorted(uses.values()) == sorted(r["uses"] for r in counts.collect())
+    few = masked_lm.MaskedModel(table, wide.weights, counts)
+    asked = spark.createDataFrame([(7, t, i) for i, t in enumerate(texts)], "doc_id long, text string, word int").repartition(3)
+    found = [sorted(tuple(r) for r in masked_lm.score(asked, m).collect()) for m in (wide, few)]
+    assert [r[1] for r in found[0]] == [r[1] for r in found[1]] and np.allclose(found[0], found[1], rtol=0, atol=1e-6)
+    expected = []
+    for text in texts:
+        own = [w.encode() for w in brute.white_words(text)]
+        column = pa.array([text], pa.string())
+        for _, _, words, suffix, rows in masked_lm.tokens(column):
+            classes = table.classes(words, suffix)
+            chance = masked_lm.class_log_probabilities(wide.weights, masked_lm.contexts(classes, rows), classes)
+            share = [np.log(max(1, uses[w])) for w in own] - table.log_total[classes]
+            expected.append((7, len(own), float((chance + share).sum()), float((chance + share).sum() / max(1, len(own)))))
+    assert np.allclose(found[1], sorted(expected), rtol=0, atol=1e-4)
+
+
 @pytest.mark.parametrize("count", [0, 1, 7, 5000])
 def test_every_token_is_taught_once(count):
     taught = np.concatenate([masked_lm.targets(count, turn) for turn in range(masked_lm.ROUNDS)])
