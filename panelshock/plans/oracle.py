@@ -850,6 +850,14 @@ ORACLE: dict[str, str] = {
 # files are written from the same tables, so what is read back has the same answers
 ORACLE |= {
     "card_files": ORACLE["daily_agg_null_poison"],
+    "picked_source": f"SELECT *, '2-card' AS folder, CAST(4 AS BIGINT) AS files_read FROM ({ORACLE['daily_agg_null_poison']})",
+    "run_metadata": sql(f"""
+      SELECT 'Ridge' AS model, 'B_plus_past_sales' AS feature_set, count(*) AS n_rows, count(DISTINCT date) AS n_dates,
+        {day('min(date)')} AS first_date, {day('max(date)')} AS last_date, count(*) FILTER (WHERE split = 'train') AS n_train,
+        count(*) FILTER (WHERE split = 'validation') AS n_validation, count(*) FILTER (WHERE split = 'test') AS n_test,
+        {r('avg(actual_y1)')} AS mean_actual_y1, {r('avg(abs(actual_y1 - predicted_y1))')} AS mae,
+        'avg_temp|min_temp|max_temp|lag1|lag7|rolling7|rolling28|MCT_SGG_CD|MCT_RY_CD' AS features, true AS outcome_refused, true AS absent_run_refused
+      FROM saved"""),
     "warning_files": ORACLE["warning_rows"],
     "hourly_files": ORACLE["hourly_to_daily_complete"],
     "flow_files": ORACLE["flow_profile_unpivot"],

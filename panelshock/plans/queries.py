@@ -26,7 +26,7 @@ from panelshock.plans import fixtures as fx
 from panelshock.plans.pipelines import build_impact, importance_of_samples, require_refit
 from panelshock.session import shared_folder, staged
 from panelshock.sources import readers, writers
-from panelshock.spec import DEFAULT
+from panelshock.spec import DEFAULT, SPLITS
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -825,13 +825,13 @@ def impact_pipeline(spark, sf):
 # --- raw files ----------------------------------------------------------------------------
 
 
-def _as_files(spark, df: DataFrame, sep: str, encoding: str, files: int) -> str:
+def _as_files(spark, df: DataFrame, sep: str, encoding: str, files: int, path: str | None = None, extension: str = "csv") -> str:
     """A table in the form of a raw text file, in ``files`` part files of a shared folder."""
     # Korean text needs the JVM's own charsets
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
     out = df.repartition(files, *[F.col(f"`{c}`") for c in df.columns[:2]])
-    out.write.options(header=True, sep=sep, encoding=encoding, quoteAll=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    out.write.options(header=True, sep=sep, encoding=encoding, quoteAll=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, extension=extension).csv(path)
     return path
 
 
@@ -844,6 +844,53 @@ def card_files(spark, sf):
     return tidy(daily.withColumn("ts_at_text", parsing.plain_decimal_text(F.col("TS_AT"))), ("avg_price",))
 
 
+@query
+def picked_source(spark, sf):
+    """Transactions found by their header among folders of text files: a folder with other
+    columns stands first, and tab-separated files stand behind. The chosen folder is folded per
+    day; its name and the number of files read go with it."""
+    root = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
+    text = fx.card_text(spark, sf).withColumn("TIME_GB", F.lit("서울"))
+    _as_files(spark, fx.flow_text(spark, sf), "\t", readers.KOREAN, 2, f"{root}/1-flow", "txt")
+    _as_files(spark, text, "\t", readers.KOREAN, 4, f"{root}/2-card", "txt")
+    _as_files(spark, text.limit(0), "\t", readers.KOREAN, 1, f"{root}/0-late", "tsv")
+    folder = readers.pick_source(spark, f"{root}/*").rpartition("/")[0]
+    raw = readers.read_card(spark, folder)
+    name, read = folder.rpartition("/")[2], readers.source_manifest(raw).agg(F.count(F.lit(1)).alias("files_read"))
+    daily = cards.daily_aggregate(cards.parse_transactions(raw))
+    facts = daily.withColumn("ts_at_text", parsing.plain_decimal_text(F.col("TS_AT"))).withColumn("folder", F.lit(name)).join(read)
+    return tidy(facts, ("avg_price",))
+
+
+@query
+def run_metadata(spark, sf):
+    """Facts of one saved run, written as JSON and read back: its rows, days and means, whether
+    its predictors are allowed, and whether outcome columns and an absent run are refused."""
+    scored, _ = fx.predictions(spark, sf)
+    chosen = report.select_run(scored, "Ridge", "B_plus_past_sales")
+    features = [c for names in models.FEATURE_SETS["B_plus_past_sales"].values() for c in names]
+    audits.require_allowed_features(features)
+
+    def refused(check) -> Column:
+        try:
+            check()
+        except ValueError:
+            return F.lit(True)
+        return F.lit(False)
+
+    facts = chosen.groupBy("model", "feature_set").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("date").alias("n_dates"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in SPLITS], F.avg("actual_y1").alias("mean_actual_y1"),
+        F.avg(F.abs(F.col("actual_y1") - F.col("predicted_y1"))).alias("mae"),
+        F.lit("|".join(features)).alias("features"),
+        refused(lambda: audits.require_allowed_features([*features, DEFAULT.measure])).alias("outcome_refused"),
+        refused(lambda: report.select_run(scored, "Ridge", "absent")).alias("absent_run_refused"),
+    )
+    path = f"{shared_folder(spark)}/metadata-{uuid.uuid4().hex}"
+    writers.write_metadata(facts, path)
+    return tidy(spark.read.schema(facts.schema).json(path))
+
+
 @query
 def warning_files(spark, sf):
     """Three heat files and two cold files as text, read back and united."""
@@ -876,11 +923,12 @@ def flow_files(spark, sf):
 
 @query
 def result_csv_round_trip(spark, sf):
-    """Saved predictions written as an ordered exchange file and read back with their types."""
+    """Saved predictions written as an ordered exchange file with byte order marks and read back
+    with their types."""
     run = fx.saved_run(spark, sf)
     path = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
     columns = {c: t for c, t in run.dtypes if c in ("disaster_type", "episode_id", "date", "split", "region", "industry", "actual_y1", "predicted_y1")}
-    writers.write_csv(run.select(*columns), path, order_by=["disaster_type", "date", "region", "industry"])
+    writers.write_csv(run.select(*columns), path, order_by=["disaster_type", "date", "region", "industry"], bom=True)
     try:
         writers.write_csv(run.select(*columns), path)
     except AnalysisException:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+BOM = "\ufeff"
+
 
 def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
@@ -17,9 +19,12 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, partition_by:
     df.write.mode(_mode(overwrite)).partitionBy(*partition_by).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, overwrite: bool = False, order_by: Sequence[str] = ()) -> None:
-    """Header and UTF-8, a folder of part files, ordered across files when keys are given."""
+def write_csv(df: DataFrame, path: str, overwrite: bool = False, order_by: Sequence[str] = (), bom: bool = False) -> None:
+    """Header and UTF-8, a folder of part files, ordered across files when keys are given.
+    ``bom`` puts a byte order mark before the header of every file, as spreadsheets want it."""
     out = df.orderBy(*order_by) if order_by else df
+    if bom:
+        out = out.toDF(BOM + df.columns[0], *df.columns[1:])
     out.write.mode(_mode(overwrite)).option("header", True).csv(path)
 
 

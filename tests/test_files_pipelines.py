@@ -144,6 +144,9 @@ def test_sinks_refuse_to_overwrite(spark, tmp_path):
             sink(df, path)
         sink(df, path, overwrite=True)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    writers.write_csv(df, str(tmp_path / "marked"), bom=True)
+    assert all(p.read_bytes().startswith(b"\xef\xbb\xbfa,b\n") for p in (tmp_path / "marked").glob("part-*"))
+    assert readers.read_result_csv(spark, str(tmp_path / "marked"), {"a": "int", "b": "string"}).count() == 2
     writers.write_csv(df, str(tmp_path / "sorted"), order_by=["a"])
     parts = sorted((tmp_path / "sorted").glob("part-*"))
     lines = [x for p in parts for x in p.read_text().splitlines() if x != "a,b"]
