@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelshock.functions.parsing import lookup
 from panelshock.operators.audits import require_allowed_features
 from panelshock.operators.boosting import HuberBoosting, LeafBoosting
+from panelshock.operators.extra_trees import ExtraTrees
 from panelshock.operators.importance import REPORT_GROUPS, permutation_importance, single_features
 from panelshock.operators.least_squares import LeastSquares
 from panelshock.operators.preprocess import Preprocessor
@@ -63,11 +64,17 @@ def squared_boosting(train: DataFrame, label: str, stages: int = 200):
     return LeafBoosting.fit(train, label, stages=stages)
 
 
+def extra_trees(train: DataFrame, label: str, trees: int = 400, seed: int = SEED):
+    """400 trees of drawn thresholds, at least 3 rows per leaf, 80 % of the features per node."""
+    return ExtraTrees.fit(train, label, trees=trees, seed=seed)
+
+
 MODELS: dict[str, Fitter] = {
     "Linear Regression": linear,
     "Ridge": ridge,
     "Random Forest": forest,
     "Gradient Boosting": huber_boosting,
+    "Extra Trees": extra_trees,
     "HistGradientBoosting": squared_boosting,
 }
 

@@ -820,6 +820,7 @@ ORACLE: dict[str, str] = {
       SELECT {RUN}, split, count(*) AS n, {r('avg(y)')} AS mean_actual_y1, {r('avg(p)')} AS mean_prediction, {r('avg(abs(p - y))')} AS mae,
         {r('sqrt(avg((p - y) * (p - y)))')} AS rmse FROM fitted WHERE model = 'Ridge' OR split = 'train' GROUP BY {RUN}, split"""),
     "forest_metrics": _tree_facts("Random Forest"),
+    "extra_trees_metrics": _tree_facts("Extra Trees"),
     "squared_boosting_metrics": _tree_facts("HistGradientBoosting"),
     "huber_boosting_metrics": _tree_facts("Gradient Boosting"),
     "boosting_first_split": sql(f"""

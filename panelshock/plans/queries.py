@@ -777,6 +777,11 @@ def forest_metrics(spark, sf):
     return _tree_facts(spark, sf, {"Random Forest": models.forest}, inside=True)
 
 
+@query
+def extra_trees_metrics(spark, sf):
+    return _tree_facts(spark, sf, {"Extra Trees": models.extra_trees}, inside=True)
+
+
 @query
 def squared_boosting_metrics(spark, sf):
     return _tree_facts(spark, sf, {"HistGradientBoosting": models.squared_boosting})

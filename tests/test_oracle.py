@@ -64,6 +64,7 @@ class TrainMean:
 
 @pytest.mark.parametrize("name, model", [
     ("model_grid_linear", "Linear Regression"), ("model_grid_linear", "Ridge"), ("forest_metrics", "forest"),
+    ("extra_trees_metrics", "extra_trees"),
     ("squared_boosting_metrics", "squared_boosting"), ("huber_boosting_metrics", "huber_boosting"),
 ])
 def test_a_constant_is_found_out(spark, duck, sf_dir, monkeypatch, name, model):
