@@ -4,10 +4,10 @@ A node is named by a 64-bit key made from the seed, its tree and the way to it.
 digests of the key, so a tree does not depend on partitions, on lost tasks, or on where a node
 is grown. Targets are integers of a fixed scale, so that sums are exact in any order.
 
-Nodes above NODE_ROWS rows are grown level by level for WAVE trees at once, by two passes over
-blocks of rows: ranges of every feature, then rows and sums below the thresholds drawn in them.
+Nodes above NODE_ROWS rows are grown level by level, all trees of a wave at once, by two passes
+over blocks of rows: ranges of every feature, then rows and sums below the thresholds drawn in them.
 The rows of smaller nodes meet in one shuffle by (tree, node), and a task grows all that is below
-them. The driver holds the upper nodes only; the rest of the model is a table, and rows are
+them; a wave is as many trees as copy at most COPIED_ROWS rows there, or one. The driver holds the upper nodes only; the rest of the model is a table, and rows are
 scored by a join with it."""
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from panelshock.operators.blocks import Tree
 from panelshock.session import staged, unstage
 
-NODE_ROWS, BLOCK_ROWS, SCORED_ROWS, WAVE = 65_536, 16_384, 4_096, 50
+NODE_ROWS, BLOCK_ROWS, SCORED_ROWS, COPIED_ROWS = 65_536, 16_384, 4_096, 1 << 28
 GOLDEN, FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PART = "tree int, node int, x binary, unit binary"
 MODEL = "tree int, node int, feature binary, cut binary, below binary, value binary"
@@ -313,7 +313,8 @@ class ExtraTrees:
         """``train`` has ``features`` and ``label``; features are finite, rows without a label
         teach nothing. All rows teach every tree. A node is parted while ``least`` rows stay on
         both sides and its targets differ; ``share`` of the features compete in it. Targets are
-        rounded to a 2^50th of their range. Trees are the same for any ``node_rows``."""
+        rounded to integers as fine as exact sums of all rows allow. Trees are the same for any
+        ``node_rows``."""
         rows = train.select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y")).where("y IS NOT NULL")
         n, reach, width = rows.agg(F.count("y"), F.max(F.abs("y")), F.max(F.size("x"))).first()
         if not n:
@@ -323,8 +324,9 @@ class ExtraTrees:
         blocks = staged(rows.mapInArrow(_blocks(scale), "x binary, unit binary"))
         tried = max(1, int(share * width))
         tops, tables = {}, []
-        for begin in range(0, trees, WAVE):
-            numbers = np.arange(begin, min(begin + WAVE, trees))
+        wave = max(1, min(trees, COPIED_ROWS // n))
+        for begin in range(0, trees, wave):
+            numbers = np.arange(begin, min(begin + wave, trees))
             roots = dict(zip(numbers.tolist(), root_keys(seed, numbers)))
             upper, ends, values = _upper(blocks, n, width, roots, tried, least, node_rows)
             wanted: dict[int, list[int]] = {}

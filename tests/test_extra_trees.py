@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
+from panelshock.operators import extra_trees
 from panelshock.operators.extra_trees import ExtraTrees, child_keys, drawn, root_keys
 
 SEED, TREES, LEAST = 5, 7, 3
@@ -66,11 +67,12 @@ def test_trees_equal_plain_recursion(spark):
     assert np.mean((predicted(model, df) - y) ** 2) < 0.1 * y.var()
 
 
-@pytest.mark.parametrize("node_rows", [4, 50])
-def test_upper_nodes_equal_those_grown_in_tasks(spark, node_rows):
+@pytest.mark.parametrize("node_rows, copied", [(4, 500), (50, 1 << 28)])
+def test_upper_nodes_and_waves_change_nothing(spark, monkeypatch, node_rows, copied):
     x, y = table()
     df = vectors_of(spark, x, y)
     whole = predicted(ExtraTrees.fit(df, "y", 3, LEAST, seed=SEED), df)
+    monkeypatch.setattr(extra_trees, "COPIED_ROWS", copied)
     parted = predicted(ExtraTrees.fit(df.repartition(5), "y", 3, LEAST, seed=SEED, node_rows=node_rows), df.repartition(3))
     assert whole.tolist() == parted.tolist()
 
