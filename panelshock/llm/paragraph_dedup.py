@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -236,43 +237,57 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _resume(a: list, b: list) -> tuple[int, int, int]:
     """Words of a and b to skip until they agree again, and for how long they agree; the words
     in agreement are at least AGREE and as many as are skipped."""
+    own, other = (list(zip(*(w[k : MARGIN + k + 1] for k in range(AGREE)))) for w in (a, b))
+    if set(other).isdisjoint(own):
+        return 0, 0, 0
     known: dict[tuple, int] = {}
-    for t, words in enumerate(zip(*(b[k : MARGIN + k + 1] for k in range(AGREE)))):
+    for t, words in enumerate(other):
         known.setdefault(words, t)
     best = None
-    for s, words in enumerate(zip(*(a[k : MARGIN + k + 1] for k in range(AGREE)))):
+    for s, words in enumerate(own):
         if best and s >= best[0] + best[1]:
             break
         t = known.get(words)
         if t is not None and (best is None or s + t < best[0] + best[1]):
-            run = AGREE
-            while s + run < len(a) and t + run < len(b) and a[s + run] == b[t + run]:
-                run += 1
+            run = AGREE + _agreeing(a, s + AGREE, b, t + AGREE)
             if run >= max(s, t):
                 best = (s, t, run)
     return best or (0, 0, 0)
 
 
+def _agreeing(a: list, i: int, b: list, j: int, step: int = 32) -> int:
+    """Words from a[i] and b[j] on that are equal, compared ``step`` at a time."""
+    n = 0
+    while True:
+        x, y = a[i + n : i + n + step], b[j + n : j + n + step]
+        if x != y or len(x) < step:
+            return n + next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        n += step
+
+
 def _walk(a: list, b: list) -> list[tuple[int, int, int]]:
     """(place in a, place in b, words) of the stretches that agree, from the start of both on."""
-    i = j = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    found, j = [(0, 0, i)], i
+    i = j = _agreeing(a, 0, b, 0)
+    found = [(0, 0, i)]
     while True:
         s, t, run = _resume(a[i : i + 3 * MARGIN], b[j : j + 3 * MARGIN])
         if not run:
             return found
         i, j = i + s, j + t
-        begin = (i, j)
-        while i < len(a) and j < len(b) and a[i] == b[j]:
-            i, j = i + 1, j + 1
-        found.append((*begin, i - begin[0]))
+        run = _agreeing(a, i, b, j)
+        found.append((i, j, run))
+        i, j = i + run, j + run
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """The shingle that begins at each word but the last ones."""
+    return shingle_hashes(words, np.zeros(len(words), np.int64), 1, SHINGLE_WORDS)[0]
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
-    x, y = (np.unique(shingle_hashes(w, np.zeros(len(w), np.int64), 1, SHINGLE_WORDS)[0]) for w in (a, b))
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    """Whether the sets of these shingles agree by Jaccard."""
+    x, y = set(a.tolist()), set(b.tolist())
+    both = len(x & y)
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
@@ -280,13 +295,16 @@ def shared_spans(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -
     """Ranges of a and b, of at least SPAN_WORDS words, that agree by Jaccard around anchors
     (place in a, place in b). A stretch that does not agree as a whole is divided at its widest
     change."""
-    x, y, out, upto = a.tolist(), b.tolist(), [], 0
+    x, y, out, upto, sets = a.tolist(), b.tolist(), [], 0, []
 
     def divide(runs):
         i0, j0, (i1, j1) = runs[0][0], runs[0][1], (runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2])
         if min(i1 - i0, j1 - j0) < SPAN_WORDS:
             return
-        if len(runs) == 1 or _similar(a[i0:i1], b[j0:j1]):
+        if len(runs) > 1 and not sets:
+            sets.extend((_shingles(a), _shingles(b)))
+        last = SHINGLE_WORDS - 1
+        if len(runs) == 1 or _similar(sets[0][i0 : i1 - last], sets[1][j0 : j1 - last]):
             out.append((i0, i1, j0, j1))
             return
         middle = (i0 + i1) / 2
@@ -318,15 +336,18 @@ def _piece_words(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, ...]:
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The spans of two pieces that agree: places of words and bytes in both documents."""
-    names = ["doc_id", "keep_doc_id", "own_word", "keep_word", "anchors"]
+    names = ["doc_id", "keep_doc_id", "own_word", "keep_word"]
     for whole in batches:
         out = []
         for batch in (whole.slice(start, PIECES) for start in range(0, whole.num_rows, PIECES)):
             own_words, own_begins, own_ends, own_cuts = _piece_words(batch, "own")
             keep_words, keep_begins, keep_ends, keep_cuts = _piece_words(batch, "keep")
+            lists, places = batch.column("anchors"), batch.column("anchors").flatten()
+            own_places, keep_places = (np.asarray(places.field(i)).tolist() for i in range(2))
+            ends = np.cumsum(np.asarray(pc.list_value_length(lists))).tolist()
             for k, r in enumerate(batch.select(names).to_pylist()):
-                x, y = int(own_cuts[k]), int(keep_cuts[k])
-                anchors = sorted((m["place"] - r["own_word"], m["keep_place"] - r["keep_word"]) for m in r["anchors"])
+                x, y, mine = int(own_cuts[k]), int(keep_cuts[k]), slice(ends[k - 1] if k else 0, ends[k])
+                anchors = sorted((p - r["own_word"], q - r["keep_word"]) for p, q in zip(own_places[mine], keep_places[mine]))
                 for i0, i1, j0, j1 in shared_spans(own_words[x : own_cuts[k + 1]], keep_words[y : keep_cuts[k + 1]], anchors):
                     own, keep = i0 + r["own_word"], j0 + r["keep_word"]
                     if (r["keep_doc_id"], keep) < (r["doc_id"], own):
@@ -348,19 +369,19 @@ def shared_with_earlier(texts: DataFrame, work: Workspace) -> DataFrame:
     first = hits.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("first"))
     # what returns at once, like one word over and over, is matched to its last occurrence only
     before = F.lag("place").over(W.partitionBy("key", "doc_id").orderBy("place"))
-    hits = hits.withColumn("before", before)
-    again = hits.where("before IS NOT NULL").select("doc_id", "place", F.col("doc_id").alias("keep_doc_id"), F.col("before").alias("keep_place"))
+    same = F.when(F.col("before").isNotNull(), F.struct("doc_id", F.col("before").alias("place")))
+    earliest = F.when(F.col("before").isNull() | (F.col("place") - F.col("before") > ANCHOR_WORDS), F.col("first"))
     met = (
-        hits.where(F.col("before").isNull() | (F.col("place") - F.col("before") > ANCHOR_WORDS))
+        hits.withColumn("before", before)
         .join(first, "key")
-        .select("doc_id", "place", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.place").alias("keep_place"))
-        .where("doc_id != keep_doc_id OR place != keep_place")
-        .unionByName(again)
-        .distinct()
+        .select("doc_id", "place", F.explode(F.array_distinct(F.array(earliest, same))).alias("met"))
+        .select("doc_id", "place", F.col("met.doc_id").alias("keep_doc_id"), F.col("met.place").alias("keep_place"))
+        .where("keep_doc_id IS NOT NULL AND (doc_id != keep_doc_id OR place != keep_place)")
     )
-    order = W.partitionBy("doc_id", "keep_doc_id").orderBy("place")
+    order = W.partitionBy("doc_id", "keep_doc_id").orderBy("place", "keep_place")
     step, keep_step = F.col("place") - F.lag("place").over(order), F.col("keep_place") - F.lag("keep_place").over(order)
-    starts = F.when((step <= MARGIN) & (keep_step > 0) & (keep_step <= MARGIN), 0).otherwise(1)
+    # rows that share a doc_id may give one match twice
+    starts = F.when(((step == 0) & (keep_step == 0)) | ((step <= MARGIN) & (keep_step > 0) & (keep_step <= MARGIN)), 0).otherwise(1)
     chains = (
         met.withColumn("starts", starts)
         .withColumn("chain", F.sum("starts").over(order))
