@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from panelshock.llm.components import connected
 from panelshock.llm.jaccard_join import similar_sets
 from panelshock.llm.keyfilter import key_filter
-from panelshock.llm.textbytes import LOWER_VALUES, PLACES, mix, row_bytes, shingle_hashes, slices, stream, word_hashes, word_spans
-from panelshock.llm.workspace import Workspace
+from panelshock.llm.textbytes import LOWER_VALUES, PLACES, SMALL_SLICE, mix, row_bytes, shingle_hashes, slices, stream, word_hashes, word_spans
+from panelshock.llm.workspace import Workspace, in_small_batches
 
 SHINGLE_WORDS, PERCENT = 5, 80
 RADIUS, LEAST_WORDS, SPAN_WORDS = 30, 7, 14
@@ -67,7 +67,7 @@ def paragraph_starts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def _cut(column) -> Iterator[tuple]:
     """For each slice: first row, paragraph row, first word, words, byte range, and shingle hashes
     with the paragraph they belong to. Paragraphs below LEAST_WORDS have no shingles."""
-    for begin, end, data, offsets in slices(column):
+    for begin, end, data, offsets in slices(column, SMALL_SLICE):
         begins, ends, rows = word_spans(data, offsets)
         hashes = word_hashes(data, begins, ends, LOWER_VALUES)
         breaks = np.cumsum(data == 0x0A)[begins] if len(begins) else begins
@@ -169,7 +169,7 @@ def _links(texts: DataFrame, pairs: DataFrame, work: Workspace, label: str) -> D
 def _anchor_places(column) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each slice the first row, and row, word place and key of each anchor."""
     span = ANCHOR_WORDS + ANCHOR_WINDOW - 1
-    for begin, _, data, offsets in slices(column):
+    for begin, _, data, offsets in slices(column, SMALL_SLICE):
         begins, ends, rows = word_spans(data, offsets)
         words = word_hashes(data, begins, ends, LOWER_VALUES)
         total = len(words) - span + 1
@@ -449,6 +449,7 @@ def _folded(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     return folded, copies
 
 
+@in_small_batches
 def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
     """The repeated passages of ``docs(doc_id, text, ...)`` and the ones that stay for them:
     (doc_id, number, n_words, first_byte, last_byte, class_id, keep_doc_id, keep_number, removed).

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1_000_000
+#: for steps that keep several words of 64 bits a byte
+SMALL_SLICE = 250_000
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 UPPER = np.arange(256, dtype=np.uint8)
@@ -68,12 +70,12 @@ def row_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buffer[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges of a column with their bytes and offsets, each of limited size."""
+def slices(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of a column with their bytes and offsets, each of about ``size`` bytes or one row."""
     data, offsets = row_bytes(column)
-    begin, rows = 0, len(offsets) - 1
+    begin, rows, size = 0, len(offsets) - 1, size or SLICE_BYTES
     while begin < rows:
-        end = int(np.searchsorted(offsets, offsets[begin] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[begin] + size, side="right")) - 1
         end = min(rows, max(end, begin + 1))
         yield begin, end, data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin]
         begin = end
@@ -139,7 +141,7 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, count: int, size: int) -
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """For each slice the first row and the sorted distinct shingles of its rows; A-Z count as
     a-z, words end at white space of ASCII."""
-    for begin, end, data, offsets in slices(column):
+    for begin, end, data, offsets in slices(column, SMALL_SLICE):
         begins, ends, rows = word_spans(data, offsets)
         hashes, owner = shingle_hashes(word_hashes(data, begins, ends, LOWER_VALUES), rows, end - begin, size)
         cuts = np.searchsorted(owner, np.arange(end - begin + 1))

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelshock.session import shared_folder
 
+BATCH_ROWS = 1000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 class Workspace:
     """Named Parquet tables of one job. A table is written once and read back, so that a lost
@@ -39,6 +44,26 @@ class Workspace:
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def in_small_batches(operator: Callable) -> Callable:
+    """An operator (docs, work, ...) whose own jobs hand Python at most BATCH_ROWS rows at a time:
+    texts, sets and pieces are wide, and an executor holds a batch of each of its tasks twice, once
+    beside the heap and once in Python. Results do not depend on batches; the session gets its
+    setting back."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options):
+        conf = docs.sparkSession.conf
+        before = conf.get(BATCH, None)
+        given = int(conf.get(BATCH))
+        conf.set(BATCH, str(min(given, BATCH_ROWS) if given > 0 else BATCH_ROWS))
+        try:
+            return operator(docs, *args, **options)
+        finally:
+            conf.unset(BATCH) if before is None else conf.set(BATCH, before)
+
+    return run
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
