@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from panelshock.llm.components import connected
 from panelshock.llm.keyfilter import key_filter
 from panelshock.llm.textbytes import mix, shingle_sets
-from panelshock.llm.workspace import Workspace
+from panelshock.llm.workspace import Workspace, in_small_batches
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -240,6 +240,7 @@ def _reach(x: str, y: str, percent: int) -> Column:
     )
 
 
+@in_small_batches
 def similarity_classes(
     docs: DataFrame, work: Workspace, size: int = SHINGLE_WORDS, percent: int = PERCENT
 ) -> DataFrame:

@@ -2,8 +2,8 @@
 
 import pyarrow as pa
 
-from panelshock.llm import paragraph_dedup
-from panelshock.llm.workspace import BATCH_ROWS, Workspace
+from panelshock.llm import jaccard_join, paragraph_dedup
+from panelshock.llm.workspace import BATCH, BATCH_ROWS, Workspace
 
 
 def rows_per_batch(make):
@@ -31,6 +31,15 @@ def copies(spark, groups=1500):
     return spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
 
 
+def test_pairs_of_sets_meet_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "similar_sets", rows_per_batch(jaccard_join.similar_sets))
+    monkeypatch.setattr(jaccard_join, "_profiles", rows_per_batch(jaccard_join._profiles))
+    before = spark.conf.get(BATCH)
+    found = jaccard_join.similarity_classes(copies(spark), Workspace(spark, "batches"))
+    assert spark.conf.get(BATCH) == before
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in found.collect()) and found.count() == 3000
+
+
 def test_pieces_meet_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(paragraph_dedup, "_extended", rows_per_batch(paragraph_dedup._extended)())
     found = paragraph_dedup.repeated_paragraphs(copies(spark), Workspace(spark, "batches"))
