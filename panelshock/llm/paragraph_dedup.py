@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ MARGIN, AGREE = 40, 3
 PIECES = 256
 SEEDS = stream(11, BANDS)
 
-UNITS = "doc_id long, number int, n_words int, first_byte long, last_byte long, s1 long, keys array<long>"
+UNITS = "doc_id long, number int, n_words int, first_byte long, last_byte long, s1 long, n int, bits long, keys array<long>"
 SPANS = (
     "doc_id long, number int, n_words int, first_byte long, last_byte long, "
     "keep_doc_id long, keep_number int, keep_words int, keep_first_byte long, keep_last_byte long"
@@ -91,7 +91,7 @@ def _runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs with the digest of their shingle set and their band keys."""
+    """Paragraphs with the digest, size and bitmap of their shingle set and their band keys."""
     for batch in batches:
         for begin, end, owner, number, words, low, high, shingles, of in _cut(batch.column(1)):
             if not len(shingles):
@@ -101,31 +101,45 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.append(True, (of[1:] != of[:-1]) | (shingles[1:] != shingles[:-1]))
             shingles, of = shingles[first], of[first]
             unit, places = _runs(of)
-            digest = np.add.reduceat(mix(shingles), places)
+            mixed = mix(shingles)
+            digest = np.add.reduceat(mixed, places)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), places)
+            sizes = np.diff(np.append(places, len(of)))
             keys = np.stack([mix(np.minimum.reduceat(mix(shingles ^ seed), places) + seed) for seed in SEEDS], axis=1)
             ids = batch.column(0).slice(begin, end - begin).take(pa.array(owner[unit]))
             yield pa.record_batch(
                 [
                     ids, pa.array(number[unit], pa.int32()), pa.array(words[unit], pa.int32()), pa.array(low[unit], pa.int64()),
                     pa.array(high[unit], pa.int64()), pa.array(digest.view(np.int64)),
+                    pa.array(sizes, pa.int32()), pa.array(bits.view(np.int64)),
                     pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
                 ],
-                ["doc_id", "number", "n_words", "first_byte", "last_byte", "s1", "keys"],
+                ["doc_id", "number", "n_words", "first_byte", "last_byte", "s1", "n", "bits", "keys"],
             )
 
 
 def _banded(wanted):
-    """(key, s1) of the band keys that the filter holds."""
+    """(key, s1, n, bits) of the band keys that the filter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column(1).flatten())
+            keys = np.asarray(batch.column("keys").flatten())
             keep = wanted.value.holds(keys)
-            yield pa.record_batch([pa.array(keys[keep]), pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)[keep])], ["key", "s1"])
+            own = [pa.array(np.repeat(np.asarray(batch.column(c)), BANDS)[keep]) for c in ("s1", "n", "bits")]
+            yield pa.record_batch([pa.array(keys[keep]), *own], ["key", "s1", "n", "bits"])
 
     return run
 
 
+def _may_agree(x: str, y: str) -> Column:
+    """Whether two sets can reach the similarity, from their sizes and bitmaps of 64 bits. A bit
+    that differs takes a shingle that only one set has, and a similar pair has at most
+    (100 - PERCENT) of (100 + PERCENT) of both sizes of them: every similar pair passes."""
+    both, apart = F.col(f"{x}n") + F.col(f"{y}n"), F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
+    near = 100 * F.least(f"{x}n", f"{y}n") >= PERCENT * F.greatest(f"{x}n", f"{y}n")
+    return near & ((100 + PERCENT) * apart <= (100 - PERCENT) * both)
+
+
 def _sets(wanted):
     """Shingle sets of the paragraphs whose digest the filter holds."""
 
@@ -472,16 +486,21 @@ def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
         units.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "keys"
     )
     wanted = spark.sparkContext.broadcast(key_filter(repeated, repeated.count()))
-    banded = units.select("s1", "keys").mapInArrow(_banded(wanted), "key long, s1 long")
+    banded = units.select("s1", "n", "bits", "keys").mapInArrow(_banded(wanted), "key long, s1 long, n int, bits long")
     # equal paragraphs count once per band
     banded = work.table(banded.join(repeated, "key", "left_semi").distinct(), "banded")
-    hubs = banded.groupBy("key").agg(F.min("s1").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "hub")
+    hubs = (
+        banded.groupBy("key")
+        .agg(F.min("s1").alias("hub"), *[F.min_by(c, "s1").alias(f"hub_{c}") for c in ("n", "bits")], F.count(F.lit(1)).alias("k"))
+        .where("k > 1")
+        .drop("k")
+    )
     met = work.table(banded.join(hubs, "key"), "met")
-    pairs = work.table(met.where("s1 != hub").select(F.col("hub").alias("a"), F.col("s1").alias("b")).distinct(), "hub-pairs")
+    pairs = work.table(met.where("s1 != hub").where(_may_agree("", "hub_")).select(F.col("hub").alias("a"), F.col("s1").alias("b")).distinct(), "hub-pairs")
     found = _links(texts, pairs, work, "hub")
     groups = connected(found, work, "hub-components")
     placed = work.table(
-        met.join(groups.withColumnRenamed("node", "s1"), "s1", "left").select("key", "s1", "hub", F.coalesce("component", "s1").alias("component")),
+        met.join(groups.withColumnRenamed("node", "s1"), "s1", "left").select("key", "s1", "n", "bits", "hub", F.coalesce("component", "s1").alias("component")),
         "placed",
     )
     cores = (
@@ -491,11 +510,12 @@ def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
         .select("key", "core")
     )
     rest = work.table(placed.drop("hub").join(cores, "key"), "open")
-    x = rest.where("component != core").select("key", "core", F.col("s1").alias("x"), F.col("component").alias("x_in"))
-    y = rest.select("key", F.col("s1").alias("y"), F.col("component").alias("y_in"))
+    x = rest.where("component != core").select("key", "core", F.col("s1").alias("x"), F.col("component").alias("x_in"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits"))
+    y = rest.select("key", F.col("s1").alias("y"), F.col("component").alias("y_in"), F.col("n").alias("y_n"), F.col("bits").alias("y_bits"))
     across = (
         x.join(y, "key")
         .where("x_in != y_in AND (y_in = core OR x < y)")
+        .where(_may_agree("x_", "y_"))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(pairs, ["a", "b"], "left_anti")
@@ -512,7 +532,7 @@ def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
         .select("s1", F.coalesce("component", "s1").alias("class_id")),
         "shared",
     )
-    members = work.table(units.drop("keys").join(shared, "s1").drop("s1"), "members")
+    members = work.table(units.drop("keys", "n", "bits").join(shared, "s1").drop("s1"), "members")
     # the place of an occurrence in (doc_id, number) order; equal places are ties of repeated rows
     first = members.groupBy("class_id").agg(F.min("doc_id").alias("keep_doc_id"))
     first = (

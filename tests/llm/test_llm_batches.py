@@ -50,3 +50,21 @@ def test_slices_of_a_given_size():
     from panelshock.llm.textbytes import slices
 
     assert [(b, e) for b, e, *_ in slices(pa.array(["abcd"] * 10), 8)] == [(0, 2), (2, 4), (4, 6), (6, 8), (8, 10)]
+
+
+def test_pairs_that_cannot_be_similar_never_meet_with_their_sets(spark, monkeypatch):
+    """All share one run of five words, and many the least hash of a band with it; the last two
+    agree but for one word at the end."""
+    texts = [f"one run of five words {' '.join(f'd{i}w{k}' for k in range(14))}" for i in range(150)]
+    texts += [" ".join(f"same{k}" for k in range(28)) + end for end in ("", " more")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, links = [], paragraph_dedup._links
+
+    def counted(texts, pairs, work, label):
+        met.append(pairs.count())
+        return links(texts, pairs, work, label)
+
+    monkeypatch.setattr(paragraph_dedup, "_links", counted)
+    found = paragraph_dedup.repeated_paragraphs(docs, Workspace(spark, "candidates"))
+    assert sum(met) == 1
+    assert {r["doc_id"] for r in found.where("removed").collect()} == {151}
