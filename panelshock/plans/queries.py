@@ -830,12 +830,27 @@ def impact_pipeline(spark, sf):
 # --- raw files ----------------------------------------------------------------------------
 
 
-def _as_files(spark, df: DataFrame, sep: str, encoding: str, files: int, path: str | None = None, extension: str = "csv") -> str:
-    """A table in the form of a raw text file, in ``files`` part files of a shared folder."""
+def _dealt(df: DataFrame, files: int) -> DataFrame:
+    """``df`` in ``files`` partitions, each with rows where there are enough."""
+    return df.repartition(files, *[F.col(f"`{c}`") for c in df.columns[:2]])
+
+
+def _scanned(df: DataFrame, files: int, exactly: bool = False) -> DataFrame:
+    """A table straight from a scan in at least, or exactly, ``files`` partitions with rows. No row
+    is shuffled where the scan has enough of them; else the table is small and dealt out."""
+    parts, filled = df.rdd.getNumPartitions(), df.select(F.spark_partition_id()).distinct().count()
+    if not exactly and filled >= files:
+        return df
+    # neighbours are put together: fewer empty ones than a group has cannot empty it
+    return df.coalesce(files) if exactly and parts - filled < parts // files else _dealt(df, files)
+
+
+def _as_files(spark, out: DataFrame, sep: str, encoding: str, path: str | None = None, extension: str = "csv") -> str:
+    """A table in the form of a raw text file, a part file of a shared folder for each partition
+    with rows."""
     # Korean text needs the JVM's own charsets
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     path = path or f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
-    out = df.repartition(files, *[F.col(f"`{c}`") for c in df.columns[:2]])
     out.write.options(header=True, sep=sep, encoding=encoding, quoteAll=False, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, extension=extension).csv(path)
     return path
 
@@ -844,7 +859,7 @@ def _as_files(spark, df: DataFrame, sep: str, encoding: str, files: int, path: s
 def card_files(spark, sf):
     """Transactions written as tab-separated cp949 text, read back and folded per day."""
     text = fx.card_text(spark, sf).withColumn("TIME_GB", F.lit("서울"))
-    path = _as_files(spark, text, "\t", readers.KOREAN, 4)
+    path = _as_files(spark, _scanned(text, 4), "\t", readers.KOREAN)
     daily = cards.daily_aggregate(cards.parse_transactions(readers.read_card(spark, path)))
     return tidy(daily.withColumn("ts_at_text", parsing.plain_decimal_text(F.col("TS_AT"))), ("avg_price",))
 
@@ -856,9 +871,9 @@ def picked_source(spark, sf):
     day; its name and the number of files read go with it."""
     root = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
     text = fx.card_text(spark, sf).withColumn("TIME_GB", F.lit("서울"))
-    _as_files(spark, fx.flow_text(spark, sf), "\t", readers.KOREAN, 2, f"{root}/1-flow", "txt")
-    _as_files(spark, text, "\t", readers.KOREAN, 4, f"{root}/2-card", "txt")
-    _as_files(spark, text.limit(0), "\t", readers.KOREAN, 1, f"{root}/0-late", "tsv")
+    _as_files(spark, _dealt(fx.flow_text(spark, sf), 2), "\t", readers.KOREAN, f"{root}/1-flow", "txt")
+    _as_files(spark, _dealt(text, 4), "\t", readers.KOREAN, f"{root}/2-card", "txt")
+    _as_files(spark, _dealt(text.limit(0), 1), "\t", readers.KOREAN, f"{root}/0-late", "tsv")
     folder = readers.pick_source(spark, f"{root}/*").rpartition("/")[0]
     raw = readers.read_card(spark, folder)
     name, read = folder.rpartition("/")[2], readers.source_manifest(raw).agg(F.count(F.lit(1)).alias("files_read"))
@@ -899,8 +914,8 @@ def run_metadata(spark, sf):
 @query
 def warning_files(spark, sf):
     """Three heat files and two cold files as text, read back and united."""
-    heat_path = _as_files(spark, fx.heat_text(spark, sf), "\t", readers.KOREAN, readers.HEAT_FILES)
-    cold_path = _as_files(spark, fx.cold_text(spark, sf), "\t", readers.KOREAN, readers.COLD_FILES)
+    heat_path = _as_files(spark, _dealt(fx.heat_text(spark, sf), readers.HEAT_FILES), "\t", readers.KOREAN)
+    cold_path = _as_files(spark, _dealt(fx.cold_text(spark, sf), readers.COLD_FILES), "\t", readers.KOREAN)
     heat = readers.read_heat_warnings(spark, f"{heat_path}/part-*")
     cold = readers.read_cold_warnings(spark, f"{cold_path}/part-*")
     united = weather.warnings_union(weather.heat_warnings(heat, fx.STATION_REGIONS), weather.cold_warnings(cold, fx.STATION_REGIONS))
@@ -913,7 +928,7 @@ def hourly_files(spark, sf):
     raw = fx.hourly_text(spark, sf).select(
         F.col("station").alias(weather.STATION), F.lit("관측소").alias(readers.STATION_NAME), F.col("ts").alias(weather.DAY), F.col("rain").alias(readers.RAIN)
     )
-    path = _as_files(spark, raw, ",", readers.KOREAN, 3)
+    path = _as_files(spark, _dealt(raw, 3), ",", readers.KOREAN)
     hours = weather.hourly_observations(readers.read_hourly(spark, f"{path}/part-*"), weather.STATION, weather.DAY, readers.RAIN, fx.STATION_REGIONS)
     return tidy(weather.daily_rain(hours))
 
@@ -921,7 +936,7 @@ def hourly_files(spark, sf):
 @query
 def flow_files(spark, sf):
     """Weekday flow as text between bars, read back and unpivoted."""
-    path = _as_files(spark, fx.flow_text(spark, sf), "|", "UTF-8", 3)
+    path = _as_files(spark, _dealt(fx.flow_text(spark, sf), 3), "|", "UTF-8")
     mapped = flow.mapped_flow(readers.read_flow(spark, f"{path}/part-*"), fx.FLOW_PREFIXES)
     return tidy(flow.flow_profile(mapped, by_year=True).withColumn("flow_pop_weekday", F.round("flow_pop_weekday", 2)))
 

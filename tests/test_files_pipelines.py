@@ -214,3 +214,26 @@ def test_staged_tables_go_to_the_shared_folder(spark):
     assert again.schema == df.schema and again.collect() == df.collect()
     assert all(shared_folder(spark).removeprefix("file:") in f for f in again.inputFiles())
     assert checkpoint(df).collect() == df.collect()
+
+
+def test_scanned_tables_become_files_without_a_shuffle(spark, tmp_path, capsys):
+    from panelshock.plans.queries import _as_files, _scanned
+
+    table = spark.range(8000).selectExpr("cast(id as string) a", "cast(id % 7 as string) b")
+    table.repartition(8).write.parquet(str(tmp_path / "wide"))
+    table.coalesce(1).write.parquet(str(tmp_path / "one"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1m")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # a file a partition
+    try:
+        for name, exactly, files, shuffled in (("wide", True, 4, False), ("wide", False, 8, False), ("one", True, 4, True), ("one", False, 4, True)):
+            out = _scanned(spark.read.parquet(str(tmp_path / name)), 4, exactly)
+            capsys.readouterr()
+            out.explain()
+            assert ("Exchange" in capsys.readouterr().out) == shuffled
+            path = _as_files(spark, out, "\t", "UTF-8")
+            back = spark.read.options(header=True, sep="\t").csv(path)
+            assert len(back.inputFiles()) == files and back.count() == back.distinct().count() == 8000
+    finally:
+        for name, value in zip(("openCostInBytes", "maxPartitionBytes"), before):
+            spark.conf.set(f"spark.sql.files.{name}", value)
