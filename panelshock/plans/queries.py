@@ -872,7 +872,7 @@ def picked_source(spark, sf):
     root = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
     text = fx.card_text(spark, sf).withColumn("TIME_GB", F.lit("서울"))
     _as_files(spark, _dealt(fx.flow_text(spark, sf), 2), "\t", readers.KOREAN, f"{root}/1-flow", "txt")
-    _as_files(spark, _dealt(text, 4), "\t", readers.KOREAN, f"{root}/2-card", "txt")
+    _as_files(spark, _scanned(text, 4, exactly=True), "\t", readers.KOREAN, f"{root}/2-card", "txt")
     _as_files(spark, _dealt(text.limit(0), 1), "\t", readers.KOREAN, f"{root}/0-late", "tsv")
     folder = readers.pick_source(spark, f"{root}/*").rpartition("/")[0]
     raw = readers.read_card(spark, folder)
