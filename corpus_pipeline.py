@@ -7,11 +7,13 @@ deleted: its result has been written by then."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelshock.llm import decontaminate, digest_index, jaccard_join, language_id, sentencepiece_codec
-from panelshock.llm.workspace import Workspace, read_table
+from panelshock.llm.workspace import Workspace, in_small_batches, read_table
 
 LEAST_SCORE = 0.5
 PREDICTED, SCORE = "__predicted", "__score_of_prediction"
@@ -25,6 +27,14 @@ def _begin(spark: SparkSession, label: str) -> Workspace:
     return _open[-1]
 
 
+@in_small_batches
+def _written(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
+    """The operator's result as a table. A lazy result would hand Python batches of the size the
+    session has when the caller writes it: whole texts of 10,000 rows, once for each task in the
+    executor and again in its Python worker."""
+    return work.table(operator(docs), "written")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a determined language: those without a letter, or whose best language is less
     likely than all others together, go. Without any labelled row no language can be learned,
@@ -33,9 +43,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs, work)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.predict(docs, model, names=(PREDICTED, SCORE))
     kept = (F.col(PREDICTED) != language_id.UNDETERMINED) & (F.col(SCORE) >= LEAST_SCORE)
-    return found.where(kept).drop(PREDICTED, SCORE)
+    return _written(docs, lambda d: language_id.predict(d, model, names=(PREDICTED, SCORE)).where(kept).drop(PREDICTED, SCORE), work)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +69,8 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its piece ids and whether they decode to its text; a NULL text decodes
     to the empty one."""
-    _begin(spark, "pipeline-encode")
-    return sentencepiece_codec.encode_checked(docs, out="piece_ids", check="round_trip")
+    work = _begin(spark, "pipeline-encode")
+    return _written(docs, lambda d: sentencepiece_codec.encode_checked(d, out="piece_ids", check="round_trip"), work)
 
 
 STAGES = [
@@ -77,7 +86,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; each result but the last is written and read again."""
+    """All stages over the whole table; each result but the last is written and read again. The
+    last reads the table of its stage, which stays until a next run begins."""
     docs = read_table(spark, sf_dir, "documents")
     work, written = Workspace(spark, "pipeline"), []
     for name, stage in STAGES[:-1]:

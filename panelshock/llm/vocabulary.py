@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from panelshock.llm.textbytes import slices, word_hashes
+from panelshock.llm.textbytes import SMALL_SLICE, slices, word_hashes
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -166,7 +166,7 @@ def units(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray
     A unit is a run of spaces with the run of other bytes after it; a space stands before each
     text that is not empty. Yields first and last row, bytes, begin and length of each distinct
     unit, and unit and row of every occurrence in order."""
-    for begin, end, data, offsets in slices(column):
+    for begin, end, data, offsets in slices(column, SMALL_SLICE):
         lengths = np.diff(offsets)
         full = lengths > 0
         lead = np.cumsum(full)

@@ -2,7 +2,8 @@
 
 import pyarrow as pa
 
-from panelshock.llm import jaccard_join, paragraph_dedup
+import corpus_pipeline
+from panelshock.llm import jaccard_join, language_id, paragraph_dedup, sentencepiece_codec
 from panelshock.llm.workspace import BATCH, BATCH_ROWS, Workspace
 
 
@@ -46,6 +47,17 @@ def test_pieces_meet_in_small_batches(spark, monkeypatch):
     assert found.where("removed").select("doc_id").distinct().count() == 1500
 
 
+def test_pipeline_stages_hand_out_small_batches_whoever_writes_them(spark, monkeypatch, tmp_path):
+    for module, name in ((language_id, "_predict"), (sentencepiece_codec, "_encode")):
+        monkeypatch.setattr(module, name, rows_per_batch(getattr(module, name)))
+    docs = copies(spark).selectExpr("*", "if(doc_id % 9 = 0, 'en', 'de') AS lang")
+    before = spark.conf.get(BATCH)
+    corpus_pipeline.identify_language(spark, docs, "").write.parquet(f"{tmp_path}/language")
+    corpus_pipeline.encode_pieces(spark, docs, "").write.parquet(f"{tmp_path}/pieces")
+    assert spark.conf.get(BATCH) == before
+    assert spark.read.parquet(f"{tmp_path}/pieces").where("round_trip").count() == 3000
+
+
 def test_slices_of_a_given_size():
     from panelshock.llm.textbytes import slices
 
