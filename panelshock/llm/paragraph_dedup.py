@@ -46,6 +46,11 @@ SPANS = (
     "keep_doc_id long, keep_number int, keep_words int, keep_first_byte long, keep_last_byte long"
 )
 
+PIECE = (
+    "doc_id long, word int, byte long, piece binary, keep_doc_id long, keep_low int, keep_high int, "
+    "anchors array<struct<place:int,keep_place:int>>"
+)
+
 
 def paragraph_starts(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Whether a paragraph begins at each word; ``rows`` are lines."""
@@ -220,32 +225,57 @@ def _anchor_hits(wanted):
     return run
 
 
-def _holding(wanted):
-    """Texts whose doc_id the filter holds."""
+def _holding(wanted, held: bool = True):
+    """Rows whose first column the filter holds, or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(wanted.value.holds(np.asarray(batch.column(0)))))
+            yield batch.filter(pa.array(wanted.value.holds(np.asarray(batch.column(0))) == held))
 
     return run
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text MARGIN words around each wanted range of words, with the word and the byte it
-    begins at."""
+    begins at: of a text's own chains with what they are matched to, of a text kept by its range."""
     for batch in batches:
-        ids, wanted, texts = batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), batch.column("text")
-        for i, spans in enumerate(wanted):
-            data, offsets = row_bytes(texts.slice(i, 1))
+        owns, spans = batch.column("owns"), batch.column("spans")
+        own, kept, found = owns.flatten(), spans.flatten(), []
+        cuts = [np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(x).fill_null(0)))]) for x in (owns, spans)]
+        lows = [np.asarray(x.field(c)) for x, c in ((own, "own_low"), (kept, "low"))]
+        highs = [np.asarray(x.field(c)) for x, c in ((own, "own_high"), (kept, "high"))]
+        size = 0
+        for i in range(batch.num_rows):
+            data, offsets = row_bytes(batch.column("text").slice(i, 1))
             begins, ends, _ = word_spans(data, offsets)
-            out = []
-            for span in spans:
-                low, high = max(0, span["low"] - MARGIN), min(len(begins), span["high"] + MARGIN)
-                if low < high:
-                    out.append((span["low"], span["high"], low, int(begins[low]), data[begins[low] : ends[high - 1]].tobytes()))
-            if out:
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
-                yield pa.record_batch([pa.array([ids[i]] * len(out), pa.int64()), *columns], ["doc_id", "low", "high", "word", "byte", "piece"])
+            for side in range(2):
+                for k in range(int(cuts[side][i]), int(cuts[side][i + 1])):
+                    low, high = max(0, int(lows[side][k]) - MARGIN), min(len(begins), int(highs[side][k]) + MARGIN)
+                    if low < high:
+                        found.append((side, i, k, low, int(begins[low]), data[begins[low] : ends[high - 1]].tobytes()))
+                        size += len(found[-1][-1])
+            if found and (size >= SMALL_SLICE or i == batch.num_rows - 1):
+                yield from _piece_rows(batch.column("doc_id"), own, kept, found)
+                found, size = [], 0
+        if found:
+            yield from _piece_rows(batch.column("doc_id"), own, kept, found)
+
+
+def _piece_rows(ids: pa.Array, own: pa.Array, kept: pa.Array, found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of PIECE; those of texts kept have no doc_id."""
+    for side in range(2):
+        rows = [x[1:] for x in found if x[0] == side]
+        if not rows:
+            continue
+        row, place, word, byte, piece = zip(*rows)
+        doc, place = ids.take(pa.array(row)), pa.array(place)
+        text = [pa.array(word, pa.int32()), pa.array(byte, pa.int64()), pa.array(piece, pa.binary())]
+        if side == 0:
+            columns = [doc, *text, *[own.field(c).take(place) for c in ("keep_doc_id", "keep_low", "keep_high", "anchors")]]
+        else:
+            none = [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), own.field("anchors").type)]
+            columns = [none[0], *text, doc, *[kept.field(c).take(place) for c in ("low", "high")], none[1]]
+        yield pa.record_batch(columns, ["doc_id", "word", "byte", "piece", "keep_doc_id", "keep_low", "keep_high", "anchors"])
 
 
 def _resume(a: list, b: list) -> tuple[int, int, int]:
@@ -408,24 +438,30 @@ def shared_with_earlier(texts: DataFrame, work: Workspace) -> DataFrame:
     )
     chains = work.table(chains, "chains")
     work.drop("hits", "anchors")
-    ranges = chains.select("doc_id", F.col("own_low").alias("low"), F.col("own_high").alias("high")).unionByName(
-        chains.select(F.col("keep_doc_id").alias("doc_id"), F.col("keep_low").alias("low"), F.col("keep_high").alias("high"))
+    # a text has no more chains of its own than anchors; those that it is kept for count by range
+    owns = chains.groupBy("doc_id").agg(
+        F.collect_list(F.struct("own_low", "own_high", "keep_doc_id", "keep_low", "keep_high", "anchors")).alias("owns")
     )
-    ranges = work.table(ranges.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "ranges")
+    spans = chains.groupBy(F.col("keep_doc_id").alias("doc_id")).agg(
+        F.collect_set(F.struct(F.col("keep_low").alias("low"), F.col("keep_high").alias("high"))).alias("spans")
+    )
+    ranges = work.table(owns.join(spans, "doc_id", "full"), "ranges")
+    work.drop("chains")
     ids = ranges.select("doc_id")
     holding = context.broadcast(key_filter(ids, ids.count()))
-    found = texts.mapInArrow(_holding(holding), "doc_id long, text binary").join(ranges, "doc_id").select("doc_id", "text", "spans")
-    pieces = work.table(found.mapInArrow(_pieces, "doc_id long, low int, high int, word int, byte long, piece binary"), "pieces")
+    found = texts.mapInArrow(_holding(holding), "doc_id long, text binary").join(ranges, "doc_id").select("doc_id", "text", "owns", "spans")
+    pieces = work.table(found.mapInArrow(_pieces, PIECE), "pieces")
+    work.drop("ranges", "texts")
 
-    def side(name: str, doc_id: str) -> DataFrame:
-        return pieces.select(
-            F.col("doc_id").alias(doc_id), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"),
-            *[F.col(c).alias(f"{name}_{c}") for c in ("word", "byte", "piece")],
-        )
+    def side(name: str, rows: Column, *columns: str) -> DataFrame:
+        own = [F.col(c).alias(f"{name}_{c}") for c in ("word", "byte", "piece")]
+        return pieces.where(rows).select("keep_doc_id", "keep_low", "keep_high", *columns, *own)
 
-    both = chains.join(side("own", "doc_id"), ["doc_id", "own_low", "own_high"]).join(side("keep", "keep_doc_id"), ["keep_doc_id", "keep_low", "keep_high"])
+    both = side("own", F.col("doc_id").isNotNull(), "doc_id", "anchors").join(
+        side("keep", F.col("doc_id").isNull()), ["keep_doc_id", "keep_low", "keep_high"]
+    )
     spans = work.table(both.mapInArrow(_extended, SPANS), "spans")
-    work.drop("chains", "ranges", "pieces")
+    work.drop("pieces")
     return spans.distinct()
 
 
@@ -448,17 +484,23 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _folded(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """One row per different text, of the least doc_id that has it, and the whole spans of its
-    copies in other documents. Copies are found by digest before anything is compared."""
+    copies in other documents. Copies are found by digest before anything is compared; texts that
+    occur once stay in their partitions."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marked = texts.withColumn("digest", F.sha2("text", 256))
-    owners = marked.groupBy("digest").agg(F.min("doc_id").alias("keep_doc_id"), F.count(F.lit(1)).alias("k"))
+    texts = texts.select(F.xxhash64("text").alias("key"), "doc_id", "text")
+    digest = F.sha2("text", 256).alias("digest")
+    owners = texts.select("key", digest, "doc_id").groupBy("digest", "key").agg(F.min("doc_id").alias("keep_doc_id"), F.count(F.lit(1)).alias("k"))
     owners = work.table(owners.where("k > 1").drop("k"), "owners")
-    met = work.table(marked.join(owners, "digest", "left"), "met-texts")
+    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(owners.select("key"), owners.count()))
+    kind = "key long, doc_id long, text binary"
+    met = texts.mapInArrow(_holding(wanted), kind).select("doc_id", "text", digest).join(owners.drop("key"), "digest", "left")
+    met = work.table(met, "met-texts")
+    once = texts.mapInArrow(_holding(wanted, False), kind).select("doc_id", "text")
     alone = met.where("keep_doc_id IS NULL").select("doc_id", "text")
     # of rows that share the kept doc_id and the text one is enough
     kept = met.where("doc_id = keep_doc_id").groupBy("digest", "doc_id").agg(F.any_value("text").alias("text")).select("doc_id", "text")
     copies = met.where("doc_id != keep_doc_id").select("doc_id", "keep_doc_id", "text").mapInArrow(_whole, SPANS)
-    copies, folded = work.table(copies.distinct(), "copies"), work.table(alone.unionByName(kept), "texts")
+    copies, folded = work.table(copies.distinct(), "copies"), work.table(once.unionByName(alone).unionByName(kept), "texts")
     work.drop("met-texts", "owners")
     return folded, copies
 

@@ -80,3 +80,23 @@ def test_pairs_that_cannot_be_similar_never_meet_with_their_sets(spark, monkeypa
     found = paragraph_dedup.repeated_paragraphs(docs, Workspace(spark, "candidates"))
     assert sum(met) == 1
     assert {r["doc_id"] for r in found.where("removed").collect()} == {151}
+
+
+def test_only_texts_with_copies_are_shuffled_and_a_piece_is_written_for_one_side(spark, monkeypatch):
+    counts, table = {}, Workspace.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        counts[name] = out.count()
+        if name == "chains":
+            counts["kept ranges"] = out.select("keep_doc_id", "keep_low", "keep_high").distinct().count()
+        return out
+
+    monkeypatch.setattr(Workspace, "table", counted)
+    same = " ".join(f"s{i}" for i in range(30))
+    docs = copies(spark, 20).unionByName(spark.createDataFrame([(100, same), (101, same), (102, None), (103, "")], "doc_id long, text string"))
+    work = Workspace(spark, "volume")
+    found = paragraph_dedup.repeated_paragraphs(docs, work)
+    assert counts["met-texts"] == 2 and counts["texts"] == 43
+    assert counts["pieces"] == counts["chains"] + counts["kept ranges"] == 40
+    assert {r["doc_id"] for r in found.where("removed").collect()} == {101, *range(1, 40, 2)}
