@@ -438,6 +438,7 @@ def shared_with_earlier(texts: DataFrame, work: Workspace) -> DataFrame:
     )
     chains = work.table(chains, "chains")
     work.drop("hits", "anchors")
+    work.forget_shuffles()
     # a text has no more chains of its own than anchors; those that it is kept for count by range
     owns = chains.groupBy("doc_id").agg(
         F.collect_list(F.struct("own_low", "own_high", "keep_doc_id", "keep_low", "keep_high", "anchors")).alias("owns")
@@ -447,11 +448,13 @@ def shared_with_earlier(texts: DataFrame, work: Workspace) -> DataFrame:
     )
     ranges = work.table(owns.join(spans, "doc_id", "full"), "ranges")
     work.drop("chains")
+    work.forget_shuffles()
     ids = ranges.select("doc_id")
     holding = context.broadcast(key_filter(ids, ids.count()))
     found = texts.mapInArrow(_holding(holding), "doc_id long, text binary").join(ranges, "doc_id").select("doc_id", "text", "owns", "spans")
     pieces = work.table(found.mapInArrow(_pieces, PIECE), "pieces")
     work.drop("ranges", "texts")
+    work.forget_shuffles()
 
     def side(name: str, rows: Column, *columns: str) -> DataFrame:
         own = [F.col(c).alias(f"{name}_{c}") for c in ("word", "byte", "piece")]
@@ -502,6 +505,7 @@ def _folded(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
     copies = met.where("doc_id != keep_doc_id").select("doc_id", "keep_doc_id", "text").mapInArrow(_whole, SPANS)
     copies, folded = work.table(copies.distinct(), "copies"), work.table(once.unionByName(alone).unionByName(kept), "texts")
     work.drop("met-texts", "owners")
+    work.forget_shuffles()
     return folded, copies
 
 
@@ -587,6 +591,7 @@ def repeated_paragraphs(docs: DataFrame, work: Workspace) -> DataFrame:
     touched = marked.where("removed").select("class_id").distinct()
     paragraphs = marked.where("removed OR NOT later").join(touched, "class_id", "left_semi").select(*columns)
     work.drop("units", "keys", "banded", "met", "hub-pairs", "placed", "open", "cross-pairs", "shared", "members")
+    work.forget_shuffles()
     spans = shared_with_earlier(texts, work).unionByName(copies).withColumn(
         "class_id", F.xxhash64("keep_doc_id", "keep_number", "keep_words", "keep_first_byte", "keep_last_byte")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -39,6 +40,12 @@ class Workspace:
         """Delete the job's folder, once its result has been written elsewhere."""
         self._delete(self.root)
 
+    def forget_shuffles(self) -> None:
+        """Let Spark remove the shuffle files of jobs whose results have been written: it does so
+        once the driver collects their plans as garbage, for which an idle driver sees no need."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
