@@ -37,7 +37,6 @@ BANDS = 5
 ANCHOR_WORDS, ANCHOR_WINDOW = 8, 6
 #: words around a chain of anchors, also the most between two of one chain; words that end a change
 MARGIN, AGREE = 40, 3
-PIECES = 256
 SEEDS = stream(11, BANDS)
 
 UNITS = "doc_id long, number int, n_words int, first_byte long, last_byte long, s1 long, n int, bits long, keys array<long>"
@@ -383,7 +382,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "keep_doc_id", "own_word", "keep_word"]
     for whole in batches:
         out = []
-        for batch in (whole.slice(start, PIECES) for start in range(0, whole.num_rows, PIECES)):
+        for batch in (whole.slice(begin, end - begin) for begin, end, *_ in slices(whole.column("own_piece"), SMALL_SLICE)):
             own_words, own_begins, own_ends, own_cuts = _piece_words(batch, "own")
             keep_words, keep_begins, keep_ends, keep_cuts = _piece_words(batch, "keep")
             lists, places = batch.column("anchors"), batch.column("anchors").flatten()
@@ -414,27 +413,30 @@ def shared_with_earlier(texts: DataFrame, work: Workspace) -> DataFrame:
     # what returns at once, like one word over and over, is matched to its last occurrence only
     before = F.lag("place").over(W.partitionBy("key", "doc_id").orderBy("place"))
     hits = hits.withColumn("before", before)
-    again = hits.where("before IS NOT NULL").select("doc_id", "place", F.col("doc_id").alias("keep_doc_id"), F.col("before").alias("keep_place"))
+    again = hits.where("before IS NOT NULL").select(
+        "doc_id", "place", F.col("doc_id").alias("keep_doc_id"), F.col("before").alias("keep_place"), F.lit(True).alias("again")
+    )
     met = (
         hits.where(F.col("before").isNull() | (F.col("place") - F.col("before") > ANCHOR_WORDS))
         .join(first, "key")
-        .select("doc_id", "place", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.place").alias("keep_place"))
-        .where("doc_id != keep_doc_id OR place != keep_place")
+        .where("doc_id != first.doc_id OR place != first.place AND (before IS NULL OR before != first.place)")
+        .select("doc_id", "place", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.place").alias("keep_place"), F.lit(False).alias("again"))
         .unionByName(again)
-        .distinct()
     )
-    order = W.partitionBy("doc_id", "keep_doc_id").orderBy("place")
+    # a text that repeats itself meets its first occurrence and its last one, in chains of their
+    # own: in one, neighbours would jump between both, and a chain's range hold all that lies between
+    order = W.partitionBy("doc_id", "keep_doc_id", "again").orderBy("place", "keep_place")
     step, keep_step = F.col("place") - F.lag("place").over(order), F.col("keep_place") - F.lag("keep_place").over(order)
     starts = F.when((step <= MARGIN) & (keep_step > 0) & (keep_step <= MARGIN), 0).otherwise(1)
     chains = (
         met.withColumn("starts", starts)
         .withColumn("chain", F.sum("starts").over(order))
-        .groupBy("doc_id", "keep_doc_id", "chain")
+        .groupBy("doc_id", "keep_doc_id", "again", "chain")
         .agg(
             F.min("place").alias("own_low"), (F.max("place") + ANCHOR_WORDS).alias("own_high"), F.min("keep_place").alias("keep_low"),
             (F.max("keep_place") + ANCHOR_WORDS).alias("keep_high"), F.collect_list(F.struct("place", "keep_place")).alias("anchors"),
         )
-        .drop("chain")
+        .drop("again", "chain")
     )
     chains = work.table(chains, "chains")
     work.drop("hits", "anchors")

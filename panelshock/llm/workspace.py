@@ -14,6 +14,8 @@ from panelshock.session import shared_folder
 
 BATCH_ROWS = 1000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: a batch that has reached so many bytes is closed, so that long texts do not add up
+BATCH_BYTES, BYTES = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Workspace:
@@ -52,21 +54,23 @@ class Workspace:
 
 
 def in_small_batches(operator: Callable) -> Callable:
-    """An operator (docs, work, ...) whose own jobs hand Python at most BATCH_ROWS rows at a time:
-    texts, sets and pieces are wide, and an executor holds a batch of each of its tasks twice, once
-    beside the heap and once in Python. Results do not depend on batches; the session gets its
-    setting back."""
+    """An operator (docs, work, ...) whose own jobs hand Python at most BATCH_ROWS rows at a time,
+    and no further row after BATCH_BYTES: texts, sets and pieces are wide, and an executor holds a
+    batch of each of its tasks twice, once beside the heap and once in Python. Results do not depend
+    on batches; the session gets its settings back."""
 
     @wraps(operator)
     def run(docs: DataFrame, *args, **options):
         conf = docs.sparkSession.conf
-        before = conf.get(BATCH, None)
+        before = {name: conf.get(name, None) for name in (BATCH, BYTES)}
         given = int(conf.get(BATCH))
         conf.set(BATCH, str(min(given, BATCH_ROWS) if given > 0 else BATCH_ROWS))
+        conf.set(BYTES, str(BATCH_BYTES))
         try:
             return operator(docs, *args, **options)
         finally:
-            conf.unset(BATCH) if before is None else conf.set(BATCH, before)
+            for name, value in before.items():
+                conf.unset(name) if value is None else conf.set(name, value)
 
     return run
 

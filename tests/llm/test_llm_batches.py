@@ -4,7 +4,7 @@ import pyarrow as pa
 
 import corpus_pipeline
 from panelshock.llm import jaccard_join, language_id, paragraph_dedup, sentencepiece_codec
-from panelshock.llm.workspace import BATCH, BATCH_ROWS, Workspace
+from panelshock.llm.workspace import BATCH, BATCH_BYTES, BATCH_ROWS, Workspace, in_small_batches
 
 
 def rows_per_batch(make):
@@ -100,3 +100,37 @@ def test_only_texts_with_copies_are_shuffled_and_a_piece_is_written_for_one_side
     assert counts["met-texts"] == 2 and counts["texts"] == 43
     assert counts["pieces"] == counts["chains"] + counts["kept ranges"] == 40
     assert {r["doc_id"] for r in found.where("removed").collect()} == {101, *range(1, 40, 2)}
+
+
+def test_long_texts_do_not_add_up_in_a_batch(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["size"])
+
+    @in_small_batches
+    def operator(docs):
+        return [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
+
+    docs = spark.range(120, numPartitions=1).selectExpr("repeat('text ', 20000) AS text")
+    found = operator(docs)
+    assert sum(found) >= 12_000_000 and max(found) <= BATCH_BYTES + 200_000
+
+
+def test_a_text_that_repeats_itself_is_matched_by_chains_as_long_as_the_passage(spark, monkeypatch):
+    """The first occurrence and the last one are chained apart, so no chain's range of the text
+    kept holds what lies between the two."""
+    chains, table = [], Workspace.table
+
+    def seen(self, df, name):
+        out = table(self, df, name)
+        if name == "chains":
+            chains.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(Workspace, "table", seen)
+    passage = " ".join(f"same{k}" for k in range(24))
+    text = " ".join(f"{passage} " + " ".join(f"d{i}w{k}" for k in range(70)) for i in range(12))
+    found = paragraph_dedup.repeated_paragraphs(spark.createDataFrame([(1, text)], "doc_id long, text string"), Workspace(spark, "chains"))
+    assert len(chains) >= 11 + 10
+    assert all(r["keep_high"] - r["keep_low"] == r["own_high"] - r["own_low"] <= 24 for r in chains)
+    assert {94 * i for i in range(1, 12)} <= {r["number"] for r in found.where("removed").collect()}
